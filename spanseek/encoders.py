@@ -31,10 +31,15 @@ class GramEncoder:
 
     def embed(self, text: Column, role: str) -> Column:
         self.model.prompt(role)
-        low = F.lower(text)
-        counts = [((F.length(low) - F.length(F.replace(low, F.lit(g), F.lit("")))) / len(g) + self.floor).cast("float")
-                  for g in self.grams]
-        return vx.l2_normalise_clipped(F.array(*counts))
+        grams, floor = F.split(F.lit("\n".join(self.grams)), "\n"), F.lit(self.floor)
+
+        def counts(x: Column) -> Column:
+            text, length = x["t"], x["n"]
+            return F.transform(grams, lambda g: ((length - F.length(F.replace(text, g, F.lit("")))) / F.length(g)
+                                                 + floor).cast("float"))
+
+        sized = vx.let(F.lower(text), lambda t: F.struct(t.alias("t"), F.length(t).alias("n")))
+        return vx.l2_normalise_clipped(vx.let(sized, counts))
 
 
 class HashingEncoder:

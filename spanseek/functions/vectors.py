@@ -20,30 +20,40 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
-def _scaled(v: Column, length: Column) -> Column:
-    return F.transform(v, lambda x: (x.cast("double") / length).cast("float"))
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _divided(v: Column, divisor) -> Column:
+    """Every element over ``divisor(norm)``; the norm is computed once per vector, not once per element."""
+    with_norm = let(v, lambda a: F.struct(a.alias("v"), divisor(norm(a)).alias("n")))
+    return let(with_norm, lambda s: F.transform(s["v"], lambda x: (x.cast("double") / s["n"]).cast("float")))
 
 
 def l2_normalise(v: Column) -> Column:
     """Unit length with no guard: a zero vector gives NaN."""
-    length = norm(v)
-    return F.transform(v, lambda x: F.when(length == 0, F.lit(float("nan"))).otherwise(x.cast("double") / length).cast("float"))
+    return _divided(v, lambda n: F.when(n == 0, F.lit(float("nan"))).otherwise(n))
 
 
 def l2_normalise_clipped(v: Column) -> Column:
     """Unit length, but a zero vector stays zero."""
-    return _scaled(v, F.greatest(norm(v), F.lit(fv.CLIP_NORM)))
+    return _divided(v, lambda n: F.greatest(n, F.lit(fv.CLIP_NORM)))
 
 
 def invalid_reason(v: Column, dim: int | None = None, tol: float = fv.UNIT_TOLERANCE) -> Column:
     """First reason why a vector cannot be indexed, or null."""
-    bad = F.exists(v, lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
-    length = norm(v)
-    reason = F.when(v.isNull(), F.lit("missing"))
-    if dim is not None:
-        reason = reason.when(F.size(v) != dim, F.concat(F.lit("dimension "), F.size(v).cast("string"), F.lit(f" != {dim}")))
-    return (reason.when(bad, F.lit("contains NaN or inf")).when(length < fv.ZERO_NORM, F.lit("zero-norm vector"))
-            .when(F.abs(length - 1.0) > tol, F.lit("not unit norm")))
+    def judge(x: Column) -> Column:
+        v, length = x["v"], x["n"]
+        reason = F.when(F.exists(v, lambda e: F.isnan(e) | (F.abs(e) == float("inf"))), F.lit("contains NaN or inf"))
+        if dim is not None:
+            wrong = F.concat(F.lit("dimension "), F.size(v).cast("string"), F.lit(f" != {dim}"))
+            reason = F.when(F.size(v) != dim, wrong).otherwise(reason)
+        return F.coalesce(reason, F.when(length < fv.ZERO_NORM, F.lit("zero-norm vector")).when(
+            F.abs(length - 1.0) > tol, F.lit("not unit norm")))
+
+    judged = let(let(v, lambda a: F.struct(a.alias("v"), norm(a).alias("n"))), judge)
+    return F.when(v.isNull(), F.lit("missing")).otherwise(judged)
 
 
 def minmax(x: Column, *by: str) -> Column:

@@ -16,7 +16,7 @@ from spanseek import fixed_values as fv
 from spanseek.functions import text as tx
 from spanseek.functions.vectors import SUM_DIGITS, bm25_weight, idf
 from spanseek.operators.literals import literal_hits
-from spanseek.session import BROADCAST_BYTES, checkpointed, estimated_bytes, skew_join
+from spanseek.session import BROADCAST_BYTES, written, estimated_bytes, skew_join
 
 LITERAL_MARK = '"'
 EVERY_UNIT = ""  # a key each unit holds once, so that corpus size and lengths come out of the same table
@@ -53,7 +53,7 @@ class LexicalRun:
 
     docs: DataFrame  # unit_id, is_test, _doc
     keys: DataFrame  # query_id, role, key, df, n, avgdl, gated
-    small: bool  # the query side was measured and fits a broadcast
+    small: bool  # the keys were measured and fit a broadcast; a larger batch is joined with its hot keys salted
 
     @property
     def gate(self) -> DataFrame:
@@ -75,14 +75,12 @@ class LexicalRun:
         Tokens that no query asks for are dropped before anything moves; the rest is partitioned by unit once, which also
         serves the aggregation to (query, unit) and leaves the top-k to prune inside each partition.
         """
-        weights = self.weights(gated_only)
-        hint = F.broadcast if self.small else (lambda df: df)
+        weights = written(self.weights(gated_only))
         literals = weights.where("is_literal").select(F.substring(F.col("key"), F.lit(2), F.length("key")).alias("lit"))
         found = _key_rows(self.docs, literals).select("unit_id", "is_test", "dl", tx.rows_of(F.col("found")).alias("key"))
-        frequency = (found.join(hint(weights.select("key").distinct()), "key", "left_semi").repartition("unit_id")
+        frequency = (found.join(weights.select("key").distinct(), "key", "left_semi").repartition("unit_id")
                      .groupBy("unit_id", "is_test", "dl", "key").agg(F.count(F.lit(1)).alias("tf")))
-        joined = (frequency.join(F.broadcast(weights), "key") if self.small
-                  else skew_join(frequency, weights, "key", "unit_id"))
+        joined = frequency.join(weights, "key") if self.small else skew_join(frequency, weights, "key", "unit_id")
         weight = F.when(F.col("is_literal"), F.lit(fv.LITERAL_BONUS) * F.col("idf") * F.col("repeats")).otherwise(
             bm25_weight(F.col("idf"), F.col("tf"), F.col("dl"), F.col("avgdl")))
         return (joined.withColumn("_w", weight).groupBy("query_id", "unit_id", "is_test")
@@ -125,27 +123,26 @@ def lexical_run(queries: DataFrame, docs: DataFrame, *, gated_only: bool = True,
     """``queries``: query_id, query. ``docs``: unit_id, doc, optionally is_test.
 
     With ``gated_only`` a query without any anchor shape asks nothing of the corpus. The counting pass moves one partial
-    count per key and task; its result is as small as the query batch and is checkpointed.
+    count per key and task; its result is as small as the query batch and is written.
     """
-    keys = query_keys(queries.where(has_anchor_shape(F.col("query"))) if gated_only else queries)
+    keys = written(query_keys(queries.where(has_anchor_shape(F.col("query"))) if gated_only else queries))
     small = estimated_bytes(keys) <= BROADCAST_BYTES
-    hint = F.broadcast if small else (lambda df: df)
     is_test = F.col("is_test") if "is_test" in docs.columns else F.lit(False)
     base = docs.select("unit_id", is_test.alias("is_test"), F.col(doc).alias("_doc"))
     literals = keys.where(F.col("role") == "literal").select(F.substring(F.col("key"), F.lit(2), F.length("key")).alias("lit"))
     every = F.concat(F.array(F.lit(EVERY_UNIT)), F.array_distinct("found"))
     wanted = keys.select("key").union(docs.sparkSession.range(1).select(F.lit(EVERY_UNIT).alias("key"))).distinct()
     stats = (_key_rows(base, literals).select("dl", tx.rows_of(every).alias("key"))
-             .join(hint(wanted), "key", "left_semi")
+             .join(wanted, "key", "left_semi")
              .groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("total_length")))
-    stats = checkpointed(stats)
+    stats = written(stats)
     whole = stats.where(F.col("key") == EVERY_UNIT)
     n, total = whole.select("df").scalar(), whole.select("total_length").scalar()
     known = F.col("df").isNotNull()
     per_anchor = Window.partitionBy("query_id", "role", "anchor")
     anchor_ok = F.when(F.col("role") == "part", F.every(known).over(per_anchor)).when(F.col("role") != "term", known)
-    keys = (keys.repartition("query_id").join(hint(stats.select("key", "df")), "key", "left")
+    keys = (keys.repartition("query_id").join(stats.select("key", "df"), "key", "left")
             .withColumn("_ok", F.coalesce(anchor_ok, F.lit(False)))
             .withColumn("gated", F.some("_ok").over(Window.partitionBy("query_id")))
             .select("query_id", "role", "key", "df", n.alias("n"), (total / n).alias("avgdl"), "gated"))
-    return LexicalRun(base, checkpointed(keys), small)
+    return LexicalRun(base, written(keys), small)

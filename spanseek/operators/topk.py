@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanseek.functions.vectors import SCORE_DIGITS
-from spanseek.session import BROADCAST_BYTES, checkpointed, estimated_bytes
+from spanseek.session import BROADCAST_BYTES, written, estimated_bytes
 
 MERGE_FAN_IN = 512  # lists per query that one merging task is asked to rank
 MERGE_BUCKETS = 64
@@ -51,7 +51,7 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, *, query_vector:
         part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         found = _score_block(part, c, k)
         if blocks > 1:
-            found = checkpointed(found)
+            found = written(found)
         lists = found if lists is None else lists.unionByName(found)
     order = [F.desc("score"), F.asc("unit_id")]
     if c.rdd.getNumPartitions() * blocks > MERGE_FAN_IN:  # merge in two steps so that no task ranks every list of a query

@@ -14,7 +14,7 @@ from spanseek.operators import fusion
 from spanseek.operators.alignment import require_aligned, require_mode, require_weights
 from spanseek.operators.lexical import LexicalRun, lexical_run
 from spanseek.operators.topk import dense_top_k, top_k
-from spanseek.session import checkpointed
+from spanseek.session import written
 
 
 def searchable(units: DataFrame) -> DataFrame:
@@ -47,26 +47,25 @@ def retrieve(queries: DataFrame, units: DataFrame, *, depth: int = fv.POOL, lexi
     statistics look at the whole corpus; scope only decides which units may be returned, and does so before any top-k.
     The gate is a column, so a mixed batch is one plan and ungated queries produce no lexical rows.
     """
-    q = scoped(queries, mode)
+    q = written(scoped(queries, mode))
     wide = max(depth, lane) if lexical else depth
     dense = dense_top_k(q, units, wide, query_vector=query_vector, vector=vector)
     if lexical:
         run = run or lexical_run(q, units)
-        q = q.join(F.broadcast(run.gate.withColumn("gated", F.lit(True))) if run.small else
-                   run.gate.withColumn("gated", F.lit(True)), "query_id", "left") \
+        q = q.join(run.gate.withColumn("gated", F.lit(True)), "query_id", "left") \
             .withColumn("gated", F.coalesce("gated", F.lit(False)))
     else:
         q = q.withColumn("gated", F.lit(False))
     flags = q.select("query_id", "include_tests", "gated")
-    dense = checkpointed(dense.join(flags, "query_id").where(F.col("gated") | (F.col("rank") <= depth)))
+    dense = written(dense.join(flags, "query_id").where(F.col("gated") | (F.col("rank") <= depth)))
     rankings = [dense]
     if lexical:
-        scores = run.scores().join(F.broadcast(flags) if run.small else flags, "query_id")
+        scores = run.scores().join(flags, "query_id")
         lex = scores.where((F.col("bm25") > 0) & (F.col("include_tests") | ~F.col("is_test")))
         lex = top_k(lex, ["query_id"], [F.desc("bm25"), F.asc("unit_id")], lane)
         # raw scores of dense-only candidates, from the same partitioned pass; the candidate list is query-sized
-        also = scores.join(F.broadcast(dense.where("gated").select("query_id", "unit_id")), ["query_id", "unit_id"], "left_semi")
-        both = checkpointed(lex.select("query_id", "unit_id", "bm25", "rank").unionByName(
+        also = scores.join(dense.where("gated").select("query_id", "unit_id"), ["query_id", "unit_id"], "left_semi")
+        both = written(lex.select("query_id", "unit_id", "bm25", "rank").unionByName(
             also.select("query_id", "unit_id", "bm25", F.lit(None).cast("int").alias("rank"))))
         rankings.append(both.where(F.col("rank").isNotNull()))
         bm25 = both.groupBy("query_id", "unit_id").agg(F.max("bm25").alias("bm25"))
@@ -74,7 +73,7 @@ def retrieve(queries: DataFrame, units: DataFrame, *, depth: int = fv.POOL, lexi
     pool = pool.join(dense.select("query_id", "unit_id", F.col("score").alias("dense_score")), ["query_id", "unit_id"], "left")
     pool = pool.join(bm25, ["query_id", "unit_id"], "left") if lexical else pool.withColumn("bm25", F.lit(None).cast("double"))
     pool = pool.join(flags.select("query_id", "gated"), "query_id")
-    return Candidates(checkpointed(pool), q)
+    return Candidates(written(pool), q)
 
 
 def search(queries: DataFrame, units: DataFrame, k: int = fv.TOP_K, **options) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_private: str | None = None
 BROADCAST_BYTES = 64 << 20  # largest side that is ever broadcast on purpose
 
 
@@ -20,7 +24,6 @@ def local_session(app: str = "spanseek", cores: str = "*", shuffle_partitions: i
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.sql.execution.arrow.pyspark.enabled", "true")
              .config("spark.driver.memory", os.environ.get("SPANSEEK_DRIVER_MEMORY", "12g"))
-             .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
              .config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false")
              .getOrCreate())
@@ -28,14 +31,24 @@ def local_session(app: str = "spanseek", cores: str = "*", shuffle_partitions: i
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the reliable checkpoint folder the cluster names; a private one only where unset."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; a private one only where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spanseek-checkpoint-"))
-    return df.checkpoint(eager=True)
+    if folder:
+        return f"{folder.rstrip('/')}/spanseek-{spark.sparkContext.applicationId}"
+    global _private
+    if _private is None:
+        _private = tempfile.mkdtemp(prefix="spanseek-")
+        atexit.register(shutil.rmtree, _private, ignore_errors=True)
+    return _private
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, safe against lost executors, and of a size the optimizer
+    knows, so that later joins against it are broadcast exactly when it is small."""
+    path = f"{scratch_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

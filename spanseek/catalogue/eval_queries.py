@@ -204,12 +204,12 @@ GRID = [
 
 
 @query("fusion_grid", ctes(*c.pool_ctes(50), *GRID, select="""
-SELECT setting, n, beta, gamma, query_id, unit_id, rank::INTEGER AS rank, round(score, 6) AS score FROM (
+SELECT setting, n, beta, gamma, query_id, unit_id, rank::INTEGER AS rank, score FROM (
  SELECT *, row_number() OVER (PARTITION BY query_id, setting ORDER BY score DESC, pool_rank) AS rank FROM blended) WHERE rank <= 10"""))
 def fusion_grid(t):
     u = c.units(t)
     found = retrieve(c.questions(t), u, depth=50)
-    return _round(ex.fusion_grid(rescored(found, u, u.select("unit_id", F.col("vector_b").alias("vector")))), "score")
+    return ex.fusion_grid(rescored(found, u, u.select("unit_id", F.col("vector_b").alias("vector"))))
 
 
 def relevant(t):
@@ -231,7 +231,7 @@ SYSTEMS = [
     ("o_b", "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos_b DESC, unit_id) AS rank FROM sims"),
     ("o_c", "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY mixed DESC, unit_id) AS rank FROM sims"),
     ("lex", "SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, unit_id) AS r FROM bm25 QUALIFY r <= 100"),
-    *[(f"f_{m}", f"""SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC NULLS LAST, rank, unit_id) AS rank FROM (
+    *[(f"f_{m}", f"""SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC NULLS LAST, CASE WHEN rrf IS NULL THEN rank END, unit_id) AS rank FROM (
       SELECT d.query_id, d.unit_id, d.rank, CASE WHEN d.gated AND (d.rank <= 100 OR l.r IS NOT NULL) THEN
         CASE WHEN d.rank <= 100 THEN 1.0 / (60 + d.rank::DOUBLE) ELSE 0 END + CASE WHEN l.r IS NULL THEN 0 ELSE 1.0 / (60 + l.r::DOUBLE) END END AS rrf,
         CASE WHEN d.gated AND (d.rank <= 100 OR l.r IS NOT NULL) THEN 0 ELSE d.rank END AS _ FROM o_{m} d LEFT JOIN lex l USING (query_id, unit_id))""")

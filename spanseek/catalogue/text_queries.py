@@ -130,7 +130,7 @@ def collapsed(t):
 
 
 KEY_HEAD = f"{TEXT_MODEL.hf_id}@{TEXT_MODEL.revision}|document|{TEXT_MODEL.max_seq_length}|fp32|{TEXT_MODEL.document_prompt}"
-SQL_KEY = f"sha256(concat('{KEY_HEAD}', chr(0), text))[1:32]"
+SQL_KEY = f"sha256(concat('{KEY_HEAD}', chr(0), documents.text))[1:32]"
 
 
 @query("vector_key", f"SELECT doc_id, {SQL_KEY} AS vector_key FROM documents")
@@ -146,7 +146,7 @@ def key_dedup(t):
 
 @query("cache_misses", f"""
 SELECT DISTINCT {SQL_KEY} AS vector_key FROM documents WHERE {SQL_KEY} NOT IN (
- SELECT {SQL_KEY.replace('text', 'd.text')} FROM documents d JOIN labels USING (doc_id))""")
+ SELECT {SQL_KEY} FROM documents JOIN labels USING (doc_id))""")
 def cache_misses(t):
     from spanseek.sources.store import missing_keys
 
@@ -156,7 +156,7 @@ def cache_misses(t):
 
 
 @query("cache_hits", f"""
-SELECT doc_id, {SQL_KEY} IN (SELECT {SQL_KEY.replace('text', 'd.text')} FROM documents d JOIN labels USING (doc_id)) AS cached FROM documents""")
+SELECT doc_id, {SQL_KEY} IN (SELECT {SQL_KEY} FROM documents JOIN labels USING (doc_id)) AS cached FROM documents""")
 def cache_hits(t):
     from spanseek.session import skew_join
 

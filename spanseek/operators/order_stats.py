@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+BUCKETS = 256
 
 
 def floor_position(q: float, n: Column) -> Column:
@@ -33,10 +33,10 @@ def order_statistics(df: DataFrame, value: str, positions: dict[str, Column], by
     """
     keys = list(by)
     rows = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    cuts = F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)])
+    cuts = F.expr("array(" + ", ".join(f"{(i + 1) / buckets}D" for i in range(buckets - 1)) + ")")
     bounds = rows.agg(F.percentile_approx(value, cuts, 10 * buckets).alias("b")).scalar()
     # how many bounds lie below the value, read off where the value would be inserted
-    place = F.array_position(F.array_sort(F.array_append(F.array_distinct(bounds), F.col(value))), F.col(value))
+    place = F.array_position(F.sort_array(F.array_append(F.array_distinct(bounds), F.col(value))), F.col(value))
     rows = rows.withColumn("_b", place)
     totals = rows.groupBy(*keys, "_b").agg(F.sum("_c").alias("_in"))
     through = Window.partitionBy(*keys).orderBy("_b")

@@ -89,6 +89,7 @@ def skew_join(left: DataFrame, right: DataFrame, on: str, salt_from: str, how: s
                    .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(salt_from), F.lit(salts))).otherwise(0))
                    .drop("_hot"))
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_right = right.join(hot, on, "left").withColumn("_salt", F.explode(copies).cast("bigint")).drop("_hot")
+    salted_right = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    salted_right = salted_right.withColumn("_salt", F.col("_salt").cast("bigint"))
     salted_left = salted_left.withColumn("_salt", F.col("_salt").cast("bigint"))
     return salted_left.join(salted_right, [on, "_salt"], how).drop("_salt")

@@ -46,8 +46,10 @@ def compare(spark, folder: str, name: str) -> str:
     types = [(n, str(mine.schema.field(n).type), str(theirs.schema.field(n).type)) for n in mine.schema.names
              if str(mine.schema.field(n).type) != str(theirs.schema.field(n).type)]
     if a != b:
-        only_a, only_b = [r for r in a if r not in set(b)][:3], [r for r in b if r not in set(a)][:3]
-        return f"FAIL  {name}: {len(a)} / {len(b)} rows; {only_a} / {only_b} {types}"
+        in_a, in_b = set(a), set(b)
+        only_a, only_b = [r for r in a if r not in in_b], [r for r in b if r not in in_a]
+        counts, only_a, only_b = (len(only_a), len(only_b)), only_a[:3], only_b[:3]
+        return f"FAIL  {name}: {len(a)} / {len(b)} rows, {counts} differ; {only_a} / {only_b} {types}"
     return f"ok    {name}: {len(a)} rows, spark {took:.1f}s sql {sql_took:.1f}s {types or ''}"
 
 

@@ -108,5 +108,7 @@ def fusion_search(queries: DataFrame, units: DataFrame, vectors_b: DataFrame, k:
 
 def aligned_search(queries: DataFrame, units_a: DataFrame, units_b: DataFrame, *args, **options) -> DataFrame:
     """``fusion_search`` over two separately stored indexes, after checking that they hold the same units."""
+    from spanseek.plans.index_build import vectors_for
+
     require_aligned(units_a, units_b)
-    return fusion_search(queries, units_a, units_b, *args, **options)
+    return fusion_search(queries, units_a, vectors_for(units_a, units_b), *args, **options)

@@ -9,6 +9,7 @@ from spanseek.catalogue.registry import Tables
 from spanseek.encoders import GramEncoder
 from spanseek.functions import text as tx
 from spanseek.plans.search import searchable
+from spanseek.session import written
 
 LETTERS = list("abcdefghijklmnopqrstuvwxyz")
 PAIRS = ("th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic"
@@ -22,14 +23,14 @@ def path_of():
 
 
 def units(t: Tables) -> DataFrame:
-    """One unit per document, with the vectors of both models."""
+    """One unit per document, stored with the vectors of both models as an index would be: encoded once, read by every pass."""
     d = t.documents.select(
         F.col("doc_id").alias("unit_id"), F.lit("python").alias("language"), path_of().alias("path"), F.lit("module").alias("kind"),
         F.lit("").alias("name"), F.col("source").alias("qualname"), F.lit(1).alias("start_line"),
         tx.line_count(F.col("text")).alias("end_line"), F.lit("").alias("signature"), "text", F.lit(0).alias("part"),
         F.lit(True).alias("group"))
-    return searchable(d.withColumn("vector", MODEL_A.embed(F.col("text"), "document"))
-                      .withColumn("vector_b", MODEL_B.embed(F.col("text"), "document")))
+    return written(searchable(d.withColumn("vector", MODEL_A.embed(F.col("text"), "document"))
+                              .withColumn("vector_b", MODEL_B.embed(F.col("text"), "document"))))
 
 
 def questions(t: Tables) -> DataFrame:

@@ -1,7 +1,8 @@
 """Per-file helper: the statements of one source file as flat rows. Which rows become units is decided by Spark jobs.
 
-A row is (id, parent, last, kind, name, qualname, start, end, signature, digest): ids count in reading order, ``last`` is the
-highest id below the row, kinds are function, method, class, header, statement, comment and line. Python files are read
+A row is (id, parent, last, kind, name, qualname, start, end, signature, digest, from, to, blank): ids count in reading order,
+``last`` is the highest id below the row, ``from`` and ``to`` are the characters before its first line and through its last
+one, ``blank`` tells that its first line is blank, and kinds are function, method, class, header, statement, comment and line. Python files are read
 with the standard parser; JavaScript and TypeScript by bracket matching, so their spans can differ from a real grammar.
 """
 
@@ -12,25 +13,31 @@ import hashlib
 import io
 import re
 import tokenize
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
-FIELDS = ("id", "parent", "last", "kind", "name", "qualname", "start", "end", "signature", "digest")
+FIELDS = ("id", "parent", "last", "kind", "name", "qualname", "start", "end", "signature", "digest", "from", "to", "blank")
 _SPACE = re.compile(r"\s+")
 
 
 class Rows:
     def __init__(self, lines: list[str], tokens: list[tuple[int, str]], max_chars: int) -> None:
-        self.lines, self.tokens, self.max_chars, self.rows = lines, tokens, max_chars, []
+        self.lines, self.max_chars, self.rows = lines, max_chars, []
+        self.offset = [0, *accumulate(len(x) + 1 for x in lines)]
+        self.tokens = [t for _, t in tokens]
+        self.token_lines = [n for n, _ in tokens]
 
     def add(self, parent: int, kind: str, name: str, qual: str, start: int, end: int, signature: str = "") -> dict:
-        digest = hashlib.sha256("\0".join(t for n, t in self.tokens if start <= n <= end).encode()).hexdigest()[:16]
-        row = dict(zip(FIELDS, (len(self.rows), parent, 0, kind, name, qual, start, end, _SPACE.sub(" ", signature).strip()[:300], digest)))
+        inside = self.tokens[bisect_left(self.token_lines, start):bisect_right(self.token_lines, end)]
+        digest = hashlib.sha256("\0".join(inside).encode()).hexdigest()[:16]
+        row = dict(zip(FIELDS, (len(self.rows), parent, 0, kind, name, qual, start, end, _SPACE.sub(" ", signature).strip()[:300], digest,
+                                self.offset[start - 1], self.offset[end], not self.lines[start - 1].strip())))
         self.rows.append(row)
         return row
 
     def close(self, row: dict) -> None:
         """Oversized rows without parts are handed on line by line."""
-        size = sum(len(x) + 1 for x in self.lines[row["start"] - 1:row["end"]]) - 1
-        if row["id"] == len(self.rows) - 1 and size > self.max_chars and row["kind"] != "line":
+        if row["id"] == len(self.rows) - 1 and row["to"] - row["from"] - 1 > self.max_chars and row["kind"] != "line":
             for n in range(row["start"], row["end"] + 1):
                 self.add(row["id"], "line", row["name"], row["qualname"], n, n)
         row["last"] = len(self.rows) - 1

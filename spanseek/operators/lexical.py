@@ -16,7 +16,7 @@ from spanseek import fixed_values as fv
 from spanseek.functions import text as tx
 from spanseek.functions.vectors import SUM_DIGITS, bm25_weight, idf
 from spanseek.operators.literals import literal_hits
-from spanseek.session import BROADCAST_BYTES, written, estimated_bytes, skew_join
+from spanseek.session import BROADCAST_BYTES, estimated_bytes, skew_join, written
 
 LITERAL_MARK = '"'
 EVERY_UNIT = ""  # a key each unit holds once, so that corpus size and lengths come out of the same table
@@ -128,7 +128,8 @@ def lexical_run(queries: DataFrame, docs: DataFrame, *, gated_only: bool = True,
     keys = written(query_keys(queries.where(has_anchor_shape(F.col("query"))) if gated_only else queries))
     small = estimated_bytes(keys) <= BROADCAST_BYTES
     is_test = F.col("is_test") if "is_test" in docs.columns else F.lit(False)
-    base = docs.select("unit_id", is_test.alias("is_test"), F.col(doc).alias("_doc"))
+    # stated here so that every use of a pass carries the same filter and the planner can reuse its exchange
+    base = docs.where(F.col("unit_id").isNotNull()).select("unit_id", is_test.alias("is_test"), F.col(doc).alias("_doc"))
     literals = keys.where(F.col("role") == "literal").select(F.substring(F.col("key"), F.lit(2), F.length("key")).alias("lit"))
     every = F.concat(F.array(F.lit(EVERY_UNIT)), F.array_distinct("found"))
     wanted = keys.select("key").union(docs.sparkSession.range(1).select(F.lit(EVERY_UNIT).alias("key"))).distinct()

@@ -17,7 +17,7 @@ from spanseek.functions import paths as px
 from spanseek.functions import text as tx
 
 _ROW = ("struct<rows:array<struct<id:int,parent:int,last:int,kind:string,name:string,qualname:string,start:int,end:int,"
-        "signature:string,digest:string>>,had_error:boolean>")
+        "signature:string,digest:string,from:int,to:int,blank:boolean>>,had_error:boolean>")
 
 
 def decoded(files: DataFrame) -> DataFrame:
@@ -45,14 +45,8 @@ def split_units(read: DataFrame, max_chars: int = fv.MAX_CHARS, min_chars: int =
     Definitions that fit are units; larger ones are opened into their nested definitions and groups of the other
     statements; classes are always opened. Groups are filled in reading order up to ``max_chars``.
     """
-    lengths = F.transform(F.split("text", "\n"), lambda x: F.length(x))
-    # offset[i]: characters before line i + 1, so a span's length is offset[end] - offset[start - 1] - 1
-    offset = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n + 1)))
-    blank = F.transform(F.split("text", "\n"), lambda x: tx.is_blank(x))
-    files = read.select("path", "language", "text", "rows", offset.alias("_off"), blank.alias("_blank"))
-    rows = files.withColumn("r", F.explode("rows")).select("path", "language", "r.*", *[
-        F.element_at("_off", i).alias(n) for i, n in ((F.col("r.start"), "from"), (F.col("r.end") + 1, "to"))],
-        F.element_at("_blank", F.col("r.start")).alias("blank"))
+    # a span's length is to - from - 1
+    rows = read.select("path", "language", tx.rows_of(F.col("rows")).alias("r")).where(F.col("r").isNotNull()).select("path", "language", "r.*")
     definition = F.col("kind").isin("function", "method", "class")
 
     # comments directly above a definition belong to it: islands of siblings, read from the end
@@ -78,10 +72,8 @@ def split_units(read: DataFrame, max_chars: int = fv.MAX_CHARS, min_chars: int =
     around = F.filter(F.collect_list(F.when(F.col("_opened"), F.struct("id", "last", "kind", "name", "qualname", "signature"))).over(seen),
                       lambda x: x["last"] >= F.col("id"))
     rows = rows.withColumn("_around", around)
-    outer = F.element_at(F.filter("_around", lambda x: x["kind"].isin("function", "method", "class")), -1)
     rows = rows.withColumn("_outer", F.try_element_at(F.filter("_around", lambda x: x["kind"].isin("function", "method", "class")), F.lit(-1)))
     in_class = F.coalesce((F.col("_outer.kind") == "class") & (F.col("_outer.id") == F.col("parent")), F.lit(False))
-    del outer
 
     whole = rows.where(~F.col("_opened") & (definition | (F.col("kind") == "header"))).select(
         "path", "language", F.when(F.col("kind") == "header", "class").otherwise(F.col("kind")).alias("kind"), "name", "qualname",
@@ -106,7 +98,7 @@ def split_units(read: DataFrame, max_chars: int = fv.MAX_CHARS, min_chars: int =
         fits = last.isNotNull() & (x["to"] - last["from"] <= limit)
         return F.when(fits, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(alone)))
 
-    groups = packed.withColumn("g", F.explode(F.filter(F.aggregate("pieces", empty, fill), lambda g: ~g["idle"])))
+    groups = packed.withColumn("g", tx.rows_of(F.filter(F.aggregate("pieces", empty, fill), lambda g: ~g["idle"]))).where(F.col("g").isNotNull())
     order = Window.partitionBy("path", "_scope").orderBy("g.start", "g.end")
     groups = groups.select(
         "path", "language", F.coalesce("_o.kind", F.lit("module")).alias("kind"), F.coalesce("_o.name", F.lit("")).alias("name"),
@@ -129,7 +121,7 @@ def split_units(read: DataFrame, max_chars: int = fv.MAX_CHARS, min_chars: int =
         tx.non_blank_length(cut(u)).alias("filled"))))
     if min_chars > 0:
         units = units.withColumn("units", _merged(max_chars, min_chars))
-    out = units.select("path", F.explode(F.transform("units", lambda u: F.struct(u.alias("u"), cut(u).alias("text")))).alias("x"))
+    out = units.select("path", tx.rows_of(F.transform("units", lambda u: F.struct(u.alias("u"), cut(u).alias("text")))).alias("x"))
     u = "x.u."
     merged = F.col(u + "digest") == ""
     return out.where(F.col(u + "filled") > 0).select(

@@ -289,7 +289,9 @@ def grid_argmax(t):
     return _round(best.select("setting", "mrr_at_10", "pool", "beta", "gamma"), "mrr_at_10")
 
 
-@query("lane_search_b", None)
+@query("lane_search_b", ctes(*c.pool_ctes(10), select="""
+SELECT query_id, unit_id, pool_rank::INTEGER AS rank, round(CASE WHEN gated THEN rrf ELSE cos_a END, 6) AS score FROM rows""")
+       .replace("qa::DOUBLE", "qb::DOUBLE").replace("va::DOUBLE", "vb::DOUBLE"))
 def lane_search_b(t):
     """The gated search with model B as the retriever (the other direction of the staged experiments)."""
     u = c.units(t).drop("vector").withColumnRenamed("vector_b", "vector")

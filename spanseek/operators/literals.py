@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanseek.session import broadcast_if_small, estimated_bytes
+from spanseek.functions.text import rows_of
+from spanseek.session import broadcast_if_small, estimated_bytes, skew_join
 
 SCAN_BYTES = 8 << 20  # literals held by every task of the scanning form
 LONG_GRAM, SHORT_GRAM = 8, 3
@@ -71,6 +72,6 @@ def _gram_join(docs: DataFrame, wanted: DataFrame, doc: str) -> DataFrame:
     grams = F.array_distinct(F.concat(*[
         F.regexp_extract_all("_low", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (LONG_GRAM, SHORT_GRAM)]))
     heads = broadcast_if_small(keyed.select("gram").distinct())
-    candidates = (low.select("unit_id", F.explode(grams).alias("gram")).join(heads, "gram", "left_semi")
-                  .join(keyed, "gram").select("unit_id", "lit"))
+    rows = low.select("unit_id", rows_of(grams).alias("gram")).join(heads, "gram", "left_semi")
+    candidates = skew_join(rows, keyed, "gram", "unit_id").select("unit_id", "lit")  # one gram may be in every text
     return candidates.join(low, "unit_id").where(F.contains("_low", F.col("lit"))).select("unit_id", "lit")

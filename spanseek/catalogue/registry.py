@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanseek.session import spread
+from spanseek.session import ship, spread
 
 
 @dataclass(frozen=True)
@@ -27,7 +27,7 @@ SQL: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def register(fn: Callable[[Tables], DataFrame]):
-        QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
+        QUERIES[name] = lambda spark, folder: fn(Tables(ship(spark), folder))
         if sql is not None:
             SQL[name] = sql
         return fn

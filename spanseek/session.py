@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,14 +30,36 @@ def local_session(app: str = "spanseek", cores: str = "*", shuffle_partitions: i
              .config("spark.ui.showConsoleProgress", "false")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
+    return ship(spark)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the workers once per application, so that a run does not depend on the folder it starts in."""
+    application = spark.sparkContext.applicationId
+    if application not in _shipped:
+        root = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="spanseek-code-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = f"{folder}/spanseek_code.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for file in sorted(root.rglob("*.py")):
+                z.write(file, f"{root.name}/{file.relative_to(root)}")
+        spark.sparkContext.addPyFile(archive)  # served to the executors by the driver
+        _shipped.add(application)
     return spark
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a private one only where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder named in ``spark.checkpoint.dir`` or by ``setCheckpointDir``. Where neither is set, a private one in local mode
+    (tests); on a cluster that would lose rows without an error, so it is refused."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return f"{folder.rstrip('/')}/spanseek-{spark.sparkContext.applicationId}"
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     global _private
     if _private is None:
         _private = tempfile.mkdtemp(prefix="spanseek-")

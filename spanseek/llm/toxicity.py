@@ -118,8 +118,8 @@ def fit(docs: DataFrame, marks: DataFrame) -> Model:
     """``docs``: doc_id, text; ``marks``: doc_id, label (0 or 1). Marked ids beyond ``SAMPLE`` are left out by a hash of the id."""
     ids = (marks.where("label IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("label").cast("int").alias("label"))
            .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(SAMPLE))
-    sample = (docs.select("doc_id", whole().alias("text")).join(F.broadcast(ids), "doc_id").select("text", "label")  # SAMPLE rows at most
-              .repartition(8, F.xxhash64("text")))
+    sample = (docs.select("doc_id", whole().alias("text")).join(F.broadcast(ids), "doc_id")  # SAMPLE rows at most
+              .repartition(8, "doc_id").select("text", "label"))
     sample = written(sample)
     n0, n1 = sample.agg(F.expr("count_if(label = 0)"), F.expr("count_if(label = 1)")).first()
     empty = np.zeros(BUCKETS, np.float32)

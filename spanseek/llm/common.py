@@ -59,9 +59,10 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def lowered(raw: np.ndarray) -> np.ndarray:
     """Lower case for A-Z and for the Latin-1 letters, whose second UTF-8 byte tells the case."""
     low = _UPPER[raw]
-    if len(raw) > 1:
-        latin = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
-        low[1:][latin] += 32
+    lead = np.flatnonzero(raw[:-1] == 0xC3) + 1
+    if len(lead):
+        second = raw[lead]
+        low[lead[(second >= 0x80) & (second <= 0x9E) & (second != 0x97)]] += 32
     return low
 
 

@@ -210,19 +210,61 @@ def candidates(reps: DataFrame) -> DataFrame:
         held = big.groupBy("path").agg(F.any_value("n").alias("n")).withColumnRenamed("path", "parent")
         nodes = big.select("key", "path").join(live, "key")
 
-    def compare(group: pa.Table) -> pa.Table:
-        sketches = _matrix(group["sketch"], np.uint32)
-        agree = np.zeros((len(sketches), len(sketches)), np.uint8)
+    def compare(batches):
+        """Batches of a partition sorted by group; a group that a batch cuts is finished with the next one."""
+        rest = None
+        for batch in batches:
+            here = pa.Table.from_batches([batch])
+            here = here if rest is None else pa.concat_tables([rest, here])
+            group = _groups(here)
+            last = group[-1] if len(group) else 0
+            rest = here.slice(int(last))
+            if last:
+                yield _links(here.slice(0, int(last)), group[:-1])
+        if rest is not None and rest.num_rows:
+            yield _links(rest, np.zeros(1, np.int64))
+
+    dealt = _parts(leaves.join(live, "key"), "blocks").select("path", "bi", "bj", "key", "sketch")
+    return (dealt.repartition("path", "bi", "bj").sortWithinPartitions("path", "bi", "bj").mapInArrow(compare, "a binary, b binary"))
+
+
+def _groups(rows: pa.Table) -> np.ndarray:
+    """Where each group of a sorted table begins."""
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = True
+    for name in ("path", "bi", "bj"):
+        x = np.asarray(rows[name].combine_chunks())
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def _links(rows: pa.Table, begin: np.ndarray) -> pa.RecordBatch:
+    """Links of all groups: every agreeing pair of groups with up to 8 sets, a spanning forest of larger ones."""
+    sketches = _matrix(rows["sketch"], np.uint32)
+    size = np.diff(np.r_[begin, rows.num_rows])
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n in range(2, 9):
+        at = begin[size == n]
+        for s in range(0, len(at), 2048):
+            for i in range(n):
+                for j in range(i + 1, n):
+                    x, y = at[s:s + 2048] + i, at[s:s + 2048] + j
+                    good = (sketches[x] == sketches[y]).sum(1) >= AGREE
+                    a.append(x[good])
+                    b.append(y[good])
+    for at, n in zip(begin[size > 8], size[size > 8]):
+        held = sketches[at:at + n]
+        agree = np.zeros((n, n), np.uint8)
         for i in range(MINHASHES):
-            agree += sketches[:, i][:, None] == sketches[:, i][None, :]
+            agree += held[:, i][:, None] == held[:, i][None, :]
         linked = agree >= AGREE
         np.fill_diagonal(linked, False)
-        a, b = _forest(linked)
-        key = group["key"].combine_chunks()
-        return pa.table({"a": key.take(pa.array(a)), "b": key.take(pa.array(b))})
-
-    dealt = _parts(leaves.join(live, "key"), "blocks")
-    return dealt.select("path", "bi", "bj", "key", "sketch").groupBy("path", "bi", "bj").applyInArrow(compare, "a binary, b binary")
+        x, y = _forest(linked)
+        a.append(at + x)
+        b.append(at + y)
+    key = rows["key"].combine_chunks()
+    key = key.chunk(0) if isinstance(key, pa.ChunkedArray) else key
+    return pa.RecordBatch.from_arrays([key.take(pa.array(np.concatenate(a))), key.take(pa.array(np.concatenate(b)))], names=["a", "b"])
 
 
 def exact_links(members: DataFrame) -> DataFrame:

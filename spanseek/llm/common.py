@@ -31,6 +31,13 @@ def whole(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def fold_of(key: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.col(key).cast("string")), F.lit(folds))
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanseek.llm.common import blocks, flat, lowered, mixed, query, table, whole, word_hashes, words
+from spanseek.llm.common import blocks, flat, fresh, lowered, mixed, query, table, whole, word_hashes, words
 from spanseek.llm.graph import components
 from spanseek.session import written
 
@@ -33,7 +33,7 @@ MINHASHES = 64
 AGREE = 38         # of MINHASHES: four standard deviations below the threshold
 FAN = 3            # children that a set is sent to at a node
 RECALL = 0.99999
-LEAF = 256
+LEAF = 2048
 ALIKE = 0.5        # average similarity from which a node is compared instead of split
 DEPTH = 8
 BLOCK_SETS = 512
@@ -199,7 +199,7 @@ def candidates(reps: DataFrame) -> DataFrame:
             leaves = leaves.unionByName(whole_nodes.withColumn("blocks", F.ceil(F.col("n") / BLOCK_SETS).cast("int")))
             many = many.join(alike, "parent", "left_anti")
         met = written(children.drop("parent").join(many.select("path", "n"), "path"))
-        small = met.where(F.col("n") <= LEAF).withColumn("blocks", F.lit(1))
+        small = met.where(F.col("n") <= LEAF).withColumn("blocks", F.ceil(F.col("n") / BLOCK_SETS).cast("int"))
         leaves = small if leaves is None else leaves.unionByName(small)
         big = met.where(F.col("n") > LEAF).select("path", "key", "n")
         if big.isEmpty():
@@ -365,19 +365,20 @@ def join(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without all but one row of every class; the row with the least doc_id stays."""
     _, shared = classes(docs)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_key", T.BinaryType())])
+    key, label, head = (fresh(docs, n) for n in ("_key", "_label", "_class_id"))
+    schema = T.StructType([*docs.schema.fields, T.StructField(key, T.BinaryType())])
     text = docs.columns.index("text")
 
     def named(batches):
         for block in blocks(batches, "text"):
             owner, value = shingles(*flat(block.column(text)))
             keys, _ = _keys(owner, value, block.num_rows)
-            yield pa.RecordBatch.from_arrays([*block.columns, _binary(keys)], names=[*block.schema.names, "_key"])
+            yield pa.RecordBatch.from_arrays([*block.columns, _binary(keys)], names=[*block.schema.names, key])
 
     rows = docs.mapInArrow(named, schema)
-    single = rows.join(shared.select(F.col("key").alias("_key")), "_key", "left_anti").select(*docs.columns)
-    first = (rows.join(shared.where("keep").select(F.col("key").alias("_key"), "label", "class_id"), "_key")
-             .where(F.col("doc_id").eqNullSafe(F.col("class_id"))).dropDuplicates(["label"]).select(*docs.columns))
+    single = rows.join(shared.select(F.col("key").alias(key)), key, "left_anti").select(*docs.columns)
+    first = (rows.join(shared.where("keep").select(F.col("key").alias(key), F.col("label").alias(label), F.col("class_id").alias(head)), key)
+             .where(F.col("doc_id").eqNullSafe(F.col(head))).dropDuplicates([label]).select(*docs.columns))
     return single.unionByName(first)
 
 

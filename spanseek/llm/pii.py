@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanseek.llm.common import query, table, whole
+from spanseek.llm.common import fresh, query, table, whole
 
 KINDS = ("email", "ip", "card", "phone", "iban")
 BASE = KINDS[:4]
@@ -154,9 +154,10 @@ def listed(spans: Column) -> Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind in brackets. Texts without spans, null ones too, stay as they are."""
-    found = find(docs, "_pii")
+    spans, merged = fresh(docs, "_pii"), fresh(docs, "_stretches")
+    found = find(docs, spans)
     stretches = F.aggregate(
-        F.col("_pii"), F.expr("CAST(array() AS array<struct<start:int,end:int,kind:string>>)"),
+        F.col(spans), F.expr("CAST(array() AS array<struct<start:int,end:int,kind:string>>)"),
         lambda a, s: F.when(
             (F.size(a) > 0) & (F.element_at(a, F.when(F.size(a) > 0, -1).otherwise(1))["end"] > s["start"]),
             F.concat(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))),
@@ -164,13 +165,13 @@ def redact(docs: DataFrame) -> DataFrame:
                                       F.greatest(F.element_at(a, F.when(F.size(a) > 0, -1).otherwise(1))["end"], s["end"]).alias("end"),
                                       F.element_at(a, F.when(F.size(a) > 0, -1).otherwise(1))["kind"].alias("kind")))))
         .otherwise(F.concat(a, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))))
-    held = found.withColumn("_stretches", stretches)
-    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("_stretches"), i - 1)["end"])
-    pieces = F.transform(F.col("_stretches"), lambda s, i: F.concat(
+    held = found.withColumn(merged, stretches)
+    before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(F.col(merged), i - 1)["end"])
+    pieces = F.transform(F.col(merged), lambda s, i: F.concat(
         F.substr(F.col("text"), before(i) + 1, s["start"] - before(i)), F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    tail = F.substr(F.col("text"), F.element_at(F.col("_stretches"), -1)["end"] + 1)
-    text = F.when(F.size("_pii") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col("text"))
-    return held.withColumn("text", text).drop("_pii", "_stretches")
+    tail = F.substr(F.col("text"), F.element_at(F.col(merged), -1)["end"] + 1)
+    text = F.when(F.size(spans) > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(F.col("text"))
+    return held.withColumn("text", text).drop(spans, merged)
 
 
 _DUCK = {

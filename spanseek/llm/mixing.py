@@ -28,7 +28,7 @@ DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.85, "poor": 0.08, "toxic": 0.07}
 WIDTH = 2048
 SAMPLE = 8_000
-STEPS = 80
+STEPS = 150  # far targets end here, as near as that many steps come
 CLOSE = 1e-4  # largest miss, as a share of all tokens
 STILL = 1e-6  # targets that no rates can meet: the totals have stopped moving
 ROWS = 512

@@ -16,7 +16,7 @@ import tokenize
 from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
-FIELDS = ("id", "parent", "last", "kind", "name", "qualname", "start", "end", "signature", "digest", "from", "to", "blank")
+FIELDS = ("id", "parent", "last", "kind", "name", "qualname", "start", "end", "signature", "digest", "from", "to", "blank", "member")
 _SPACE = re.compile(r"\s+")
 
 
@@ -31,7 +31,8 @@ class Rows:
         inside = self.tokens[bisect_left(self.token_lines, start):bisect_right(self.token_lines, end)]
         digest = hashlib.sha256("\0".join(inside).encode()).hexdigest()[:16]
         row = dict(zip(FIELDS, (len(self.rows), parent, 0, kind, name, qual, start, end, _SPACE.sub(" ", signature).strip()[:300], digest,
-                                self.offset[start - 1], self.offset[end], not self.lines[start - 1].strip())))
+                                self.offset[start - 1], self.offset[end], not self.lines[start - 1].strip(),
+                                parent >= 0 and self.rows[parent]["kind"] == "class")))
         self.rows.append(row)
         return row
 
@@ -116,7 +117,7 @@ def _python(text: str, lines: list[str], max_chars: int) -> tuple[list[dict], bo
 # ---- JavaScript and TypeScript ---------------------------------------------------------------------
 _LEX = re.compile(
     r"(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<text>`(?:[^`\\]|\\.)*`|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')"
-    r"|(?P<regex>(?<=[=(,:;!&|?{}\[])\s*/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*)"
+    r"|(?P<regex>(?:(?<=[=(,:;!&|?{}\[])|(?<=\breturn)|(?<=\btypeof)|(?<=\bcase)|(?<=\bin)|(?<=\bof)|(?<=\bdelete)|(?<=\bvoid)|(?<=\bthrow)|(?<=\bawait)|(?<=\byield)|(?<=\belse)|(?<=\bdo)|(?<=^))\s*/(?![/*])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*)"
     r"|(?P<word>[\w$#@]+)|(?P<mark>=>|\.\.\.|[-+*/%&|^<>=!?]+|[^\s\w])", re.S)
 _PAIRS = {"{": "}", "(": ")", "[": "]"}
 _BLOCKS = {"function", "class", "if", "for", "while", "switch", "try", "do", "interface", "namespace", "enum", "with"}

@@ -26,8 +26,13 @@ def count_by(units: DataFrame, column: str) -> DataFrame:
     return units.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
 
+def file_key(rows: DataFrame) -> list[str]:
+    """Columns that name a file: with several checkouts, the root too."""
+    return [c for c in ("root", "path") if c in rows.columns]
+
+
 def files_by_language(units: DataFrame) -> DataFrame:
-    return units.select("language", "path").distinct().groupBy("language").agg(F.count(F.lit(1)).alias("files"))
+    return units.select("language", *file_key(units)).distinct().groupBy("language").agg(F.count(F.lit(1)).alias("files"))
 
 
 def copied_texts(units: DataFrame, text: str = "text", path: str = "path") -> DataFrame:
@@ -42,16 +47,17 @@ def line_coverage(files: DataFrame, units: DataFrame) -> DataFrame:
 
     The spans of one file meet its lines in one row; both are bounded by the file size limit.
     """
-    spans = units.groupBy("path").agg(F.collect_list(F.struct(F.col("start_line").alias("s"), F.col("end_line").alias("e"))).alias("spans"))
+    key = [c for c in file_key(files) if c in units.columns]
+    spans = units.groupBy(*key).agg(F.collect_list(F.struct(F.col("start_line").alias("s"), F.col("end_line").alias("e"))).alias("spans"))
     lines = F.split(F.col("text"), "\n")
     numbered = F.transform(lines, lambda line, i: F.struct((i + 1).alias("n"), tx.is_blank(line).alias("blank")))
     filled = F.filter(numbered, lambda x: ~x["blank"])
     covered = F.size(F.array_intersect(
         F.transform("filled", lambda x: x["n"]),
         F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["s"], s["e"]))))))
-    return (files.select("path", F.transform(filled, lambda x: F.struct(x["n"].alias("n"))).alias("filled"))
-            .join(spans, "path", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<s:int,e:int>>")))
-            .select("path", F.size("filled").alias("non_blank"), covered.alias("covered"))
+    return (files.select(*key, F.transform(filled, lambda x: F.struct(x["n"].alias("n"))).alias("filled"))
+            .join(spans, key, "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<s:int,e:int>>")))
+            .select(*key, F.size("filled").alias("non_blank"), covered.alias("covered"))
             .withColumn("share", F.when(F.col("non_blank") > 0, F.col("covered") / F.col("non_blank"))))
 
 
@@ -77,4 +83,5 @@ def broken_spans(files: DataFrame, units: DataFrame) -> DataFrame:
     """Units whose text is not exactly the lines of their span."""
     lines = F.split(F.col("_file"), "\n")
     expected = F.array_join(F.slice(lines, F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
-    return units.join(files.select("path", F.col("text").alias("_file")), "path").where(F.col("text") != expected).drop("_file")
+    key = [c for c in file_key(files) if c in units.columns]
+    return units.join(files.select(*key, F.col("text").alias("_file")), key).where(F.col("text") != expected).drop("_file")

@@ -1,7 +1,7 @@
 """From files to retrieval units. A small helper lists the statements of a file; everything else is windows over them.
 
-All windows are partitioned by path, so the rows move once; a file has at most a megabyte (the scan drops larger ones), which
-bounds every group.
+A file is (root, path): equal paths of several checkouts never meet. All windows are partitioned by file, so the rows move once; a file
+has at most a megabyte (the scan drops larger ones), which bounds every group.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from spanseek.functions import paths as px
 from spanseek.functions import text as tx
 
 _ROW = ("struct<rows:array<struct<id:int,parent:int,last:int,kind:string,name:string,qualname:string,start:int,end:int,"
-        "signature:string,digest:string,from:int,to:int,blank:boolean>>,had_error:boolean>")
+        "signature:string,digest:string,from:int,to:int,blank:boolean,member:boolean>>,had_error:boolean>")
 
 
 def decoded(files: DataFrame) -> DataFrame:
@@ -26,7 +26,12 @@ def decoded(files: DataFrame) -> DataFrame:
 
 
 def outlines(files: DataFrame, max_chars: int = fv.MAX_CHARS) -> DataFrame:
-    """``files`` (path, text) with ``language``, ``rows`` and ``had_error``. Files of unknown language are dropped."""
+    """``files`` (path, text, and root where there are several checkouts) with ``language``, ``rows`` and ``had_error``.
+
+    Files of unknown language are dropped."""
+    if "root" not in files.columns:
+        files = files.withColumn("root", F.lit(""))
+
     @F.pandas_udf(_ROW)
     def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         from spanseek.functions.outline import outline
@@ -36,7 +41,7 @@ def outlines(files: DataFrame, max_chars: int = fv.MAX_CHARS) -> DataFrame:
             yield pd.DataFrame({"rows": [r for r, _ in got], "had_error": [e for _, e in got]})
 
     known = files.withColumn("language", px.language(F.col("path"))).where(F.col("language").isNotNull())
-    return known.withColumn("o", read("text", "language")).select("path", "language", "text", "o.rows", "o.had_error")
+    return known.withColumn("o", read("text", "language")).select("root", "path", "language", "text", "o.rows", "o.had_error")
 
 
 def split_units(read: DataFrame, max_chars: int = fv.MAX_CHARS, min_chars: int = 0) -> DataFrame:
@@ -46,45 +51,46 @@ def split_units(read: DataFrame, max_chars: int = fv.MAX_CHARS, min_chars: int =
     statements; classes are always opened. Groups are filled in reading order up to ``max_chars``.
     """
     # a span's length is to - from - 1
-    rows = read.select("path", "language", tx.rows_of(F.col("rows")).alias("r")).where(F.col("r").isNotNull()).select("path", "language", "r.*")
+    rows = (read.select("root", "path", "language", tx.rows_of(F.col("rows")).alias("r")).where(F.col("r").isNotNull())
+            .select("root", "path", "language", "r.*"))
     definition = F.col("kind").isin("function", "method", "class")
 
     # comments directly above a definition belong to it: islands of siblings, read from the end
-    siblings = Window.partitionBy("path", "parent").orderBy("id")
-    backwards = Window.partitionBy("path", "parent").orderBy(F.desc("id"))
+    siblings = Window.partitionBy("root", "path", "parent").orderBy("id")
+    backwards = Window.partitionBy("root", "path", "parent").orderBy(F.desc("id"))
     far = F.coalesce(F.lead("start").over(siblings) - F.col("end") > 1, F.lit(True))
     rows = rows.withColumn("_new", F.when((F.col("kind") != "comment") | far, 1).otherwise(0))
     rows = rows.withColumn("_island", F.sum("_new").over(backwards))
-    island = Window.partitionBy("path", "parent", "_island")
+    island = Window.partitionBy("root", "path", "parent", "_island")
     rows = (rows.withColumn("_owned", F.max(F.when(definition, 1).otherwise(0)).over(island) == 1)
             .withColumn("start", F.when(definition, F.min("start").over(island)).otherwise(F.col("start")))
             .withColumn("from", F.when(definition, F.min("from").over(island)).otherwise(F.col("from"))))
     rows = rows.where((F.col("kind") != "comment") | ~F.col("_owned")).withColumn("size", F.col("to") - F.col("from") - 1)
 
-    # a row that is not opened hides everything below it
-    opened = (F.col("kind") == "class") | ((F.col("size") > max_chars) & (F.col("last") > F.col("id")))
-    before = Window.partitionBy("path").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    # a row that is not opened hides everything below it; so do members of a class that are no definitions, whatever their size
+    dropped = F.col("member") & F.col("kind").isin("statement", "comment")
+    opened = ((F.col("kind") == "class") | ((F.col("size") > max_chars) & (F.col("last") > F.col("id")))) & ~dropped
+    before = Window.partitionBy("root", "path").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_opened", opened).withColumn("_hides", F.max(F.when(~opened, F.col("last"))).over(before))
     rows = rows.where(F.coalesce(F.col("_hides") < F.col("id"), F.lit(True)))
 
     # what encloses a row: the innermost opened definition, and whether its direct parent is a class
-    seen = Window.partitionBy("path").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    seen = Window.partitionBy("root", "path").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     around = F.filter(F.collect_list(F.when(F.col("_opened"), F.struct("id", "last", "kind", "name", "qualname", "signature"))).over(seen),
                       lambda x: x["last"] >= F.col("id"))
     rows = rows.withColumn("_around", around)
     rows = rows.withColumn("_outer", F.try_element_at(F.filter("_around", lambda x: x["kind"].isin("function", "method", "class")), F.lit(-1)))
-    in_class = F.coalesce((F.col("_outer.kind") == "class") & (F.col("_outer.id") == F.col("parent")), F.lit(False))
 
     whole = rows.where(~F.col("_opened") & (definition | (F.col("kind") == "header"))).select(
-        "path", "language", F.when(F.col("kind") == "header", "class").otherwise(F.col("kind")).alias("kind"), "name", "qualname",
+        "root", "path", "language", F.when(F.col("kind") == "header", "class").otherwise(F.col("kind")).alias("kind"), "name", "qualname",
         "start", "end", "from", "to", "signature", "digest", F.lit(0).alias("part"), F.lit(False).alias("group"))
 
     # the rest is grouped in reading order; a definition between two statements ends a group
-    rest = rows.withColumn("_run", F.sum(F.when(definition, 1).otherwise(0)).over(Window.partitionBy("path").orderBy("id")))
-    rest = rest.where(~F.col("_opened") & F.col("kind").isin("statement", "comment", "line") & ~(in_class & (F.col("kind") != "line")))
+    rest = rows.withColumn("_run", F.sum(F.when(definition, 1).otherwise(0)).over(Window.partitionBy("root", "path").orderBy("id")))
+    rest = rest.where(~F.col("_opened") & F.col("kind").isin("statement", "comment", "line") & ~dropped)
     piece = F.struct("id", "start", "end", "from", "to", "digest", (F.col("kind") == "line").alias("line"),
                      ((F.col("kind") == "comment") | F.col("blank")).alias("idle"))
-    packed = rest.groupBy("path", "language", F.col("_outer.id").alias("_scope"), "_run", F.when(F.col("kind") == "line", F.col("parent")).alias("_cut")).agg(
+    packed = rest.groupBy("root", "path", "language", F.col("_outer.id").alias("_scope"), "_run", F.when(F.col("kind") == "line", F.col("parent")).alias("_cut")).agg(
         F.first("_outer").alias("_o"), F.first(F.when(F.col("kind") == "line", F.struct("name", "qualname"))).alias("_l"),
         F.array_sort(F.collect_list(piece)).alias("pieces"))
     empty = F.array().cast("array<struct<start:int,end:int,from:int,to:int,digest:string,idle:boolean>>")
@@ -99,33 +105,33 @@ def split_units(read: DataFrame, max_chars: int = fv.MAX_CHARS, min_chars: int =
         return F.when(fits, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(alone)))
 
     groups = packed.withColumn("g", tx.rows_of(F.filter(F.aggregate("pieces", empty, fill), lambda g: ~g["idle"]))).where(F.col("g").isNotNull())
-    order = Window.partitionBy("path", "_scope").orderBy("g.start", "g.end")
+    order = Window.partitionBy("root", "path", "_scope").orderBy("g.start", "g.end")
     groups = groups.select(
-        "path", "language", F.coalesce("_o.kind", F.lit("module")).alias("kind"), F.coalesce("_o.name", F.lit("")).alias("name"),
+        "root", "path", "language", F.coalesce("_o.kind", F.lit("module")).alias("kind"), F.coalesce("_o.name", F.lit("")).alias("name"),
         F.coalesce("_o.qualname", F.lit("")).alias("qualname"), "g.start", "g.end", "g.from", "g.to",
         F.coalesce("_o.signature", F.lit("")).alias("signature"), "g.digest", (F.row_number().over(order) - 1).alias("part"),
         F.col("_cut").isNull().alias("group"))
     made = whole.unionByName(groups)
 
-    # text comes back by joining the file with its units; both sides are keyed by path
+    # text comes back by joining the file with its units; both sides are keyed by file
     entry = F.struct("start", "end", "part", "from", "to", "kind", "name", "qualname", "signature", "digest", "group", "language")
-    per_file = made.groupBy("path").agg(F.array_sort(F.collect_list(entry)).alias("units"))
+    per_file = made.groupBy("root", "path").agg(F.array_sort(F.collect_list(entry)).alias("units"))
     lines = F.split("text", "\n")
 
     def cut(u):
         return F.array_join(F.slice(F.col("_lines"), u["start"], u["end"] - u["start"] + 1), "\n")
 
-    whole_files = read.select("path", lines.alias("_lines")).join(per_file, "path")
+    whole_files = read.select("root", "path", lines.alias("_lines")).join(per_file, ["root", "path"])
     units = whole_files.withColumn("units", F.transform("units", lambda u: F.struct(
         *[u[c].alias(c) for c in ("start", "end", "part", "from", "to", "kind", "name", "qualname", "signature", "digest", "group", "language")],
         tx.non_blank_length(cut(u)).alias("filled"))))
     if min_chars > 0:
         units = units.withColumn("units", _merged(max_chars, min_chars))
-    out = units.select("path", tx.rows_of(F.transform("units", lambda u: F.struct(u.alias("u"), cut(u).alias("text")))).alias("x"))
+    out = units.select("root", "path", tx.rows_of(F.transform("units", lambda u: F.struct(u.alias("u"), cut(u).alias("text")))).alias("x"))
     u = "x.u."
     merged = F.col(u + "digest") == ""
     return out.where(F.col(u + "filled") > 0).select(
-        F.col(u + "language").alias("language"), "path", F.col(u + "kind").alias("kind"), F.col(u + "name").alias("name"),
+        F.col(u + "language").alias("language"), "root", "path", F.col(u + "kind").alias("kind"), F.col(u + "name").alias("name"),
         F.col(u + "qualname").alias("qualname"), F.col(u + "start").alias("start_line"), F.col(u + "end").alias("end_line"),
         F.col(u + "signature").alias("signature"), F.col("x.text").alias("text"),
         F.when(merged, tx.text_hash(F.col("x.text"))).otherwise(F.col(u + "digest")).alias("ast_hash"),
@@ -171,11 +177,11 @@ def _merged(max_chars: int, min_chars: int):
 
 
 def with_unit_id(units: DataFrame) -> DataFrame:
-    """Number the units in reading order: paths compared by component, then lines and part.
+    """Number the units in reading order: by root, paths compared by component, then lines and part.
 
     A range partitioning plus one offset per partition: no task sees more than its own share.
     """
-    order = [F.split("path", "/"), F.col("start_line"), F.col("end_line"), F.col("part")]
+    order = [F.col("root"), F.split("path", "/"), F.col("start_line"), F.col("end_line"), F.col("part")]
     ranked = units.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     from spanseek.session import written
 

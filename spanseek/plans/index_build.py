@@ -22,8 +22,12 @@ from spanseek.sources.store import StoredIndex, VectorCache, missing_keys
 
 
 def units_of(spark: SparkSession, *roots: str, max_chars: int = fv.MAX_CHARS, min_chars: int = fv.INDEX_MIN_CHARS) -> DataFrame:
-    """Numbered units of the source files below ``roots``."""
-    read = written(outlines(decoded(source_files(spark, *roots)), max_chars))
+    """Numbered units of the source files below ``roots``. Of several roots, ``root`` tells which one a unit is from; of one it is
+    empty, so that an index does not depend on where its checkout lies."""
+    files = decoded(source_files(spark, *roots))
+    if len(roots) == 1:
+        files = files.withColumn("root", F.lit(""))
+    read = written(outlines(files, max_chars))
     return with_unit_id(split_units(read, max_chars, min_chars))
 
 
@@ -60,7 +64,7 @@ def build(spark: SparkSession, root: str, encoder: Encoder, *, cache: VectorCach
     rows, new, cached = embedded(units, encoder, cache)
     rows = written(searchable(rows))
     dim = require_valid(rows)
-    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("path").alias("files")).first()
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("root", "path").alias("files")).first()
     model: Model = encoder.model
     meta = spark.createDataFrame([(
         str(root).rstrip("/").rsplit("/", 1)[-1], str(root), head_commit(root), model.hf_id, model.revision,

@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 UNIT = T.StructType([
     T.StructField("language", T.StringType()),
+    T.StructField("root", T.StringType()),
     T.StructField("path", T.StringType()),
     T.StructField("kind", T.StringType()),
     T.StructField("name", T.StringType()),
@@ -18,7 +19,7 @@ UNIT = T.StructType([
     T.StructField("part", T.IntegerType()),
     T.StructField("group", T.BooleanType()),
 ])
-UNIT_KEY = ["path", "start_line", "end_line", "part", "kind"]
+UNIT_KEY = ["root", "path", "start_line", "end_line", "part", "kind"]
 
 VECTOR = T.ArrayType(T.FloatType(), containsNull=False)
 CACHE = T.StructType([T.StructField("vector_key", T.StringType()), T.StructField("vector", VECTOR)])

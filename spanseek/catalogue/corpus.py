@@ -34,13 +34,17 @@ def units(t: Tables) -> DataFrame:
 
 
 def questions(t: Tables) -> DataFrame:
-    """Every benchmark passage, line by line in quotes, and every turn of a user."""
+    """Every benchmark passage, line by line in quotes, and every turn of a conversation.
+
+    Numbers of turns begin after the largest passage number and leave room for the longest conversation, so no two questions share one."""
     quoted = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit('"'), x, F.lit('"'))), " and ")
     ask = F.when(F.length("text") > 200, "which spec says ").otherwise("which document says ")
     passages = t.benchmark.select(F.col("item_id").alias("query_id"), F.lit("passage").alias("category"),
                                   F.concat(ask, quoted).alias("query"))
-    turns = t.conversations.where(F.col("role") == "user").select(
-        (1_000_000 + F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.lit("turn").alias("category"),
+    first = (t.benchmark.agg(F.max("item_id")).first()[0] or 0) + 1
+    stride = (t.conversations.agg(F.max("turn")).first()[0] or 0) + 1
+    turns = t.conversations.select(
+        (first + F.col("conv_id") * stride + F.col("turn")).alias("query_id"), F.lit("turn").alias("category"),
         F.col("text").alias("query"))
     both = passages.unionByName(turns)
     return (both.withColumn("vector", MODEL_A.embed(F.col("query"), "query"))
@@ -103,7 +107,7 @@ QUESTIONS = ("questions", f"""
      concat(CASE WHEN length(text) > 200 THEN 'which spec says ' ELSE 'which document says ' END,
        list_aggregate(list_transform(string_split(text, chr(10)), lambda x: concat('"', x, '"')), 'string_agg', ' and ')) AS query
    FROM benchmark
-   UNION ALL SELECT 1000000 + conv_id * 1000 + turn, 'turn', text FROM conversations WHERE role = 'user'))""")
+   UNION ALL SELECT (SELECT max(item_id) + 1 FROM benchmark) + conv_id * (SELECT max(turn) + 1 FROM conversations) + turn, 'turn', text FROM conversations))""")
 # every literal of every question (repeats kept), and dotted or code-shaped names outside quotes
 LITERALS = ("lits", r"""
  SELECT query_id, lower(regexp_replace(m[2:-2], '^[\p{Z}\x09-\x0d\x1c-\x1f\x{85}]+|[\p{Z}\x09-\x0d\x1c-\x1f\x{85}]+$', '', 'g')) AS lit

@@ -27,13 +27,18 @@ def passages(t):
             .withColumn("vector_b", c.MODEL_B.embed(F.col("query"), "query")))
 
 
+def stride(t) -> int:
+    """More than any document has lines: numbers of lines of different documents never meet."""
+    return (t.documents.agg(F.max(F.length("text"))).first()[0] or 0) + 2
+
+
 def windows(t):
     """Every document in runs of eight lines, with the vectors of both models."""
     lines = F.split("text", "\n")
     starts = F.sequence(F.lit(1), F.size(lines), F.lit(LINES))
     cut = F.transform(starts, lambda s: F.struct(s.alias("s"), F.slice(lines, s, F.lit(LINES)).alias("x")))
     u = (t.documents.select("doc_id", F.inline(cut))
-         .select((F.col("doc_id") * 100_000 + F.col("s")).alias("unit_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("path"),
+         .select((F.col("doc_id") * stride(t) + F.col("s")).alias("unit_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("path"),
                  F.col("s").alias("start_line"), (F.col("s") + F.size("x") - 1).alias("end_line"), F.array_join("x", "\n").alias("text")))
     return (u.withColumn("vector", c.MODEL_A.embed(F.col("text"), "document"))
             .withColumn("vector_b", c.MODEL_B.embed(F.col("text"), "document")))
@@ -44,14 +49,14 @@ def gold_lines(t):
     wanted = t.benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.split("text", "\n")).alias("line")).distinct()
     found = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     return found.join(broadcast_if_small(wanted), "line").select(
-        "query_id", (F.col("doc_id") * 100_000 + F.col("i")).alias("gold_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("path"),
+        "query_id", (F.col("doc_id") * stride(t) + F.col("i")).alias("gold_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("path"),
         (F.col("i") + 1).alias("start"), (F.col("i") + 1).alias("end"))
 
 
 WINDOWS = ("windows", f"""
  SELECT *, {c.sql_unit('ra')} AS va, {c.sql_unit('rb')} AS vb FROM (
   SELECT *, {c.sql_raw('lower(text)', c.LETTERS)} AS ra, {c.sql_raw('lower(text)', c.PAIRS)} AS rb FROM (
-   SELECT doc_id * 100000 + s AS unit_id, concat('doc', doc_id) AS path, s::INTEGER AS start_line, least(s + 7, n)::INTEGER AS end_line,
+   SELECT doc_id * (SELECT max(length(text)) + 2 FROM documents) + s AS unit_id, concat('doc', doc_id) AS path, s::INTEGER AS start_line, least(s + 7, n)::INTEGER AS end_line,
      list_aggregate(x[s:s + 7], 'string_agg', chr(10)) AS text
    FROM (SELECT doc_id, x, len(x) AS n, unnest(range(1, len(x) + 1, 8)) AS s FROM (
      SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))))""")
@@ -61,7 +66,7 @@ PASSAGES = ("questions", f"""
    SELECT item_id AS query_id, text AS query, CASE WHEN item_id % 5 < 3 THEN 'dev' ELSE 'holdout' END AS split,
     CASE WHEN length(text) > 200 THEN 'long' ELSE 'short' END AS category FROM benchmark))""")
 GOLD = ("gold", """
- SELECT DISTINCT b.query_id, d.doc_id * 100000 + i - 1 AS gold_id, concat('doc', d.doc_id) AS path, i AS start, i AS "end"
+ SELECT DISTINCT b.query_id, d.doc_id * (SELECT max(length(text)) + 2 FROM documents) + i - 1 AS gold_id, concat('doc', d.doc_id) AS path, i AS start, i AS "end"
  FROM (SELECT doc_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)) d
  JOIN (SELECT item_id AS query_id, unnest(string_split(text, chr(10))) AS line FROM benchmark) b USING (line)""")
 

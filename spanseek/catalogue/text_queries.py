@@ -24,6 +24,11 @@ def docs(t):
     return t.documents.select(F.col("doc_id").alias("unit_id"), F.col("text").alias("doc"))
 
 
+def first_page(t) -> int:
+    """Pages are numbered after the last document."""
+    return (t.documents.agg(F.max("doc_id")).first()[0] or 0) + 1
+
+
 @query("tokens", f"""
 SELECT unit_id, count(*) AS n, md5(string_agg(array_to_string(t, ' '), ' ' ORDER BY i)) AS digest FROM (
  SELECT unit_id, i, {c.SQL_WORD_TOKENS} AS t FROM (SELECT page_id AS unit_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM (
@@ -68,10 +73,11 @@ def idf_of_terms(t):
     return lx.document_frequency(d).select("term", F.round(idf(n, F.col("df")), 6).alias("idf"))
 
 
-@query("stopword_terms", ctes(("q", "SELECT conv_id * 1000 + turn AS query_id, text AS query FROM conversations"), select=f"""
+@query("stopword_terms", ctes(("q", "SELECT conv_id * (SELECT max(turn) + 1 FROM conversations) + turn AS query_id, text AS query FROM conversations"), select=f"""
 SELECT DISTINCT query_id, term FROM ({c.sql_tokens('q', 'query_id', 'query')}) WHERE term NOT IN {c.SQL_STOP}"""))
 def stopword_terms(t):
-    return t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.explode(tx.query_terms(F.col("text"))).alias("term"))
+    stride = (t.conversations.agg(F.max("turn")).first()[0] or 0) + 1
+    return t.conversations.select((F.col("conv_id") * stride + F.col("turn")).alias("query_id"), F.explode(tx.query_terms(F.col("text"))).alias("term"))
 
 
 @query("quoted_literals", ctes(("questions", "SELECT page_id AS query_id, html AS query FROM pages"), c.LITERALS,
@@ -170,7 +176,7 @@ def cache_hits(t):
 PATHS = ("paths", """
  SELECT doc_id AS id, concat(source, '/', CASE lang WHEN 'es' THEN 'tests' WHEN 'de' THEN 'node_modules' WHEN 'fr' THEN 'dist' ELSE 'lib' END, '/doc', doc_id,
   ['.py', '.test.ts', '.d.ts', '_test.py', '.min.js', '.tsx', '.JSX', '', '.rs', '.bundle.js'][(n_chars % 10 + 1)::INTEGER]) AS path FROM documents
- UNION ALL SELECT 1000000000 + page_id, url FROM pages""")
+ UNION ALL SELECT (SELECT max(doc_id) + 1 FROM documents) + page_id, url FROM pages""")
 
 
 def paths(t):
@@ -178,7 +184,7 @@ def paths(t):
     ends = F.array(*[F.lit(x) for x in (".py", ".test.ts", ".d.ts", "_test.py", ".min.js", ".tsx", ".JSX", "", ".rs", ".bundle.js")])
     made = t.documents.select(F.col("doc_id").alias("id"), F.concat(F.col("source"), F.lit("/"), folder, F.lit("/doc"), F.col("doc_id").cast("string"),
                               F.element_at(ends, (F.col("n_chars") % 10 + 1).cast("int"))).alias("path"))
-    return made.unionByName(t.pages.select((1_000_000_000 + F.col("page_id")).alias("id"), F.col("url").alias("path")))
+    return made.unionByName(t.pages.select((first_page(t) + F.col("page_id")).alias("id"), F.col("url").alias("path")))
 
 
 SUFFIX = r"lower(regexp_extract(string_split(path, '/')[-1], '^\.*[^.].*?(\.[^.]+)$', 1))"
@@ -211,12 +217,12 @@ def minified(t):
 @query("repository_links", r"""
 SELECT id, regexp_extract(link, p, 1) AS owner, regexp_extract(link, p, 2) AS name FROM (
  SELECT doc_id AS id, concat('https://github.com/', source, '/', lang, '.js.git#L', doc_id) AS link FROM documents
- UNION ALL SELECT 1000000000 + page_id, url FROM pages),
+ UNION ALL SELECT (SELECT max(doc_id) + 1 FROM documents) + page_id, url FROM pages),
  (SELECT '^(?:https?://)?(?:www\.)?github\.com/([\w.-]+)/([\w.-]+?)(?:\.git)?/?(?:[#?].*)?$' AS p) WHERE regexp_matches(link, p)""")
 def repository_links(t):
     made = t.documents.select(F.col("doc_id").alias("id"), F.concat(F.lit("  https://github.com/"), F.col("source"), F.lit("/"), F.col("lang"),
                               F.lit(".js.git#L"), F.col("doc_id").cast("string")).alias("link"))
-    both = made.unionByName(t.pages.select((1_000_000_000 + F.col("page_id")).alias("id"), F.col("url").alias("link")))
+    both = made.unionByName(t.pages.select((first_page(t) + F.col("page_id")).alias("id"), F.col("url").alias("link")))
     found = both.withColumn("r", px.github_owner_name(F.col("link"))).where(F.col("r").isNotNull())
     return found.select("id", "r.owner", "r.name")
 

@@ -14,7 +14,7 @@ from spanseek.models import Model, fingerprint
 from spanseek.operators.alignment import require_valid
 from spanseek.operators.units import decoded, outlines, split_units, with_unit_id
 from spanseek.plans.search import searchable
-from spanseek.schemas import INDEX_META
+from spanseek.schemas import INDEX_META, unit_key
 from spanseek.session import skew_join, written
 from spanseek.sources.code_tree import source_files
 from spanseek.sources.repository import head_commit
@@ -84,7 +84,6 @@ def build_pair(spark: SparkSession, root: str, encoder_a: Encoder, encoder_b: En
 
 def vectors_for(units_a: DataFrame, units_b: DataFrame) -> DataFrame:
     """The other index's vectors under this index's unit ids, matched on the unit key (the last of equal keys)."""
-    from spanseek.schemas import UNIT_KEY
-
-    other = units_b.groupBy(*UNIT_KEY).agg(F.max_by("vector", "unit_id").alias("vector"))
-    return units_a.select("unit_id", *UNIT_KEY).join(other, UNIT_KEY).select("unit_id", "vector")
+    key = unit_key(units_a)
+    other = units_b.groupBy(*key).agg(F.max_by("vector", "unit_id").alias("vector"))
+    return units_a.select("unit_id", *key).join(other, key).select("unit_id", "vector")

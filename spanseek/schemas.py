@@ -21,6 +21,12 @@ UNIT = T.StructType([
 ])
 UNIT_KEY = ["root", "path", "start_line", "end_line", "part", "kind"]
 
+
+def unit_key(units) -> list[str]:
+    """Columns that name a unit; tables of one checkout may come without a root."""
+    return [c for c in UNIT_KEY if c in units.columns]
+
+
 VECTOR = T.ArrayType(T.FloatType(), containsNull=False)
 CACHE = T.StructType([T.StructField("vector_key", T.StringType()), T.StructField("vector", VECTOR)])
 

@@ -1,6 +1,7 @@
 """Entry points for spark-submit: index, report, search, evaluate, ablate, two-stage and grid over stored indexes.
 
     spark-submit spanseek/cli.py index --root /shared/checkout --out /shared/index --cache /shared/cache
+    spark-submit spanseek/cli.py search --index /shared/index --question "where are retries counted" --question "which test covers it"
     spark-submit spanseek/cli.py evaluate --index /shared/index --labels /shared/queries.json --out /shared/report
 """
 
@@ -16,16 +17,16 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from spanseek import fixed_values as fv  # noqa: E402
-from spanseek.encoders import HashingEncoder, TransformerEncoder  # noqa: E402
+from spanseek.encoders import HashingEncoder, TransformerEncoder, encoder_of_index  # noqa: E402
 from spanseek.models import CODE_MODEL, TEXT_MODEL  # noqa: E402
 from spanseek.operators import evaluate as ev  # noqa: E402
 from spanseek.operators import report  # noqa: E402
 from spanseek.operators.units import decoded, outlines, split_units  # noqa: E402
 from spanseek.plans import experiments as ex  # noqa: E402
 from spanseek.plans.index_build import build_pair, vectors_for  # noqa: E402
-from spanseek.plans.present import result_log  # noqa: E402
+from spanseek.plans.present import cards, result_log  # noqa: E402
 from spanseek.plans.search import fusion_search, rescored, retrieve  # noqa: E402
-from spanseek.session import written  # noqa: E402
+from spanseek.session import ship, written  # noqa: E402
 from spanseek.sources.code_tree import source_files  # noqa: E402
 from spanseek.sources.labels import commit_mismatches, label_files, labelled_queries  # noqa: E402
 from spanseek.sources.store import StoredIndex, VectorCache  # noqa: E402
@@ -66,12 +67,29 @@ def _opened(spark: SparkSession, a) -> tuple[DataFrame, DataFrame, DataFrame, Da
     files = label_files(spark, a.labels)
     for row in commit_mismatches(files, one.meta).collect():  # one row per label file
         print(f"labels were made at {row.labelled}, not at the indexed commit", file=sys.stderr)
-    first, second = encoders(a.encoder)
-    q = labelled_queries(files, a.split)
-    q = written(q.withColumn("vector", first.embed(F.col("query"), "query")).withColumn("vector_b", second.embed(F.col("query"), "query")))
+    q = written(_embedded(labelled_queries(files, a.split), one, two))
     return q, one.units, vectors_for(one.units, two.units), ev.gold_rows(q)
 
 
+def _embedded(q: DataFrame, one: StoredIndex, two: StoredIndex) -> DataFrame:
+    """Questions with the vectors of both models, as the indexes name them."""
+    first, second = (encoder_of_index(i.meta.first()) for i in (one, two))
+    return q.withColumn("vector", first.embed(F.col("query"), "query")).withColumn("vector_b", second.embed(F.col("query"), "query"))
+
+
+def search(spark: SparkSession, a) -> None:
+    one, two = StoredIndex.load(spark, f"{a.index}/a"), StoredIndex.load(spark, f"{a.index}/b")
+    q = spark.createDataFrame(list(enumerate(a.question)), "query_id long, query string")
+    hits = fusion_search(_embedded(q, one, two), one.units, vectors_for(one.units, two.units), a.top, mode=a.tests)
+    meta = one.meta.first()
+    spans = one.units.select("unit_id", "path", "kind", F.col("name").alias("unit_name"), "qualname", "start_line", "end_line", "text")
+    found = cards(hits.join(spans, "unit_id"), meta["repo"], meta["commit"], name="unit_name")
+    if a.out:
+        found.write.mode("overwrite").json(a.out)
+    else:
+        found.orderBy("query_id", "rank").select("query_id", "rank", "score", "path", "start", "end", "name").show(len(a.question) * a.top, truncate=80)
+
+
 def evaluate(spark: SparkSession, a) -> None:
     q, units, vectors_b, gold = _opened(spark, a)
     hits = written(fusion_search(q.select("query_id", "query", "vector", "vector_b"), units, vectors_b))
@@ -103,16 +121,20 @@ def compare(spark: SparkSession, a) -> None:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     p = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    p.add_argument("command", choices=["index", "report", "evaluate", "ablate", "two-stage", "grid"])
+    p.add_argument("command", choices=["index", "report", "search", "evaluate", "ablate", "two-stage", "grid"])
     for name in ("root", "out", "cache", "index", "labels"):
         p.add_argument(f"--{name}")
-    p.add_argument("--encoder", choices=["hashing", "transformer"], default="transformer")
+    p.add_argument("--encoder", choices=["hashing", "transformer"], default="transformer", help="for index; the others follow the index")
     p.add_argument("--split", choices=["all", "dev", "holdout"], default="all")
     p.add_argument("--max-chars", type=int, default=fv.MAX_CHARS)
     p.add_argument("--min-chars", type=int, default=fv.INDEX_MIN_CHARS)
+    p.add_argument("--question", action="append", default=[], help="for search; may be given several times")
+    p.add_argument("--top", type=int, default=fv.TOP_K)
+    p.add_argument("--tests", choices=list(fv.SCOPE_MODES), default="auto")
     a = p.parse_args(argv)
     spark = spark or SparkSession.builder.appName(f"spanseek-{a.command}").getOrCreate()
-    run = {"index": index, "report": split_report, "evaluate": evaluate}.get(a.command, compare)
+    ship(spark)
+    run = {"index": index, "report": split_report, "search": search, "evaluate": evaluate}.get(a.command, compare)
     return run(spark, a) or 0
 
 

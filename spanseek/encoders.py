@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanseek.functions import vectors as vx
-from spanseek.models import Model
+from spanseek.models import MODELS, Model, fingerprint
 
 
 class Encoder(Protocol):
@@ -72,7 +72,7 @@ class HashingEncoder:
 
 
 class TransformerEncoder:
-    """A sentence-transformers model in fp32, loaded once per Python worker. Needs that optional package on the workers."""
+    """A sentence-transformers model in fp32, loaded once per task. Needs that optional package on the workers."""
 
     def __init__(self, model: Model, device: str = "cpu", batch_size: int = 16) -> None:
         self.model, self.device, self.batch_size = model, device, batch_size
@@ -126,3 +126,19 @@ def role_of(prompt_type: str | None) -> str:
 
 def with_vector(df: DataFrame, encoder: Encoder, text: str, role: str, name: str = "vector") -> DataFrame:
     return df.withColumn(name, encoder.embed(F.col(text), role))
+
+
+def encoder_of_index(meta) -> Encoder:
+    """The encoder that an index says it was built with (a row of INDEX_META). Scoring it with another one of the same dimension would give
+    numbers without meaning, so an index whose model or settings are not known is refused."""
+    hashed = re.fullmatch(r"(\d+)(.*)", meta["revision"] or "") if meta["model"] == "local/hash" else None
+    if hashed:
+        encoder = HashingEncoder(int(hashed[1]), hashed[2])
+    else:
+        known = [m for m in MODELS.values() if (m.hf_id, m.revision) == (meta["model"], meta["revision"])]
+        if not known:
+            raise ValueError(f"the index was built with {meta['model']} at {meta['revision']}, which is not a known model")
+        encoder = TransformerEncoder(known[0])
+    if fingerprint(encoder.model, kind="document", precision="fp32") != meta["fingerprint"]:
+        raise ValueError(f"the index was built with other settings of {meta['model']}")
+    return encoder

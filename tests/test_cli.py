@@ -5,9 +5,12 @@ from __future__ import annotations
 import json
 import subprocess
 
+import pytest
+
 from spanseek.cli import main
-from spanseek.encoders import HashingEncoder
+from spanseek.encoders import HashingEncoder, encoder_of_index
 from spanseek.service import Service
+from spanseek.sources.store import StoredIndex
 
 
 def test_index_report_evaluate_and_compare(spark, tmp_path, capsys):
@@ -19,7 +22,7 @@ def test_index_report_evaluate_and_compare(spark, tmp_path, capsys):
     labels = {"repo": "some/kitchen", "commit": "0" * 40, "created": "", "how_made": "by hand", "hit_rule": "overlap", "queries": [
         {"id": i, "split": s, "category": c, "query": q, "gold": [{"path": p, "start": a, "end": b, "qualname": ""}]} for i, (s, c, q, p, a, b) in gold.items()]}
     (tmp_path / "q.json").write_text(json.dumps(labels))
-    common = ["--encoder", "hashing", "--index", str(tmp_path / "ix"), "--labels", str(tmp_path / "q.json")]
+    common = ["--index", str(tmp_path / "ix"), "--labels", str(tmp_path / "q.json")]
     assert main(["index", "--root", str(repo), "--out", str(tmp_path / "ix"), "--encoder", "hashing"], spark) == 0
     assert main(["report", "--root", str(repo), "--out", str(tmp_path / "units")], spark) == 0
     assert main(["evaluate", "--out", str(tmp_path / "log"), *common], spark) == 0
@@ -28,6 +31,15 @@ def test_index_report_evaluate_and_compare(spark, tmp_path, capsys):
     for command in ("ablate", "grid"):
         assert main([command, "--out", str(tmp_path / command), *common], spark) == 0
     assert spark.read.json(str(tmp_path / "ablate")).count() == 8 and spark.read.json(str(tmp_path / "grid")).count() == 54
+    ask = ["search", "--index", str(tmp_path / "ix"), "--question", "where is too_hot_for_oven thrown", "--question", "remaining minutes", "--top", "1"]
+    assert main([*ask, "--out", str(tmp_path / "cards")], spark) == 0
+    found = {r.query_id: r.file for r in spark.read.json(str(tmp_path / "cards")).collect()}
+    assert found == {0: "heat.ts", 1: "timer.py"}
+    meta = StoredIndex.load(spark, str(tmp_path / "ix" / "a")).meta.first().asDict()
+    assert encoder_of_index(meta).dim == 64
+    for wrong in ({"model": "some/other"}, {"fingerprint": "0" * 12}):
+        with pytest.raises(ValueError, match="the index was built with"):
+            encoder_of_index({**meta, **wrong})
     capsys.readouterr()
 
 

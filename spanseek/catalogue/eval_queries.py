@@ -226,22 +226,23 @@ def relevant(t):
 
 
 SYSTEMS = [
-    c.UNITS, c.QUESTIONS, *c.GATE, *c.BM25,
+    *[(n, "MATERIALIZED " + b if n in ("units", "questions", "gate", "bm25", "lit_hits", "tf") else b) for n, b in (c.UNITS, c.QUESTIONS, *c.GATE, *c.BM25)],
     ("q", "SELECT *, query_id IN (SELECT query_id FROM gate) AS gated FROM questions"),
-    ("sims", """SELECT query_id, unit_id, gated, round(list_dot_product(qa::DOUBLE[], va::DOUBLE[]), 12) AS cos_a,
+    ("sims", """MATERIALIZED SELECT query_id, unit_id, gated, round(list_dot_product(qa::DOUBLE[], va::DOUBLE[]), 12) AS cos_a,
       round(list_dot_product(qb::DOUBLE[], vb::DOUBLE[]), 12) AS cos_b,
       round(list_dot_product(list_concat(list_transform(qb, lambda x: x::DOUBLE * 0.7::DOUBLE), list_transform(qa, lambda x: x::DOUBLE * (1 - 0.7::DOUBLE))),
         list_concat(vb::DOUBLE[], va::DOUBLE[])), 12) AS mixed FROM q, units"""),
-    ("o_a", "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos_a DESC, unit_id) AS rank FROM sims"),
-    ("o_b", "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos_b DESC, unit_id) AS rank FROM sims"),
-    ("o_c", "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY mixed DESC, unit_id) AS rank FROM sims"),
-    ("lex", "SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, unit_id) AS r FROM bm25 QUALIFY r <= 100"),
-    *[(f"f_{m}", f"""SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC NULLS LAST, CASE WHEN rrf IS NULL THEN rank END, unit_id) AS rank FROM (
-      SELECT d.query_id, d.unit_id, d.rank, CASE WHEN d.gated AND (d.rank <= 100 OR l.r IS NOT NULL) THEN
-        CASE WHEN d.rank <= 100 THEN 1.0 / (60 + d.rank::DOUBLE) ELSE 0 END + CASE WHEN l.r IS NULL THEN 0 ELSE 1.0 / (60 + l.r::DOUBLE) END END AS rrf,
-        CASE WHEN d.gated AND (d.rank <= 100 OR l.r IS NOT NULL) THEN 0 ELSE d.rank END AS _ FROM o_{m} d LEFT JOIN lex l USING (query_id, unit_id))""")
+    ("o_a", "MATERIALIZED SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos_a DESC, unit_id) AS rank FROM sims QUALIFY rank <= 200"),
+    ("o_b", "MATERIALIZED SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos_b DESC, unit_id) AS rank FROM sims QUALIFY rank <= 200"),
+    ("o_c", "MATERIALIZED SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY mixed DESC, unit_id) AS rank FROM sims QUALIFY rank <= 200"),
+    ("lex", """MATERIALIZED SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, unit_id) AS r FROM bm25
+      WHERE query_id IN (SELECT query_id FROM gate) QUALIFY r <= 100"""),
+    *[(f"f_{m}", f"""MATERIALIZED SELECT query_id, unit_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC NULLS LAST, CASE WHEN rrf IS NULL THEN rank END, unit_id) AS rank FROM (
+      SELECT query_id, unit_id, d.rank, CASE WHEN query_id IN (SELECT query_id FROM gate) AND (d.rank <= 100 OR l.r IS NOT NULL) THEN
+        CASE WHEN d.rank <= 100 THEN 1.0 / (60 + d.rank::DOUBLE) ELSE 0 END + CASE WHEN l.r IS NULL THEN 0 ELSE 1.0 / (60 + l.r::DOUBLE) END END AS rrf
+      FROM o_{m} d FULL JOIN lex l USING (query_id, unit_id))""")
       for m in ("a", "b")],
-    ("fa", """SELECT f.query_id, f.unit_id, f.rank AS pool_rank, s.gated, cos_a, cos_b, coalesce(bm25, 0) AS bm25 FROM f_a f JOIN sims s USING (query_id, unit_id)
+    ("fa", """MATERIALIZED SELECT f.query_id, f.unit_id, f.rank AS pool_rank, s.gated, cos_a, cos_b, coalesce(bm25, 0) AS bm25 FROM f_a f JOIN sims s USING (query_id, unit_id)
       LEFT JOIN bm25 USING (query_id, unit_id) WHERE f.rank <= 200"""),
     *[(f"blend{n}", f"SELECT query_id, unit_id, {c.sql_blend()} AS score FROM fa WHERE pool_rank <= {n}") for n in (10, 50)],
     ("systems", "\nUNION ALL ".join([

@@ -35,4 +35,8 @@ def query(name: str, sql: str | None = None):
 
 
 def ctes(*parts: tuple[str, str], select: str) -> str:
-    return "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in parts) + "\n" + select
+    """A WITH clause; a body that begins with MATERIALIZED is computed once, however often it is used."""
+    def one(name: str, body: str) -> str:
+        plain = body.removeprefix("MATERIALIZED ")
+        return f"{name} AS {'' if plain == body else 'MATERIALIZED '}({plain})"
+    return "WITH " + ",\n".join(one(*p) for p in parts) + "\n" + select

@@ -180,14 +180,14 @@ def logistic(row: np.ndarray, column: np.ndarray, scale: np.ndarray, label: np.n
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns of every row and its score (0 to 1)."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.intercept))  # BUCKETS numbers, whatever the input
-    kept = docs.select(*keep, whole().alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop("text").schema) + ", score double"
+    kept = docs.select(*keep, whole().alias("_whole_text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.drop("_whole_text").schema) + ", score double"
 
     def run(batches):
         weights, intercept = shared.value
         wanted = weights != 0
-        for block in blocks(batches, "text"):
-            owner, bucket = text_sets(*flat(block.column("text")), wanted)
+        for block in blocks(batches, "_whole_text"):
+            owner, bucket = text_sets(*flat(block.column("_whole_text")), wanted)
             z = np.bincount(owner, weights[bucket].astype(float), minlength=block.num_rows) + intercept
             value = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
             yield pa.RecordBatch.from_arrays([block.column(c) for c in keep] + [pa.array(value, pa.float64())], names=[*keep, "score"])

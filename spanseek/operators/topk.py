@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from spanseek.functions.vectors import SCORE_DIGITS
 from spanseek.session import BROADCAST_BYTES, written, estimated_bytes
 
+KEPT_ROWS = 2_000_000  # rows that a task keeps for one block of queries
 MERGE_FAN_IN = 512  # lists per query that one merging task is asked to rank
 MERGE_BUCKETS = 64
 CELLS_PER_SLICE = 1 << 23  # score matrix cells held at once in a task (64 MB of doubles)
@@ -28,15 +29,15 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int | Column, na
 
 
 def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, *, query_vector: str = "vector", vector: str = "vector",
-                block_bytes: int = BROADCAST_BYTES) -> DataFrame:
+                block_bytes: int = BROADCAST_BYTES, block_rows: int = KEPT_ROWS) -> DataFrame:
     """Exact inner-product search of a batch of queries: (query_id, unit_id, score, rank), ties by unit_id.
 
     ``queries``: query_id, a vector, optionally ``include_tests`` (boolean) and ``exclude_id`` (a unit the query must not return).
     ``corpus``: unit_id, a vector, optionally ``is_test``. Scope is applied before the top-k, never after.
 
     The corpus is never shuffled: each task multiplies its own vectors by one block of queries and keeps k per query, so
-    only k rows per query and partition move. A query block is broadcast after its size has been checked; a larger batch
-    is cut into equal hash blocks that pass over the corpus one after the other.
+    only k rows per query and partition move. A block of queries is broadcast and a task keeps k rows for each of them, so a block is
+    bounded both in bytes and in queries times k; a larger batch is cut into equal hash blocks that pass over the corpus one after the other.
     """
     q = queries.select(
         F.col("query_id").cast("bigint").alias("query_id"), F.col(query_vector).alias("_v"),
@@ -45,7 +46,8 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, *, query_vector:
     c = corpus.select(
         F.col("unit_id").cast("bigint").alias("unit_id"), F.col(vector).alias("_v"),
         (F.col("is_test") if "is_test" in corpus.columns else F.lit(False)).alias("_test"))
-    blocks = max(1, math.ceil(estimated_bytes(q) / block_bytes))
+    q = written(q)  # vectors of questions are computed once, not for each look at them
+    blocks = max(1, math.ceil(estimated_bytes(q) / block_bytes), math.ceil(q.count() * k / block_rows))
     lists = None
     for b in range(blocks):
         part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
@@ -103,32 +105,37 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 class _Best:
-    """Running best k (score descending, id ascending) for every query of a block."""
+    """Running best k (score descending, id ascending) for every query of a block.
+
+    What passes a query's floor waits until it is as long as the lists; then all is sorted once and the floors rise."""
 
     def __init__(self, n: int, k: int) -> None:
         self.n, self.k = n, k
         self.floor = np.full(n, -np.inf)
-        self.rows = np.zeros(0, dtype="int64")
-        self.ids = np.zeros(0, dtype="int64")
-        self.scores = np.zeros(0)
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0))]
+        self.length = 0
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
         floor = self.floor
         if scores.shape[1] > self.k:
             floor = np.maximum(floor, -np.partition(-scores, self.k - 1, axis=1)[:, self.k - 1])
         r, c = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
-        rows = np.concatenate([self.rows, r])
-        unit = np.concatenate([self.ids, ids[c]])
-        score = np.concatenate([self.scores, scores[r, c]])
+        if len(r):
+            self.waiting.append((r, ids[c], scores[r, c]))
+            self.length += len(r)
+        if self.length > max(self.n * self.k, 1 << 14):
+            self.merge()
+
+    def merge(self) -> None:
+        rows, unit, score = (np.concatenate(x) for x in zip(*self.waiting))
         order = np.lexsort((unit, -score, rows))
         rows, unit, score = rows[order], unit[order], score[order]
-        start = np.searchsorted(rows, np.arange(self.n))
-        place = np.arange(len(rows)) - start[rows]
+        place = np.arange(len(rows)) - np.searchsorted(rows, np.arange(self.n))[rows]
         last = place == self.k - 1
-        self.floor = self.floor.copy()
         self.floor[rows[last]] = score[last]
         keep = place < self.k
-        self.rows, self.ids, self.scores = rows[keep], unit[keep], score[keep]
+        self.waiting, self.length = [(rows[keep], unit[keep], score[keep])], 0
 
     def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return self.rows, self.ids, self.scores
+        self.merge()
+        return self.waiting[0]

@@ -101,18 +101,19 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
 
 
 def skew_join(left: DataFrame, right: DataFrame, on: str, salt_from: str, how: str = "inner",
-              hot_rows: int = 1_000_000, salts: int = 32) -> DataFrame:
+              hot_rows: int = 1_000_000) -> DataFrame:
     """Equi-join whose left side may hold one key in a third of its rows.
 
-    Keys with more than ``hot_rows`` left rows are spread over ``salts`` sub-keys (by a hash of ``salt_from``) and only
-    the right rows of those keys are copied. There are at most rows/hot_rows hot keys, so their list is small.
+    A key with more than ``hot_rows`` left rows is spread (by a hash of ``salt_from``) over as many sub-keys as leave about ``hot_rows`` in
+    each, and only the right rows of such keys are copied. There are at most rows/hot_rows of them, so their list is small.
     """
-    hot = (left.groupBy(on).count().where(F.col("count") > hot_rows).select(on, F.lit(True).alias("_hot")))
-    hot = broadcast_if_small(hot)
+    hot = (left.groupBy(on).count().where(F.col("count") > hot_rows)
+           .select(on, F.ceil(F.col("count") / (hot_rows / 2)).cast("int").alias("_hot")))
+    hot = broadcast_if_small(written(hot))
     salted_left = (left.join(hot, on, "left")
-                   .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(salt_from), F.lit(salts))).otherwise(0))
+                   .withColumn("_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(salt_from), F.col("_hot"))).otherwise(0))
                    .drop("_hot"))
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copies = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.col("_hot") - 1)).otherwise(F.array(F.lit(0)))
     salted_right = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     salted_right = salted_right.withColumn("_salt", F.col("_salt").cast("bigint"))
     salted_left = salted_left.withColumn("_salt", F.col("_salt").cast("bigint"))

@@ -18,7 +18,7 @@ from spanseek.operators import evaluate as ev
 from spanseek.operators import fusion
 from spanseek.operators.lexical import lexical_run
 from spanseek.operators.literals import literal_hits
-from spanseek.operators.topk import dense_top_k
+from spanseek.operators.topk import _Best, dense_top_k
 from spanseek.plans.index_build import build, build_pair, vectors_for
 from spanseek.plans.search import aligned_search, fusion_search, search
 from spanseek.session import skew_join
@@ -102,6 +102,8 @@ def test_dense_top_k_with_ties_scope_and_blocks(spark):
     for block in (1 << 20, 400):
         rows = dense_top_k(q, units, 9, block_bytes=block).orderBy("query_id", "rank").collect()
         assert {i: [r.unit_id for r in rows if r.query_id == i] for i in range(12)} == want
+    rows = dense_top_k(q, units, 9, block_rows=20).orderBy("query_id", "rank").collect()  # two queries a block
+    assert {i: [r.unit_id for r in rows if r.query_id == i] for i in range(12)} == want
     assert dense_top_k(q.where("query_id = 1"), units.where("is_test"), 5).count() == 0
 
 
@@ -140,11 +142,26 @@ def test_metrics(spark):
     assert value(spark, "x", lambda _: vx.dcg_gain(F.lit(2))) == pytest.approx(0.63093, abs=1e-5)
 
 
+def test_running_best_equals_sorting():
+    rng = np.random.default_rng(6)
+    for n, k, width in ((3, 4, 50), (40, 100, 7), (5, 1, 400)):
+        best, seen = _Best(n, k), []
+        for start in range(0, 3000, width):
+            scores = np.round(rng.standard_normal((n, width)), 1)  # many ties
+            seen.append(scores)
+            best.add(scores.copy(), np.arange(start, start + width))
+        rows, ids, values = best.result()
+        full = np.concatenate(seen, axis=1)
+        for q in range(n):
+            order = np.lexsort((np.arange(full.shape[1]), -full[q]))[:k]
+            assert ids[rows == q].tolist() == order.tolist() and np.array_equal(values[rows == q], full[q, order])
+
+
 def test_skew_join_is_a_join(spark):
     left = spark.range(300).select(F.when(F.col("id") < 200, "hot").otherwise(F.col("id").cast("string")).alias("k"), "id")
     right = spark.createDataFrame([("hot", 1), ("250", 2), ("none", 3)], "k string, v int")
-    assert skew_join(left, right, "k", "id", hot_rows=50, salts=4).count() == 201
-    assert skew_join(left, right, "k", "id", "left", hot_rows=50, salts=4).where("v is null").count() == 99
+    assert skew_join(left, right, "k", "id", hot_rows=50).count() == 201
+    assert skew_join(left, right, "k", "id", "left", hot_rows=50).where("v is null").count() == 99
 
 
 def test_index_cache_and_fusion_end_to_end(spark, tmp_path):

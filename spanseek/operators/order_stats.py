@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanseek.session import broadcast_if_small, written
+
 BUCKETS = 64
 
 
@@ -27,17 +29,21 @@ def order_statistics(df: DataFrame, value: str, positions: dict[str, Column], by
                      buckets: int = BUCKETS) -> DataFrame:
     """Values at 0-based ``positions`` (columns over ``n``, the group size) of the sorted ``value``: one row per group.
 
-    Equal values are counted first, so a value held by a third of the rows is one row. Distinct values are cut into
-    buckets at approximate quantiles (any cut gives the same result); bucket counts locate the bucket of each position,
-    and only that bucket is ranked.
+    Equal values are counted first, so a value held by a third of the rows is one row. The distinct values of each group are cut into
+    buckets at that group's approximate quantiles (any cut gives the same result); bucket counts locate the bucket of each
+    position, and only that bucket is ranked: about one in ``buckets`` of the group's distinct values.
     """
     keys = list(by)
-    rows = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    rows = written(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))  # read four times below
     cuts = F.expr("array(" + ", ".join(f"{(i + 1) / buckets}D" for i in range(buckets - 1)) + ")")
-    bounds = rows.agg(F.percentile_approx(value, cuts, 10 * buckets).alias("b")).scalar()
+    bounds = rows.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, cuts, 10 * buckets)).alias("_bounds"))
+    if keys:
+        rows = rows.join(broadcast_if_small(bounds), keys)
+    else:
+        rows = rows.withColumn("_bounds", bounds.scalar())
     # how many bounds lie below the value, read off where the value would be inserted
-    place = F.array_position(F.sort_array(F.array_append(F.array_distinct(bounds), F.col(value))), F.col(value))
-    rows = rows.withColumn("_b", place)
+    place = F.array_position(F.sort_array(F.array_append("_bounds", F.col(value))), F.col(value))
+    rows = rows.withColumn("_b", place).drop("_bounds")
     totals = rows.groupBy(*keys, "_b").agg(F.sum("_c").alias("_in"))
     through = Window.partitionBy(*keys).orderBy("_b")
     totals = (totals.withColumn("_to", F.sum("_in").over(through)).withColumn("_from", F.col("_to") - F.col("_in"))

@@ -133,6 +133,22 @@ def metrics_by_group(t):
     return _round(ev.summary(_results(t), ("category", "split")), *DOUBLES)
 
 
+@query("metrics_within_split", ctes(WINDOWS, PASSAGES, GOLD, ("hits", _sql_hits("qa", "va")), *RESULTS, select=f"""
+SELECT split, category, {BLOCK} FROM results GROUP BY GROUPING SETS ((split), (split, category))"""))
+def metrics_within_split(t):
+    return _round(ev.summary_within(_results(t)), *DOUBLES)
+
+
+@query("metrics_rounded", ctes(WINDOWS, PASSAGES, GOLD, ("hits", _sql_hits("qb", "vb")), *RESULTS, select="""
+SELECT category, count(*) AS n, """ + ", ".join(f"round_even({x}, 3) AS {n}" for n, x in (
+    ("recall_at_1", "avg(CASE WHEN first_rank <= 1 THEN 1 ELSE 0 END)"), ("recall_at_5", "avg(CASE WHEN first_rank <= 5 THEN 1 ELSE 0 END)"),
+    ("recall_at_10", "avg(CASE WHEN first_rank <= 10 THEN 1 ELSE 0 END)"))) + " FROM results GROUP BY category"))
+def metrics_rounded(t):
+    """The reported form of the metrics: three digits, halves to the even one."""
+    blocks = ev.rounded(ev.summary(_results(t, "vector_b"))).where("scope = 'category'")
+    return blocks.select(F.col("value").alias("category"), "n", "recall_at_1", "recall_at_5", "recall_at_10")
+
+
 @query("better_worse", ctes(WINDOWS, PASSAGES, GOLD, ("hits", _sql_hits("qb", "vb")), *RESULTS, ("hits_a", _sql_hits("qa", "va")),
                             ("first_a", """SELECT h.query_id, min(rank) AS r FROM hits_a h JOIN gold g ON h.query_id = g.query_id AND h.path = g.path
        AND h.start_line <= g."end" AND g.start <= h.end_line GROUP BY ALL"""), select="""

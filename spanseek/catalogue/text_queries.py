@@ -304,6 +304,45 @@ def coverage_lines(t):
     return report.line_coverage(files, units).select("path", "non_blank", "covered")
 
 
+COVERAGE = r"""SELECT path, count(*) FILTER (filled) AS non_blank, count(*) FILTER (filled AND i BETWEEN 2 AND 5) AS covered
+FROM (SELECT doc_id AS path, unnest(x) AS line, unnest(range(1, len(x) + 1)) AS i, regexp_matches(unnest(x), '[^\p{Z}\x09-\x0d\x1c-\x1f\x{85}]') AS filled
+ FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)) GROUP BY path"""
+
+
+def _covered(t):
+    """Documents of which lines 2 to 5 are a unit."""
+    files = t.documents.select(F.col("doc_id").alias("path"), "text")
+    units = files.where(tx.line_count(F.col("text")) >= 2).select("path", F.lit(2).alias("start_line"), F.least(F.lit(5), tx.line_count(F.col("text"))).alias("end_line"))
+    return report.line_coverage(files, units)
+
+
+@query("lowest_coverage", f"""
+SELECT path, non_blank::INTEGER AS non_blank, covered::INTEGER AS covered, round(covered / non_blank, 9) AS share FROM ({COVERAGE})
+WHERE non_blank >= 20 ORDER BY covered / non_blank, path LIMIT 5""")
+def lowest_coverage(t):
+    return report.lowest_coverage(_covered(t)).withColumn("share", F.round("share", 9))
+
+
+@query("total_coverage", f"""
+SELECT sum(non_blank)::BIGINT AS lines, sum(covered)::BIGINT AS covered, round(100 * sum(covered) / greatest(sum(non_blank), 1), 9) AS percent FROM ({COVERAGE})""")
+def total_coverage(t):
+    return report.total_coverage(_covered(t)).withColumn("percent", F.round("percent", 9))
+
+
+@query("largest_units", """
+SELECT doc_id, source AS path, length(text)::INTEGER AS chars FROM documents ORDER BY chars DESC, source, doc_id LIMIT 5""")
+def largest_units(t):
+    units = t.documents.select("doc_id", F.col("source").alias("path"), "text", F.col("doc_id").alias("start_line"), F.lit(0).alias("part"))
+    return report.largest_units(units).select("doc_id", "path", "chars")
+
+
+@query("units_by_kind", """
+SELECT kind, count(*) AS n FROM (SELECT CASE WHEN lang = 'en' THEN 'function' WHEN lang = 'de' THEN 'class' ELSE 'module' END AS kind FROM documents) GROUP BY kind""")
+def units_by_kind(t):
+    kind = F.when(F.col("lang") == "en", "function").when(F.col("lang") == "de", "class").otherwise("module")
+    return report.count_by(t.documents.select(kind.alias("kind")), "kind")
+
+
 @query("broken_spans", """
 SELECT doc_id AS path FROM documents WHERE lang <> 'en'""")
 def broken_spans(t):

@@ -49,3 +49,43 @@ SELECT concat('doc', doc_id, '.py') AS path, 'function' AS kind, concat('line_',
  concat(CASE WHEN i = 1 THEN concat('import os', chr(10), chr(10), chr(10)) ELSE '' END, 'def line_', i, '():', chr(10), '    return ', length(line)) AS text FROM ({LINES})""")
 def merge_tiny(t):
     return _units(split_units(outlines(python_files(t)), min_chars=60))
+
+
+def class_files(t):
+    """Per document a class whose method carries the whole text as leading comments, a member that is no definition, a function and a call.
+
+    Two checkouts hold each of them under the same path; the second one lacks the class. A class's header reaches to its first method itself, so the
+    comments above that method stand in both units."""
+    text = F.concat(F.lit("class Doc:\n    tag = 1\n\n"), F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("    # "), x)), "\n"),
+                    F.lit("\n    @staticmethod\n    def made(n, *, by=2):\n        return n * by\n\n    late = (\n        2,\n    )\n"))
+    tail = F.lit("\ndef used(n):\n    return made(n)\n\nprint(used(3))\n")
+    d = t.documents.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.concat(text, tail).alias("both"), tail.alias("one"))
+    return d.select(F.inline(F.array(F.struct(F.lit("a").alias("root"), "path", F.col("both").alias("text")), F.struct(F.lit("b").alias("root"), "path", F.col("one").alias("text")))))
+
+
+@query("split_classes", """
+WITH d AS (SELECT concat('doc', doc_id, '.py') AS path, len(string_split(text, chr(10))) AS n,
+  list_aggregate(list_transform(string_split(text, chr(10)), lambda x: concat('    # ', x)), 'string_agg', chr(10)) AS notes FROM documents),
+tail AS (SELECT 'a' AS root, path, n + 11 AS k FROM d UNION ALL SELECT 'b', path, 1 FROM d)
+SELECT 'a' AS root, path, 'class' AS kind, 'Doc' AS qualname, 'class Doc:' AS signature, 1 AS start_line, (n + 3)::INTEGER AS end_line, 0 AS part, false AS is_group,
+ concat('class Doc:', chr(10), '    tag = 1', chr(10), chr(10), notes) AS text FROM d
+UNION ALL SELECT 'a', path, 'method', 'Doc.made', '@staticmethod def made(n, *, by=2):', 4, (n + 6)::INTEGER, 0, false,
+ concat(notes, chr(10), '    @staticmethod', chr(10), '    def made(n, *, by=2):', chr(10), '        return n * by') FROM d
+UNION ALL SELECT root, path, 'function', 'used', 'def used(n):', (k + 1)::INTEGER, (k + 2)::INTEGER, 0, false, concat('def used(n):', chr(10), '    return made(n)') FROM tail
+UNION ALL SELECT root, path, 'module', '', '', (k + 4)::INTEGER, (k + 4)::INTEGER, 0, true, 'print(used(3))' FROM tail""")
+def split_classes(t):
+    units = split_units(outlines(class_files(t), 50_000_000), 50_000_000)  # no limit: a method holds a whole text
+    return units.select("root", "path", "kind", "qualname", "signature", "start_line", "end_line", "part", F.col("group").alias("is_group"), "text")
+
+
+@query("equal_code", """
+SELECT CASE WHEN k = 0 THEN 'comments' WHEN k = 1 THEN 'numbers' END AS kind, count(*) AS files, count(DISTINCT CASE WHEN k = 0 THEN '' ELSE length(text)::VARCHAR END) AS hashes
+FROM documents, (SELECT unnest([0, 1]) AS k) GROUP BY k""")
+def equal_code(t):
+    """Token hashes: a function is the same whatever comments it holds (each document's whole text), and differs with a number in it."""
+    comments = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("    # "), x)), "\n")
+    code = F.array(F.struct(F.lit("comments").alias("kind"), F.concat(F.lit("def f(n):\n"), comments, F.lit("\n    return n\n")).alias("text")),
+                   F.struct(F.lit("numbers").alias("kind"), F.concat(F.lit("def f(n):\n    return n + "), F.length("text").cast("string"), F.lit("\n")).alias("text")))
+    files = t.documents.select("doc_id", F.inline(code)).select(F.concat("kind", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), "text")
+    units = split_units(outlines(files, 50_000_000), 50_000_000)
+    return units.groupBy(F.substring_index("path", "/", 1).alias("kind")).agg(F.count_distinct("path").alias("files"), F.count_distinct("ast_hash").alias("hashes"))

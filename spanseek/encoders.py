@@ -62,8 +62,8 @@ class HashingEncoder:
                 for t in texts:
                     found = word.findall(t.lower())
                     at = [slots[w] if w in slots else slots.setdefault(w, zlib.crc32((salt + w).encode()) % dim) for w in found]
-                    v = np.bincount(np.asarray(at, dtype="int64"), minlength=dim).astype("float32") + np.float32(1e-3)
-                    out.append(v / np.linalg.norm(v))
+                    v = np.bincount(np.asarray(at, dtype="int64"), minlength=dim) + 1e-3
+                    out.append((v / np.linalg.norm(v)).astype("float32"))
                 if len(slots) > 1_000_000:
                     slots.clear()
                 yield pd.Series(out)

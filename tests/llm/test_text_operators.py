@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from llm.conftest import prose
 from spanseek.llm import decontaminate, html_text, license_scan, lm_scores, pii, secrets, toxicity
+from spanseek.llm.common import SQL
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
         "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -46,6 +48,19 @@ def test_pii_equals_brute_force(spark):
         assert [(s.start, s.rank) for s in row.pii] == sorted((s.start, s.rank) for s in row.pii)
 
 
+def test_pii_sql_gives_the_same(spark, tmp_path):
+    texts = ["IBAN DE89 3704 0044 0532 0130 00 a@b.com", "example DE89370400440532013000", "bank example DE89370400440532013000!", "_DE89370400440532013000", "éGB82WEST12345698765432é",
+             "GB82WEST12345698765431", None, "", "+1 (017) 555-7713 1.2.3.4 é 4111 1111 1111 1111", "AA00 BBBB CCCC 1.2.3.4.5.6.7.8"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    mine = pii.pii(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    columns = sorted(mine.columns)
+    theirs = con.execute(f"SELECT {', '.join(columns)} FROM ({SQL['op2_pii']})").fetchall()
+    got = sorted(tuple(r[c] for c in columns) for r in mine.collect())
+    assert got == sorted(theirs) and sum(r.n_iban for r in mine.collect()) == 3
+
+
 def test_pii_adds_accounts_and_redacts_once(spark):
     docs = spark.createDataFrame([(1, "é my IBAN DE89 3704 0044 0532 0130 00 and GB82WEST12345698765431 end"), (2, "1.2.3.4@x.com +49 170 1.2.3.4"), (3, None)],
                                  "doc_id long, text string")

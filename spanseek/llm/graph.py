@@ -30,5 +30,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if after == state:
             break
         state = after
+    else:
+        raise RuntimeError(f"components have not settled in {rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)

@@ -19,6 +19,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +39,7 @@ ALIKE = 0.5        # average similarity from which a node is compared instead of
 DEPTH = 8
 BLOCK_SETS = 512
 BLOCK_RUNS = 400_000
+FILTER_BITS = 19   # 4 MB
 _SEEDS = np.random.default_rng(17).integers(1, 1 << 32, (MINHASHES, 2), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
@@ -312,16 +314,51 @@ def exact_links(members: DataFrame) -> DataFrame:
             .applyInArrow(verify, "a binary, b binary, links long"))
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """key, runs of every row."""
+def _slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = mixed(keys[:, 0])
+    return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64), np.uint64(1) << (h & np.uint64(63))
+
+
+def key_filter(keys: DataFrame):
+    """A broadcast filter of fixed size (2 ** FILTER_BITS numbers of 64 flags) that knows every key of a table, and by chance some others.
+
+    Rows it does not know need no shuffle to be told from the table; the others go through an exact join. With very many keys it only
+    lets more rows through to that join."""
+    def run(batches):
+        for batch in batches:
+            slot, bit = _slots(_matrix(batch.column("key"), np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(bit.view(np.int64))], names=["slot", "bit"])
+
+    rows = keys.select("key").mapInArrow(run, "slot long, bit long").groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
+    flags = np.zeros(1 << FILTER_BITS, np.uint64)
+    flags[np.asarray(rows["slot"])] = np.asarray(rows["bits"]).view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(flags)
+
+
+def _known(flags: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot, bit = _slots(keys)
+    return (flags[slot] & bit) != 0
+
+
+def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """key, runs of the rows that may be members; of equal rows of a task, one."""
+    flags = key_filter(members)
+
     def run(batches):
+        met: set[bytes] = set()  # at most the members that this task meets
         for block in blocks(batches, "text"):
             owner, value = shingles(*flat(block.column("text")))
             keys, size = _keys(owner, value, block.num_rows)
-            ends = np.r_[0, np.cumsum(size)] * 8
-            runs = pa.Array.from_buffers(pa.large_binary(), block.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(value.tobytes())])
-            yield pa.RecordBatch.from_arrays([_binary(keys), runs.cast(pa.binary())], names=["key", "runs"])
-    return docs.select("text").mapInArrow(run, "key binary, runs binary")
+            wanted = _known(flags.value, keys)
+            for row in np.flatnonzero(wanted):
+                name = keys[row].tobytes()
+                wanted[row] = name not in met
+                met.add(name)
+            ends = np.r_[0, np.cumsum(size[wanted])] * 8
+            runs = pa.Array.from_buffers(pa.large_binary(), int(wanted.sum()),
+                                         [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(value[wanted[owner]].tobytes())])
+            yield pa.RecordBatch.from_arrays([_binary(keys[wanted]), runs.cast(pa.binary())], names=["key", "runs"])
+    return docs.select(whole().alias("text")).mapInArrow(run, "key binary, runs binary")
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -333,14 +370,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                                                F.any_value("sketch").alias("sketch")))
     groups = written(components(candidates(reps)))
     members = groups.withColumnRenamed("node", "key").join(reps.select("key", "copies", "size", "first_doc"), "key")
-    wanted = members.select(F.col("first_doc").alias("doc_id")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
-    known = rows.join(wanted, "doc_id", "left_semi")
-    if not members.where("first_doc IS NULL").isEmpty():
-        known = known.unionByName(rows.where("doc_id IS NULL"))
-    sets = _sets(known).join(members.select("key", "label", "copies", "size"), "key")
-    repeated = written(sets)
-    one_each = repeated.dropDuplicates(["key"])  # several rows may share the id of a representative
+    members = written(members)
+    sets = _sets(docs, members).join(members.select("key", "label", "copies", "size"), "key")
+    one_each = written(sets.dropDuplicates(["key"]))  # several tasks may have met a set
     found = written(exact_links(one_each))
     links = found.where("b IS NULL").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     labels = components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "key")
@@ -365,20 +397,25 @@ def join(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without all but one row of every class; the row with the least doc_id stays."""
     _, shared = classes(docs)
-    key, label, head = (fresh(docs, n) for n in ("_key", "_label", "_class_id"))
+    key, label, head, keep = (fresh(docs, n) for n in ("_key", "_label", "_class_id", "_keep"))
     schema = T.StructType([*docs.schema.fields, T.StructField(key, T.BinaryType())])
     text = docs.columns.index("text")
+    flags = key_filter(shared)
 
     def named(batches):
+        """The rows with their key; without one if no other row can be in their class."""
         for block in blocks(batches, "text"):
             owner, value = shingles(*flat(block.column(text)))
             keys, _ = _keys(owner, value, block.num_rows)
-            yield pa.RecordBatch.from_arrays([*block.columns, _binary(keys)], names=[*block.schema.names, key])
+            known = pa.array(_known(flags.value, keys))
+            yield pa.RecordBatch.from_arrays([*block.columns, pc.if_else(known, _binary(keys), pa.scalar(None, pa.binary()))], names=[*block.schema.names, key])
 
     rows = docs.mapInArrow(named, schema)
-    single = rows.join(shared.select(F.col("key").alias(key)), key, "left_anti").select(*docs.columns)
-    first = (rows.join(shared.where("keep").select(F.col("key").alias(key), F.col("label").alias(label), F.col("class_id").alias(head)), key)
-             .where(F.col("doc_id").eqNullSafe(F.col(head))).dropDuplicates([label]).select(*docs.columns))
+    single = rows.where(F.col(key).isNull()).select(*docs.columns)
+    told = shared.select(F.col("key").alias(key), F.col("label").alias(label), F.col("class_id").alias(head), F.col("keep").alias(keep))
+    rest = rows.where(F.col(key).isNotNull()).join(told, key, "left")
+    rest = rest.where(F.col(label).isNull() | (F.col(keep) & F.col("doc_id").eqNullSafe(F.col(head))))
+    first = rest.withColumn(label, F.coalesce(label, key)).dropDuplicates([label]).select(*docs.columns)
     return single.unionByName(first)
 
 

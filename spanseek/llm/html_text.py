@@ -1,9 +1,10 @@
 """Main text of web pages by tree scoring.
 
 Every paragraph gives points for its length and its commas to the containers above it (all to the nearest, half to the next, then a third, a
-quarter ...), a container's points are discounted by the share of its text that stands in links, and the best container with those of its
-siblings that score like it is the article. Menus, page headers, footers, asides, notices, adverts, forms, scripts, styles and reader comments
-are left out wherever they stand. Inside what is kept nothing is dropped.
+quarter ...) and a container's points are discounted by the share of its text that stands in links. The best container names the article: an article
+element around it is kept whole, and so is the container itself; of the main element around them (the page, where neither element is) all is kept that is
+not a list of links, headings, lists, tables and short paragraphs too, and an h1 above when there is none inside. Menus, page headers, footers, asides,
+notices, adverts, forms, scripts, styles and reader comments are left out wherever they stand. Inside what is kept nothing is dropped.
 
 Character references are decoded, white space inside a block becomes one blank, blocks are joined by one line feed in page order. Null and empty
 pages, and pages without text, give an empty text. Broken markup never fails: open elements end where an outer one ends. A page is worked on by
@@ -142,15 +143,34 @@ def main_text(page: str) -> str:
     best = max(range(n), key=lambda i: (score[i], -i))
     if score[best] <= 0:
         best = max((i for i in range(n) if tree.tag[i] in ("article", "main") and chars[i]), key=lambda i: chars[i], default=0)
-    keep = [False] * n
-    keep[best] = True
+    above = [best]
+    while above[-1] > 0:
+        above.append(tree.parent[above[-1]])
+    path = set(above)
+    held = [i for i in above if tree.tag[i] in ("article", "main")]
+    root = held[-1] if held else 0
+    keep, near = [False] * n, [False] * n  # kept whole; kept without its link lists
+    keep[next((i for i in reversed(held) if tree.tag[i] == "article"), best)] = keep[best] = near[root] = True
     for i in range(1, n):
-        if tree.parent[i] == tree.parent[best] and chars[i] and not tree.out[i]:
+        if tree.parent[i] in (tree.parent[best], tree.parent[root]) and i not in path and chars[i] and not tree.out[i]:
             if score[i] >= max(10.0, 0.2 * score[best]) or tree.tag[i] == "p" and chars[i] > 80 and linked[i] < 0.25 * chars[i]:
                 keep[i] = True
     for i in range(1, n):
         keep[i] = keep[i] or keep[tree.parent[i]]
-    return "\n".join(text for node, text, _ in tree.blocks if keep[node])
+        near[i] = near[i] or near[tree.parent[i]]
+
+    def wanted(node: int, text: str, in_links: int) -> bool:
+        if keep[node]:
+            return True
+        if not near[node] or in_links >= 0.5 * len(text):
+            return False
+        holder = tree.parent[node] if tree.tag[node] in _LEAF else node
+        return len(text) > 80 or tree.tag[node] == "h1" or linked[holder] < 0.5 * chars[holder]
+
+    kept = [wanted(*block) for block in tree.blocks]
+    headed = any(k and tree.tag[node] == "h1" for k, (node, _, _) in zip(kept, tree.blocks))
+    return "\n".join(text for k, (node, text, in_links) in zip(kept, tree.blocks)
+                     if k or not headed and tree.tag[node] == "h1" and in_links < 0.5 * len(text))
 
 
 def extract(pages: DataFrame, page: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -95,6 +95,18 @@ def test_html_keeps_the_article_whole():
     assert html_text.main_text(page) == "A & B\nFirst paragraph, with white space, and bold text.\nSecond <one>."
 
 
+def test_html_keeps_what_stands_beside_the_best_container():
+    body = "".join(f"<p>{chr(97 + i) * 296}, x,</p>" for i in range(6))
+    parts = "<h1>T</h1><div class=lead>A short lead.</div><section>%s</section><ul><li>One<li>Two</ul><table><tr><td>7</td></tr></table><pre>x = 1</pre>" % body
+    after = "<blockquote>Said.</blockquote><section><h2>More</h2><p>Short.</p></section>"
+    menu = "<div><a href=/>Home</a> <a href=/b>All the other pages</a></div>"
+    want = ["T", "A short lead.", *(chr(97 + i) * 296 + ", x," for i in range(6)), "One", "Two", "7", "x = 1", "Said.", "More", "Short."]
+    for page in (f"{menu}<article>{parts}{after}</article>", f"{menu}<main>{parts}{after}</main>", f"<main>{menu}{parts.replace('section', 'article')}{after}</main>",
+                 f"<body>{menu}<div><div>{parts}</div>{after}</div></body>"):
+        assert html_text.main_text(page).split("\n") == want, page
+    assert html_text.main_text(f"<h1>T</h1>{menu}<article>{body}</article><p>Elsewhere</p>").split("\n") == ["T", *want[2:8]]
+
+
 @pytest.mark.parametrize("page", ["", "<p>a", "<" * 20000, "<a " * 20000, "<div>" * 5000, "<!-- open", "<script>var a;", '<a b="' * 5000, "</p></div>"])
 def test_html_never_fails(page):
     assert isinstance(html_text.main_text(page), str)

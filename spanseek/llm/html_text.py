@@ -4,7 +4,8 @@ Every paragraph gives points for its length and its commas to the containers abo
 quarter ...) and a container's points are discounted by the share of its text that stands in links. The best container names the article: an article
 element around it is kept whole, and so is the container itself; of the main element around them (the page, where neither element is) all is kept that is
 not a list of links, headings, lists, tables and short paragraphs too, and an h1 above when there is none inside. Menus, page headers, footers, asides,
-notices, adverts, forms, scripts, styles and reader comments are left out wherever they stand. Inside what is kept nothing is dropped.
+adverts, forms, scripts, styles, reader comments and what is hidden are left out wherever they stand. Elements named related, share, notice and the like
+score half; they are left out as lists of links, and outside of article and main when no long paragraph is in them. Inside what is kept nothing is dropped.
 
 Character references are decoded, white space inside a block becomes one blank, blocks are joined by one line feed in page order. Null and empty
 pages, and pages without text, give an empty text. Broken markup never fails: open elements end where an outer one ends. A page is worked on by
@@ -28,28 +29,66 @@ _RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg",
 _ENDS = {tag: re.compile(rf"</{tag}\b[^<>]*>", re.I) for tag in _RAW}
 _OUT = {"head", "title", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "fieldset"}
 _LEAF = {"p", "pre", "li", "td", "th", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption", "summary", "caption"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _BLOCK = _OUT | _LEAF | {"html", "body", "article", "main", "section", "div", "header", "blockquote", "ul", "ol", "dl", "table", "tbody", "thead",
                          "tfoot", "tr", "figure", "details", "address", "center", "hr"}
 _SAME = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}}
-_NAMES = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]++))?""")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|banner|promo\w*|cookies?|consent|gdpr|notice|popup|modal|subscribe|newsletter|signup|comments?|"
-    r"commentlist|respond|repl(?:y|ies)|disqus|sidebar|side-?bar|menu|nav(?:bar|igation)?|breadcrumbs?|share|sharing|social|related|recommend\w*|footer|"
-    r"site-?header|masthead|pagination|pager|widget|contentinfo|complementary|search)(?:$|[\s_-])", re.I)
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|banner|promo\w*|cookies?|consent|gdpr|popup|modal|subscribe|newsletter|signup|comments?|"
+    r"commentlist|respond|repl(?:y|ies)|disqus|sidebar|side-?bar|menu|nav(?:bar|igation)?|breadcrumbs?|footer|"
+    r"site-?header|masthead|pagination|pager|contentinfo|complementary)(?:$|[\s_-])", re.I)
+_LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without|layout)[_-]\S*", re.I)  # names of what stands beside an element, or does not
+_DOUBTFUL = re.compile(r"(?:^|[\s_-])(?:notice|share|sharing|social|related|recommend\w*|widget|search)(?:$|[\s_-])", re.I)
 _BONUS = {"article": 10.0, "main": 10.0, "div": 2.0, "section": 2.0, "blockquote": 1.0}
 
 
+def _attributes(raw: str) -> dict[str, str]:
+    """Values by lower-case name, the first of a name; quotes taken off, empty for a bare name."""
+    out: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(raw):
+        out.setdefault(name.lower(), value[1:-1] if value[:1] in ("'", '"') else value)
+    return out
+
+
+def _hidden(has: dict[str, str]) -> bool:
+    return ("hidden" in has and has["hidden"].strip().lower() != "until-found" or has.get("aria-hidden", "").strip().lower() == "true"
+            or bool(_UNSEEN.search(has.get("style", ""))))
+
+
 class _Tree:
     """Elements that make blocks, as parallel lists, and the blocks of text in page order."""
 
     def __init__(self):
         self.tag, self.parent, self.out = ["#"], [-1], [False]
+        self.doubtful: set[int] = set()
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self.open = [0]
         self.parts: list[str] = []
         self.links = self.linked = 0
 
+    def settle(self):
+        """Doubtful elements go with all below them when they are lists of links, and outside of article and main also when they hold no long paragraph."""
+        if not self.doubtful:
+            return
+        n = len(self.tag)
+        chars, linked, long, held = [0] * n, [0] * n, [False] * n, [False] * n
+        for node, text, in_links in self.blocks:
+            chars[node] += len(text)
+            linked[node] += in_links
+            long[node] = long[node] or len(text) > 80 and in_links < 0.25 * len(text)
+        for node in range(n - 1, 0, -1):  # children come after their parents
+            above = self.parent[node]
+            chars[above] += chars[node]
+            linked[above] += linked[node]
+            long[above] = long[above] or long[node]
+        for node in range(1, n):
+            held[node] = held[self.parent[node]] or self.tag[node] in ("article", "main")
+            self.out[node] = (self.out[node] or self.out[self.parent[node]]
+                              or node in self.doubtful and (linked[node] >= 0.5 * chars[node] or not (long[node] or held[node])))
+        self.blocks = [x for x in self.blocks if not self.out[x[0]]]
+
     def flush(self):
         text = " ".join("".join(self.parts).split())
         if text and not self.out[self.open[-1]]:
@@ -74,14 +113,21 @@ class _Tree:
             return
         above = self.open[-1]
         out = self.out[above] or tag in _OUT
+        doubtful = False
         if not out and attributes and tag not in ("html", "body", "article", "main"):
-            names = " ".join("".join(m) for m in _NAMES.findall(attributes))
-            out = bool(names and _UNWANTED.search(names)) or bool(_HIDDEN.search(attributes))
+            has = _attributes(attributes)
+            # the id of a heading is made of its words
+            names = " ".join(has[x] for x in ("class", "id", "role") if x in has and (x != "id" or tag not in _HEADINGS))
+            names = _LAYOUT.sub("", names)
+            out = bool(names and _UNWANTED.search(names)) or has.get("role", "").strip().lower() == "search" or _hidden(has)
+            doubtful = not out and bool(names and _DOUBTFUL.search(names))
         if tag == "header" and not any(self.tag[i] in ("article", "main") for i in self.open):
             out = True
         self.tag.append(tag)
         self.parent.append(above)
         self.out.append(out)
+        if doubtful:
+            self.doubtful.add(len(self.tag) - 1)
         self.open.append(len(self.tag) - 1)
 
     def end(self, tag: str):
@@ -118,6 +164,7 @@ def _parse(page: str) -> _Tree:
             tree.text(" ")
     tree.text(page[at:])
     tree.flush()
+    tree.settle()
     return tree
 
 
@@ -140,6 +187,8 @@ def main_text(page: str) -> str:
         chars[tree.parent[node]] += chars[node]
         linked[tree.parent[node]] += linked[node]
     score = [(points[i] + _BONUS.get(tree.tag[i], 0.0)) * (1 - linked[i] / chars[i]) if points[i] and chars[i] else 0.0 for i in range(n)]
+    for i in tree.doubtful:
+        score[i] *= 0.5
     best = max(range(n), key=lambda i: (score[i], -i))
     if score[best] <= 0:
         best = max((i for i in range(n) if tree.tag[i] in ("article", "main") and chars[i]), key=lambda i: chars[i], default=0)

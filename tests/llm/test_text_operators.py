@@ -107,6 +107,17 @@ def test_html_keeps_what_stands_beside_the_best_container():
     assert html_text.main_text(f"<h1>T</h1>{menu}<article>{body}</article><p>Elsewhere</p>").split("\n") == ["T", *want[2:8]]
 
 
+def test_html_reads_attributes_by_name():
+    long = "Text that is long enough, as paragraphs of articles are, to be told from a list of links."
+    for attributes in ('style="overflow:hidden"', 'class="overflow-hidden post"', 'title="the hidden door"', "data-x='display:none'", "data-hidden=1", 'id="related-work"',
+                       "class=social-science", 'class="wrap with-sidebar"', 'class="search notice widget"'):
+        assert html_text.main_text(f"<body><div {attributes}><p>{long}</p><p>Short.</p></div></body>") == f"{long}\nShort.", attributes
+    for attributes in ("hidden", 'HIDDEN="hidden"', "hidden=''", "aria-hidden = true", 'style="color:red; display : none"', "style='visibility:hidden'", 'class="x comments"', "role=search"):
+        assert html_text.main_text(f"<body><p>{long}</p><div {attributes}><p>{long}</p></div></body>") == long, attributes
+    assert html_text.main_text(f'<article><p>{long}</p><section id=related-work><h2 id=comments>Related</h2><p>Short.</p></section>'
+                               f'<div class="social share"><a href=/>Send</a></div></article><div class=notice><p>We tell you.</p></div>') == f"{long}\nRelated\nShort."
+
+
 @pytest.mark.parametrize("page", ["", "<p>a", "<" * 20000, "<a " * 20000, "<div>" * 5000, "<!-- open", "<script>var a;", '<a b="' * 5000, "</p></div>"])
 def test_html_never_fails(page):
     assert isinstance(html_text.main_text(page), str)

@@ -5,7 +5,12 @@ the families apart. It is fitted on the driver from the notices in ``NOTICES`` a
 use the same words otherwise. The unknown class has two doors: a class of its own, and a least probability ``cutoff`` set where 99 % of held-out
 other sentences are rejected. A family is confirmed when its best notice shares enough word pairs with the paragraph (containment).
 
-A paragraph is a line of the text. One without such a word has no feature at all and is unknown, so a single expression on the text decides whether
+A paragraph is a line of the text. A notice that is wrapped over lines is looked for where a line ends and the next one has words too: the last words of
+the line with the first ones of those after it, as many on either side as the longest notice has (``_reach``; a half and a quarter of those after it as
+well, since another notice may follow), up to a line without letters and digits or one that is a whole notice itself. It is listed under the line that it
+begins in; what lines one after the other give for related families is one notice.
+
+A line without a word of licences has no feature at all and is unknown, so a single expression on the text decides whether
 anything else is computed. Nothing is shuffled. Null and empty texts have one empty paragraph, which is unknown; repeated rows give repeated results.
 """
 
@@ -163,8 +168,22 @@ def _bucketed(model: Model, spark) -> Column:
     return _literal(buckets, "array<map<string,array<double>>>")
 
 
-def classify(paragraph: Column, model: Model, weights: Column) -> Column:
-    """struct(family, prob, similarity) of a paragraph; family "unknown" where no family is probable and confirmed."""
+def _reach(model: Model) -> int:
+    """Words of the longest notice, with room for some that were put in."""
+    return max(len(pairs) for _, pairs in model.templates) + 8
+
+
+def _kin(family: Column) -> Column:
+    """One name for the families whose notices have most words in common."""
+    return F.when(family.contains("GPL"), "GPL").when(family.startswith("CC-BY"), "CC-BY").otherwise(family)
+
+
+def _words_of(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
+
+def classify(ws: Column, model: Model, weights: Column) -> Column:
+    """struct(family, prob, similarity) of the words of a paragraph; family "unknown" where no family is probable and confirmed."""
     k = len(model.families)
     lookup = lambda g: F.element_at(F.get(weights, F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int")), g)
 
@@ -195,7 +214,6 @@ def classify(paragraph: Column, model: Model, weights: Column) -> Column:
         return F.struct(F.when(good, d["family"]).otherwise("unknown").alias("family"), F.round(d["prob"], 6).alias("prob"),
                         F.round(similarity, 6).alias("similarity"))
 
-    ws = F.regexp_extract_all(F.lower(paragraph), F.lit(WORD), F.lit(0))
     return _bind(_bind(_bind(ws, scored), decided), compared)
 
 
@@ -207,12 +225,56 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     text = whole()
     kind = "array<struct<paragraph:int,family:string,prob:double,similarity:double>>"
 
-    def found(paragraphs: Column) -> Column:
-        asked = F.filter(F.transform(paragraphs, lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda x: x["p"].rlike(GATE))
-        made = F.transform(asked, lambda x: F.transform(F.array(classify(x["p"], model, weights)), lambda c: F.struct(
+    reach = _reach(model)
+
+    def confirmed(asked: Column) -> Column:
+        made = F.transform(asked, lambda x: F.transform(F.array(classify(x["ws"], model, weights)), lambda c: F.struct(
             x["i"].alias("paragraph"), c["family"].alias("family"), c["prob"].alias("prob"), c["similarity"].alias("similarity"))))
         return F.filter(F.flatten(made), lambda c: c["family"] != "unknown")
 
+    def found(lines: Column) -> Column:
+        asked = F.filter(F.transform(lines, lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda x: x["p"].rlike(GATE))
+        alone = confirmed(F.transform(asked, lambda x: F.struct(x["i"].alias("i"), _words_of(x["p"]).alias("ws"))))
+        return _bind(F.struct(lines.alias("lines"), alone.alias("alone")), with_wrapped)
+
+    def with_wrapped(s: Column) -> Column:
+        taken = F.transform(F.filter(s["alone"], lambda c: c["similarity"] >= 1), lambda c: c["paragraph"])
+        signs = F.transform(s["lines"], lambda p, i: F.when(F.array_contains(taken, i) | ~p.rlike(r"[\p{L}\p{N}]"), "-").when(p.rlike(GATE), "g").otherwise("o"))
+        return _bind(F.struct(s["lines"].alias("lines"), s["alone"].alias("alone"), F.concat_ws("", signs).alias("signs")), wrapped)
+
+    def wrapped(s: Column) -> Column:
+        ahead = F.transform(s["lines"], lambda p, i: F.struct(
+            i.alias("i"), F.regexp_extract(F.substring(s["signs"], i + 1, F.lit(reach + 1)), "^[go]+", 0).alias("signs")))
+        asked = F.filter(ahead, lambda x: (F.length(x["signs"]) > 1) & x["signs"].contains("g"))
+
+        def around(x: Column) -> Column:
+            after = F.aggregate(F.slice(s["lines"], x["i"] + 2, F.length(x["signs"]) - 1), F.expr("CAST(array() AS array<string>)"),
+                                lambda ws, p: F.when(F.size(ws) >= reach, ws).otherwise(F.slice(F.concat(ws, _words_of(p)), 1, reach)))
+            before = F.reverse(F.slice(F.reverse(_words_of(F.get(s["lines"], x["i"]))), 1, reach))
+            return _bind(F.struct(before.alias("before"), after.alias("after")), lambda w: F.array_distinct(F.array(*[
+                F.struct(x["i"].alias("i"), F.concat(w["before"], F.slice(w["after"], 1, n)).alias("ws")) for n in (reach // 4, reach // 2, reach)])))
+
+        def joined(runs: Column, c: Column) -> Column:
+            last = F.element_at(runs, -1)
+            goes_on = (F.size(runs) > 0) & (last["end"] + 1 >= c["paragraph"]) & (_kin(last["best"]["family"]) == _kin(c["family"]))
+            run = F.when(goes_on, F.struct(last["first"].alias("first"), c["paragraph"].alias("end"),
+                                           F.when(c["similarity"] >= last["best"]["similarity"], c).otherwise(last["best"]).alias("best"))
+                         ).otherwise(F.struct(c["paragraph"].alias("first"), c["paragraph"].alias("end"), c.alias("best")))
+            return F.concat(F.slice(runs, F.lit(1), F.size(runs) - goes_on.cast("int")), F.array(run))
+
+        one = kind.removeprefix("array<").removesuffix(">")
+        by_kin = F.transform(F.array_sort(F.transform(confirmed(F.flatten(F.transform(asked, around))), lambda c: F.struct(_kin(c["family"]).alias("kin"), c.alias("c")))),
+                             lambda x: x["c"])
+        runs = F.aggregate(by_kin, F.expr(f"CAST(array() AS array<struct<first:int,end:int,best:{one}>>)"), joined)
+        return F.when(s["signs"].rlike("g[go]|[go]g"), _bind(F.struct(s["alone"].alias("alone"), runs.alias("runs")), both)).otherwise(s["alone"])
+
+    def both(s: Column) -> Column:
+        """Of a line and the run of lines that it stands in, with related families, the one that shares more with its notice."""
+        meets = lambda c, r: c["paragraph"].between(r["first"], r["end"] + 1) & (_kin(c["family"]) == _kin(r["best"]["family"]))
+        lines = F.filter(s["alone"], lambda c: ~F.exists(s["runs"], lambda r: meets(c, r) & (r["best"]["similarity"] > c["similarity"])))
+        runs = F.filter(s["runs"], lambda r: ~F.exists(s["alone"], lambda c: meets(c, r) & (r["best"]["similarity"] <= c["similarity"])))
+        return F.array_sort(F.concat(lines, F.transform(runs, lambda r: r["best"])))
+
     return (docs.withColumn("licences", F.when(text.rlike(GATE), _bind(F.split(text, "\n", -1), found)).otherwise(F.expr(f"CAST(array() AS {kind})")))
             .withColumn("n_paragraphs", (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")))
 

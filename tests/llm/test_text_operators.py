@@ -85,6 +85,31 @@ def test_licences(spark, odd, none):
     assert all(r.licences == [] for r in license_scan.scan(odd).collect()) and license_scan.scan(none).count() == 0
 
 
+def test_licences_wrapped_over_lines(spark):
+    mit = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell"""
+    bsd = """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are met:"""
+    gpl = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version."""
+    apache = "Licensed under the\nApache License,\nVersion 2.0."
+    long = "They walked home along the river in the dark of night. " * 40
+    rows = [(mit, [(4, "MIT")]), (bsd, [(0, "BSD")]), (gpl, [(0, "GPL-3.0")]), (f"{bsd}\n{apache}\n{gpl}", [(0, "BSD"), (2, "Apache-2.0"), (5, "GPL-3.0")]),
+            (f"{long}Licensed under the\nApache License, Version 2.0.{long}", [(0, "Apache-2.0")]), (f"Released under the MIT License.\n{apache}", [(0, "MIT"), (1, "Apache-2.0")]),
+            ("They had no valid license\nand walked home mit all rights\nunder the public domain", []), ("Licensed under the\n\nApache License, Version 2.0.", [])]
+    docs = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(rows)], "doc_id long, text string")
+    found = {r.doc_id: [(x.paragraph, x.family) for x in r.licences] for r in license_scan.scan(docs).collect()}
+    assert found == {i: want for i, (_, want) in enumerate(rows)}
+
+
 def test_html_keeps_the_article_whole():
     page = """<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li><a href=/>Home, away, and more text in a long menu entry</a></li></ul></nav>
     <header class="site-header"><p>Our site, since 1999, for all of you, with much love</p></header><div class="cookie-notice"><p>We use cookies, as you know, and more</p></div>

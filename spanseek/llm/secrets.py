@@ -5,8 +5,8 @@ that a word for secrets is assigned to (``password: ...``). A forest of decision
 transitions between kinds of characters, coverage by dictionary words, the path (``source``) and the neighbouring words. It is fitted on the driver
 from labelled findings; ``labelled_findings`` builds a documented set of them, and any other list of the same shape can be given.
 
-Null and empty texts have no proposals. A run longer than ``LONGEST`` is data, not a key, unless something assigns it; this is part of the rule and
-the same at every size. Positions count code points, the end is exclusive. Repeated rows give repeated findings; nothing is shuffled.
+Null and empty texts have no proposals. A run of any length is proposed, and all of it is described; the forest tells long keys and tokens from data.
+Positions count code points, the end is exclusive. Repeated rows give repeated findings; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from spanseek.llm.common import blocks, flat, query, table, whole
 
-SHORTEST, LONGEST = 8, 200
+SHORTEST = 8
 TREES, DEEPEST, LEAST = 40, 8, 4
 NEAR = 32  # bytes looked at on either side
 
@@ -78,26 +78,40 @@ def _pairs_of_text() -> np.ndarray:
 
 
 _PAIR = _pairs_of_text()
-_ENTRY = {n: frozenset(w for w in DICTIONARY if len(w) == n) for n in range(3, 10)}
+_KIND = np.full(256, 3, np.uint8)  # small letters, capitals, digits, others
+for _kind, (_low, _high) in enumerate(((97, 123), (65, 91), (48, 58))):
+    _KIND[_low:_high] = _kind
+
+
+def _entries() -> re.Pattern:
+    """The longest dictionary word at each place, which covers the shorter ones that begin there; branches by first letter."""
+    words = sorted((w for w in set(DICTIONARY) if 3 <= len(w) <= 9), key=lambda w: (-len(w), w))
+    firsts = sorted({w[:1] for w in words})
+    return re.compile(b"(?=(" + b"|".join(c + b"(?:" + b"|".join(w[1:] for w in words if w[:1] == c) + b")" for c in firsts) + b"))")
+
+
+_ENTRIES = _entries()
 
 
 def describe(f: Finding) -> list[float]:
     """The numbers that the trees split on."""
     v, low, n = f.value, f.value.lower(), max(1, len(f.value))
-    kinds = [0 if 97 <= c <= 122 else 1 if 65 <= c <= 90 else 2 if 48 <= c <= 57 else 3 for c in v]
-    count = np.bincount(np.frombuffer(v, np.uint8)) if v else np.zeros(1)
+    signs = np.frombuffer(v, np.uint8)
+    kinds = _KIND[signs]
+    count = np.bincount(signs) if v else np.zeros(1)
     share = count[count > 0] / n
-    letters = [c - 97 for c in low if 97 <= c <= 122]
-    pairs = [_PAIR[a, b] for a, b in zip(letters, letters[1:])]
-    covered = np.zeros(len(low), bool)
-    for size, entries in _ENTRY.items():
-        for i in range(min(len(low), 400) - size + 1):
-            if low[i:i + size] in entries:
-                covered[i:i + size] = True
+    letters = np.frombuffer(low, np.uint8)
+    letters = letters[(letters >= 97) & (letters <= 122)].astype(np.int64) - 97
+    pairs = _PAIR[letters[:-1], letters[1:]]
+    covered = np.zeros(n + 1, np.int64)  # +1 where a word begins, -1 after its end
+    for m in _ENTRIES.finditer(low):
+        covered[m.start()] += 1
+        covered[m.end(1)] -= 1
+    of = [int((kinds == k).sum()) for k in range(4)]
     return [
-        float(n), float(-(share * np.log2(share)).sum()), sum(a != b for a, b in zip(kinds, kinds[1:])) / n, kinds.count(2) / n, kinds.count(1) / n,
-        kinds.count(3) / n, float(np.mean(pairs)) if pairs else -6.0, float(covered.mean()) if len(covered) else 0.0, max(share) if len(share) else 1.0,
-        float(all(c in b"0123456789abcdefABCDEF" for c in v)), float(bool(_UUID.match(v))), float(bool(_FORMAT.match(v))),
+        float(n), float(-(share * np.log2(share)).sum()), int((kinds[1:] != kinds[:-1]).sum()) / n, of[2] / n, of[1] / n,
+        of[3] / n, float(np.mean(pairs)) if len(pairs) else -6.0, float((np.cumsum(covered)[:-1] > 0).sum()) / n, max(share) if len(share) else 1.0,
+        float(not v.strip(b"0123456789abcdefABCDEF")), float(bool(_UUID.match(v))), float(bool(_FORMAT.match(v))),
         float(bool(_ASSIGNED.search(f.before))), float(bool(_WORDS_FOR.search(f.before))), float(bool(_WORDS_AGAINST.search(f.before))),
         float(bool(_WORDS_AGAINST.search(f.after))), float(bool(_TEST_PATH.search(f.path))), float(f.before[-1:] in (b'"', b"'", b"=", b":")),
         float(len(set(low)) <= 3), float(bool(re.search(rb"(?i)x{4}|\*{3}|your|change|example|0123|1234|abcd|dummy", v)))]
@@ -135,6 +149,16 @@ def labelled_findings(seed: int = 23, each: int = 90) -> list[Finding]:
         add(b"", b"/".join(word() for _ in range(3)) + b"/" + draw(b"0123456789", 4), False)
         add(one((b"key: ", b"token: ")), word() + b"_" + word(), False)
         add(one(for_it), draw(hexes, 32), False, b"tests/example_data.py")
+    for _ in range(each // 3):  # long ones, which are keys and tokens where something says so, and data elsewhere
+        long = lambda: int(2 ** rng.uniform(7, 12))
+        add(one((b"Authorization: Bearer ", b"bearer ", b"auth: Bearer ", b'"access_token": "', b"token = eyJhbGciOiJIUzI1NiJ9.")), draw(alnum + b"-_", long()), True)
+        add(one((b"Authorization: Bearer ", b"jwt ", b'token = "', b"")), b"eyJ" + draw(alnum + b"-_", long()), True)
+        add(one((b'private_key = "', b"PRIVATE_KEY=", b"secret_key: ", b"credential='", b"api_key=")), draw(alnum + b"+/", long()), True)
+        add(one(for_it), draw(hexes, int(one((128, 256, 512, 1024)))), True)
+        add(one((b"data:image/png;base64,", b"url(data:font/woff2;base64,", b"", b"", b"body ", b"see ")), draw(alnum + b"+/", long()), False)
+        add(one(against), draw(hexes, int(one((96, 128, 256, 512, 1024)))), False)
+        add(one((b"", b"https://host/", b"sequence ")), one((b"/", b"-", b"_")).join(word() + draw(b"0123456789", 1) for _ in range(long() // 8)), False)
+        add(one((b"", b"sequence ", b"id: ")), one((draw(b"ACGT", long()) + b"1", draw(b"01", long()) + b"b", b"a1" * (long() // 2))), False)
     return out
 
 
@@ -219,7 +243,7 @@ def propose(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     sign = np.r_[0, np.cumsum((raw == 43) | (raw == 45) | (raw == 47) | (raw == 95))]
     letters = end - start - digits - (sign[end] - sign[start])
     row = np.searchsorted(at, start, side="right") - 1
-    mixed = (digits > 0) & (letters > 0) & (end - start <= LONGEST)
+    mixed = (digits > 0) & (letters > 0)
     before = raw[np.maximum(start - 1, 0)]
     maybe = np.flatnonzero((~mixed) & (start > at[row]) & ((before == 61) | (before == 58) | (before == 34) | (before == 39) | (before == 32)))
     # only those with an equals sign or colon just before are looked at by the expression

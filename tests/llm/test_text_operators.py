@@ -155,6 +155,19 @@ def test_html_on_odd_rows(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_long_secrets_are_found(spark):
+    rng = random.Random(41)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(rng.choice(signs) for _ in range(n))
+    texts = [f"Authorization: Bearer {key(256)}", f"Authorization: Bearer eyJ{key(17)}.eyJ{key(700)}.{key(43)}", f'private_key = "{key(1600)}"',
+             f"an image data:image/png;base64,{key(3000)} in a page", "over and " + "water1-page2-stone3-" * 40 + "end1"]
+    docs = spark.createDataFrame([(i, x, "src1") for i, x in enumerate(texts)], "doc_id long, text string, source string")
+    long = [r for r in secrets.scan(docs).collect() if r.end - r.start > 200]
+    assert sorted((r.doc_id, r.end - r.start, r.is_secret) for r in long) == [(0, 256, True), (1, 703, True), (2, 1600, True), (3, 3000, False), (4, 804, False)]
+    covered = [secrets.describe(secrets.Finding(b"", b"window7" * n, b"", b"src", False))[7] for n in (1, 50, 500)]
+    assert np.allclose(covered, 6 / 7)
+
+
 def edits(pattern: str, text: str) -> int:
     before = [0] * (len(text) + 1)
     for i, c in enumerate(pattern, 1):

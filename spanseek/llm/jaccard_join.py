@@ -4,7 +4,7 @@ A text is the set of its runs of five words (lower case, letters and digits; a s
 representative walks down a tree: at a node it is sent on to the children named by the values of its minhash at a few positions that the node's
 path samples, so sets that share much meet again with the probability of their similarity at each position. Nodes with at most ``LEAF`` sets are
 compared outright. A larger node whose sets are much alike on average would not split further and is compared in blocks; any other is split again.
-``RUNS`` independent trees bring the recall of a pair at the threshold to ``RECALL`` (``runs_for``).
+``RUNS`` independent trees bring the recall of a pair at the threshold to ``RECALL`` (``runs_for``), with the sketch test below counted in.
 
 Pairs whose minhash sketches agree enough become the links of candidate groups; only a spanning forest leaves a task. Inside a candidate group all pairs
 are compared exactly, in blocks, on the full sets, which gives every document's number of links and the links that make the classes.
@@ -31,7 +31,7 @@ from spanseek.session import written
 WORDS = 5
 THRESHOLD = 0.8
 MINHASHES = 64
-AGREE = 38         # of MINHASHES: four standard deviations below the threshold
+AGREE = 34         # of MINHASHES: a pair at the threshold has fewer with probability 3.2e-7 (``gate_miss``)
 FAN = 3            # children that a set is sent to at a node
 RECALL = 0.99999
 LEAF = 2048
@@ -51,7 +51,12 @@ def runs_for(recall: float, similarity: float, fan: int = FAN, depth: int = 2) -
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - p)))
 
 
-RUNS = runs_for(RECALL, THRESHOLD)
+def gate_miss(similarity: float) -> float:
+    """Probability that a pair of this similarity agrees in fewer than ``AGREE`` minhashes, and so is no link although it meets."""
+    return sum(math.comb(MINHASHES, i) * similarity ** i * (1 - similarity) ** (MINHASHES - i) for i in range(AGREE))
+
+
+RUNS = runs_for(RECALL / (1 - gate_miss(THRESHOLD)), THRESHOLD)
 
 
 def shingles(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

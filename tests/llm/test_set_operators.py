@@ -98,6 +98,17 @@ def test_runs_reach_the_recall():
             assert 1 - (1 - p) ** n >= recall and (n == 1 or 1 - (1 - p) ** (n - 1) < recall)
 
 
+def test_recall_counts_the_sketch_test():
+    p = 1.0
+    for _ in range(2):
+        p = 1 - (1 - jaccard_join.THRESHOLD * p) ** jaccard_join.FAN
+    rng = np.random.default_rng(3)
+    drawn = (rng.random((200_000, jaccard_join.MINHASHES)) < 0.7).sum(1) < jaccard_join.AGREE
+    assert abs(drawn.mean() - jaccard_join.gate_miss(0.7)) < 1e-3
+    both = (1 - (1 - p) ** jaccard_join.RUNS) * (1 - jaccard_join.gate_miss(jaccard_join.THRESHOLD))
+    assert both >= jaccard_join.RECALL and jaccard_join.gate_miss(jaccard_join.THRESHOLD) < 1e-6
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(300, 299), (5, 5)]
     got = {r.node: r.label for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}

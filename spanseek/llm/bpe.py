@@ -22,6 +22,7 @@ import json
 import unicodedata
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from spanseek.llm.common import BLOCK_BYTES, blocks, fresh, query, table, whole
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHOWN_BYTES = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # stand for themselves; the others follow from U+0100 on
 
-KEPT_WORDS = 200_000
+KEPT_WORDS = 300_000
 LONG_WORD = 64
 KEPT_PAIRS = 1_000_000
 
@@ -96,9 +97,10 @@ class Encoder:
             self.parts[made], self.rank[made], self.pair_rank[left * size + right] = (left, right), rank, rank
         plain = {i: b for i, b in vocabulary.token_bytes.items() if i not in self.special.values()}
         self._automaton(plain)
-        self.known: dict[str, bytes] = {}
+        self.packed = [i.to_bytes(4, "little") for i in range(size)]
+        self.special_ids = {word: self.packed[i] for word, i in self.special.items()}
+        self.known: dict[str, bytes] = dict(self.special_ids)  # no word of the pattern is a special token: texts are cut there
         self.judged: dict[int, bool] = {}
-        self.classes: dict[str, bool] = {}
 
     def _automaton(self, tokens: dict[int, bytes]) -> None:
         """States are the prefixes of tokens. ``longest``: the longest token a state ends with; ``shorter``: the next one after a token."""
@@ -154,12 +156,13 @@ class Encoder:
                 return True
             ends, edge = self.rank[edge], self.parts[edge][1]
 
-    def encode_words(self, words: Sequence[bytes]) -> Iterator[np.ndarray]:
-        """Ids of distinct words given in sorted order."""
+    def encode_words(self, words: Sequence[bytes]) -> Iterator[bytes]:
+        """Packed ids of distinct words given in sorted order."""
         byte_of, depth_of, ends = trie(words)
         deepest = max(map(len, words), default=0) + 1
         states, lasts = [0] * deepest, [-1] * deepest
-        edges, fall, longest, shorter, length, judged = self.edges, self.fall, self.longest, self.shorter, self.length, self.judged
+        edges, fall, longest, shorter = self.edges, self.fall, self.longest, self.shorter
+        length, judged, packed = self.length, self.judged, self.packed
         for byte, depth, ends_here in zip(byte_of, depth_of, ends):
             state = states[depth - 1]
             while (state << 8 | byte) not in edges:
@@ -176,11 +179,14 @@ class Encoder:
                 token = shorter[token]
             states[depth], lasts[depth] = state, token
             if ends_here:
+                if length[token] == depth:
+                    yield packed[token]
+                    continue
                 ids = []
                 while depth:
-                    ids.append(lasts[depth])
+                    ids.append(packed[lasts[depth]])
                     depth -= length[lasts[depth]]
-                yield np.array(ids[::-1], "<u4")
+                yield b"".join(ids[::-1])
         if len(judged) > KEPT_PAIRS:
             judged.clear()
 
@@ -194,31 +200,40 @@ class Encoder:
             return [text[a:b] for a, b in dict.fromkeys(span for _, span in spans)]
         return self.pattern.findall(text)
 
-    def encode(self, text: str) -> bytes:
-        """All ids, as little-endian unsigned 32-bit integers."""
-        out = []
-        for part in self.cut.split(text) if self.cut else [text]:
-            if self.special and part in self.special:
-                out.append(np.array([self.special[part]], "<u4").tobytes())
-                continue
-            out += [self._encode_piece(piece) for piece in pieces(part)]
-        return b"".join(out)
-
-    def _encode_piece(self, text: str) -> bytes:
-        words = self._words(text)
-        known = self.known
-        new = {w for w in words if w not in known}
-        if not new:
-            return b"".join([known[w] for w in words])
-        if len(known) + len(new) > KEPT_WORDS:
-            known = self.known = {}
-            new = set(words)
-        spelled = sorted((w.encode("utf-8"), w) for w in new)
-        fresh_ids = {w: ids.tobytes() for (_, w), ids in zip(spelled, self.encode_words([b for b, _ in spelled]))}
-        ids = b"".join([fresh_ids.get(w) or known[w] for w in words])
-        known.update((w, i) for w, i in fresh_ids.items() if len(w) <= LONG_WORD)
+    def _cut(self, text: str) -> Iterator[str]:
+        return (part for part in self.cut.split(text) if part) if self.cut else iter([text])
+
+    def _learn(self, words: set[str]) -> list[str]:
+        """Make the ids of these words known; returns those that are too long to be kept."""
+        if len(self.known) + len(words) > KEPT_WORDS:
+            self.known = dict(self.special_ids)
+        spelled = sorted((w.encode("utf-8"), w) for w in words.difference(self.known))
+        self.known.update(zip((w for _, w in spelled), self.encode_words([b for b, _ in spelled])))
+        return [w for _, w in spelled if len(w) > LONG_WORD]
+
+    def _forget(self, words: list[str]) -> None:
+        for word in words:
+            del self.known[word]
+
+    def encode(self, texts: Sequence[str]) -> list[bytes]:
+        """All ids of each text, as little-endian unsigned 32-bit integers. The words of the whole block share one trie; texts larger than a
+        block go piece by piece."""
+        if sum(map(len, texts)) > 2 * BLOCK_BYTES:
+            return [b"".join(self._encode_pieces(text)) for text in texts]
+        lists = [list(chain.from_iterable([part] if part in self.special else self._words(part) for part in self._cut(text))) for text in texts]
+        once = self._learn(set(chain.from_iterable(lists)))
+        ids = [b"".join(map(self.known.__getitem__, words)) for words in lists]
+        self._forget(once)
         return ids
 
+    def _encode_pieces(self, text: str) -> Iterator[bytes]:
+        for part in self._cut(text):
+            for piece in [part] if part in self.special else pieces(part):
+                words = [piece] if piece in self.special else self._words(piece)
+                once = self._learn(set(words))
+                yield b"".join(map(self.known.__getitem__, words))
+                self._forget(once)
+
 
 def trie(words: Sequence[bytes]) -> tuple[bytearray, list[int], bytearray]:
     """Nodes of the trie of distinct sorted words in depth-first order: byte, depth, and whether a word ends there."""
@@ -280,7 +295,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keep: Sequence[str] = (), te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
         for block in blocks(batches, column):
-            ids = [encoder.encode(t) for t in _binary_texts(block.column(column))]
+            ids = encoder.encode(list(_binary_texts(block.column(column))))
             if packed:
                 made = pa.array(ids, pa.binary())
             else:

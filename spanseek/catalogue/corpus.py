@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from spanseek.catalogue.registry import Tables
 from spanseek.encoders import GramEncoder
 from spanseek.functions import text as tx
 from spanseek.plans.search import searchable
-from spanseek.session import written
+from spanseek.session import scratch_folder, written
+from spanseek.sources.postings import PostingsIndex
 
 LETTERS = list("abcdefghijklmnopqrstuvwxyz")
 PAIRS = ("th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic"
@@ -33,6 +36,19 @@ def units(t: Tables) -> DataFrame:
                               .withColumn("vector_b", MODEL_B.embed(F.col("text"), "document"))))
 
 
+_STORED: dict[tuple[str, str], tuple[DataFrame, PostingsIndex]] = {}
+
+
+def stored(t: Tables) -> tuple[DataFrame, PostingsIndex]:
+    """Units and their inverted index, as a search finds them stored. They are built by the first query of a session that needs them for a folder;
+    the tables of a folder do not change."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _STORED:
+        u = units(t)
+        _STORED[key] = u, PostingsIndex.build(u, f"{scratch_folder(t.spark)}/index-{uuid.uuid4().hex}")
+    return _STORED[key]
+
+
 def questions(t: Tables) -> DataFrame:
     """Every benchmark passage, line by line in quotes, and every turn of a conversation.
 
@@ -41,8 +57,8 @@ def questions(t: Tables) -> DataFrame:
     ask = F.when(F.length("text") > 200, "which spec says ").otherwise("which document says ")
     passages = t.benchmark.select(F.col("item_id").alias("query_id"), F.lit("passage").alias("category"),
                                   F.concat(ask, quoted).alias("query"))
-    first = (t.benchmark.agg(F.max("item_id")).first()[0] or 0) + 1
-    stride = (t.conversations.agg(F.max("turn")).first()[0] or 0) + 1
+    first = F.coalesce(t.benchmark.agg(F.max("item_id")).scalar(), F.lit(0)) + 1
+    stride = F.coalesce(t.conversations.agg(F.max("turn")).scalar(), F.lit(0)) + 1
     turns = t.conversations.select(
         (first + F.col("conv_id") * stride + F.col("turn")).alias("query_id"), F.lit("turn").alias("category"),
         F.col("text").alias("query"))

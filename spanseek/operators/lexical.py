@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanseek import fixed_values as fv
 from spanseek.functions import text as tx
 from spanseek.functions.vectors import SUM_DIGITS, bm25_weight, idf
 from spanseek.operators.literals import literal_hits
+from spanseek.operators.topk import top_k
 from spanseek.session import BROADCAST_BYTES, estimated_bytes, skew_join, written
 
 LITERAL_MARK = '"'
@@ -62,12 +63,7 @@ class LexicalRun:
 
     def weights(self, gated_only: bool = True) -> DataFrame:
         """(query_id, key, is_literal, repeats, idf, avgdl) of the terms and literals that occur in the corpus."""
-        rows = self.keys.where(F.col("df").isNotNull() & F.col("role").isin("term", "literal"))
-        if gated_only:
-            rows = rows.where("gated")
-        return rows.groupBy("query_id", "key").agg(
-            (F.first("role") == "literal").alias("is_literal"), F.count(F.lit(1)).alias("repeats"),
-            idf(F.first("n"), F.first("df")).alias("idf"), F.first("avgdl").alias("avgdl"))
+        return key_weights(self.keys, gated_only)
 
     def scores(self, gated_only: bool = True) -> DataFrame:
         """(query_id, unit_id, is_test, bm25) of every unit that shares a key with the query; statistics ignore scope.
@@ -86,6 +82,17 @@ class LexicalRun:
         return (joined.withColumn("_w", weight).groupBy("query_id", "unit_id", "is_test")
                 .agg(F.round(F.sum("_w"), SUM_DIGITS).alias("bm25")))
 
+    def best(self, scope: DataFrame, depth: int, pairs: DataFrame | None = None, gated_only: bool = True) -> DataFrame:
+        """(query_id, unit_id, bm25, rank): the first ``depth`` matches in scope (query_id, include_tests); ``pairs`` (query_id, unit_id) that match
+        get their score too, with a null rank."""
+        scores = self.scores(gated_only).join(scope, "query_id")
+        inside = scores.where((F.col("bm25") > 0) & (F.col("include_tests") | ~F.col("is_test")))
+        top = top_k(inside, ["query_id"], [F.desc("bm25"), F.asc("unit_id")], depth).select("query_id", "unit_id", "bm25", "rank")
+        if pairs is None:
+            return top
+        asked = scores.join(pairs.select("query_id", "unit_id").distinct(), ["query_id", "unit_id"], "left_semi")
+        return top.unionByName(asked.select("query_id", "unit_id", "bm25", F.lit(None).cast("int").alias("rank")))
+
 
 def query_keys(queries: DataFrame) -> DataFrame:
     """(query_id, role, anchor, key): what each query needs to know about the corpus. Repeats are kept for literals."""
@@ -139,11 +146,26 @@ def lexical_run(queries: DataFrame, docs: DataFrame, *, gated_only: bool = True,
     stats = written(stats)
     whole = stats.where(F.col("key") == EVERY_UNIT)
     n, total = whole.select("df").scalar(), whole.select("total_length").scalar()
+    keys = judged_keys(keys, stats.select("key", "df"), n, total / n)
+    return LexicalRun(base, written(keys), small)
+
+
+def judged_keys(keys: DataFrame, found: DataFrame, n: Column, avgdl: Column) -> DataFrame:
+    """``keys`` with df, n, avgdl and whether the query is gated. ``found``: key, df of the keys that the corpus holds."""
     known = F.col("df").isNotNull()
     per_anchor = Window.partitionBy("query_id", "role", "anchor")
     anchor_ok = F.when(F.col("role") == "part", F.every(known).over(per_anchor)).when(F.col("role") != "term", known)
-    keys = (keys.repartition("query_id").join(stats.select("key", "df"), "key", "left")
+    return (keys.repartition("query_id").join(found, "key", "left")
             .withColumn("_ok", F.coalesce(anchor_ok, F.lit(False)))
             .withColumn("gated", F.some("_ok").over(Window.partitionBy("query_id")))
-            .select("query_id", "role", "key", "df", n.alias("n"), (total / n).alias("avgdl"), "gated"))
-    return LexicalRun(base, written(keys), small)
+            .select("query_id", "role", "key", "df", n.alias("n"), avgdl.alias("avgdl"), "gated"))
+
+
+def key_weights(keys: DataFrame, gated_only: bool = True) -> DataFrame:
+    """(query_id, key, is_literal, repeats, idf, avgdl) of the terms and literals that occur in the corpus."""
+    rows = keys.where(F.col("df").isNotNull() & F.col("role").isin("term", "literal"))
+    if gated_only:
+        rows = rows.where("gated")
+    return rows.groupBy("query_id", "key").agg(
+        (F.first("role") == "literal").alias("is_literal"), F.count(F.lit(1)).alias("repeats"),
+        idf(F.first("n"), F.first("df")).alias("idf"), F.first("avgdl").alias("avgdl"))

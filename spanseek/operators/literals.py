@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanseek.functions.text import rows_of
-from spanseek.session import broadcast_if_small, estimated_bytes, skew_join
+from spanseek.session import broadcast_if_small, estimated_bytes, skew_join, written
+from spanseek.sources.postings import PostingsIndex
 
 SCAN_BYTES = 8 << 20  # literals held by every task of the scanning form
 LONG_GRAM, SHORT_GRAM = 8, 3
@@ -45,7 +46,7 @@ def _scan(docs: DataFrame, wanted: DataFrame, doc: str) -> DataFrame:
         for texts in batches:
             yield texts.map(find)
 
-    return docs.withColumn("hits", contained(F.lower(doc)))
+    return docs.withColumn("hits", contained(F.coalesce(F.lower(doc), F.lit(""))))
 
 
 def _finder(patterns: list[str]):
@@ -65,13 +66,75 @@ def _finder(patterns: list[str]):
 
 
 def _gram_join(docs: DataFrame, wanted: DataFrame, doc: str) -> DataFrame:
-    """(unit_id, lit) pairs through the first gram of the literal, checked against the whole text."""
+    """(unit_id, lit) pairs through the rarest gram of each literal, checked against the whole text.
+
+    A first pass counts the units that hold each gram of the literals; a second one looks up one gram per literal, the rarest. A literal with a
+    gram that no unit holds is looked up nowhere.
+    """
     size = F.when(F.length("lit") >= LONG_GRAM, LONG_GRAM).otherwise(SHORT_GRAM)
-    keyed = wanted.select("lit", F.substring(F.col("lit"), F.lit(1), size).alias("gram"))
+    places = F.sequence(F.lit(1), F.length("lit") - size + 1)
+    keyed = wanted.select("lit", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("lit"), i, size)))).alias("gram"))
     low = docs.select("unit_id", F.lower(doc).alias("_low"))
     grams = F.array_distinct(F.concat(*[
         F.regexp_extract_all("_low", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (LONG_GRAM, SHORT_GRAM)]))
-    heads = broadcast_if_small(keyed.select("gram").distinct())
-    rows = low.select("unit_id", rows_of(grams).alias("gram")).join(heads, "gram", "left_semi")
-    candidates = skew_join(rows, keyed, "gram", "unit_id").select("unit_id", "lit")  # one gram may be in every text
+    rows = low.select("unit_id", rows_of(grams).alias("gram"))
+    counts = written(rows.join(broadcast_if_small(keyed.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("units")))
+    rarest = keyed.join(counts, "gram", "left").groupBy("lit").agg(F.min(F.struct(F.coalesce("units", F.lit(0)).alias("units"), "gram")).alias("_g"))
+    rarest = written(rarest.where("_g.units > 0").select("lit", "_g.gram"))
+    found = rows.join(broadcast_if_small(rarest.select("gram").distinct()), "gram", "left_semi")
+    candidates = skew_join(found, rarest, "gram", "unit_id").select("unit_id", "lit")  # one gram may be in every text
     return candidates.join(low, "unit_id").where(F.contains("_low", F.col("lit"))).select("unit_id", "lit")
+
+
+_WORD_SIGN = r"[A-Za-z0-9_\p{Nd}]"
+_INNER_WORD = rf"(?<=[^{_WORD_SIGN[1:-1]}])(?:[A-Za-z_][A-Za-z0-9_]*|\p{{Nd}}+)(?=[^{_WORD_SIGN[1:-1]}])"
+_PIECE = "[a-z_]{3,}|[0-9]{3,}"
+COMMON_WORD = 1_000  # beyond as many units a word inside a literal is not good enough, and words around a piece of it are asked for too
+SCAN_SHARE = 0.2     # a literal whose best word is in more of the units than this is found by reading all texts
+
+
+def stored_literal_units(literals: DataFrame, docs: DataFrame, index: PostingsIndex, doc: str = "doc") -> DataFrame:
+    """(lit, unit_id, is_test): the units whose lower-cased text contains each of the distinct ``literals`` (column lit).
+
+    A word that stands inside a literal between other signs must be a word of the text, and a run of letters or digits anywhere in it must stand
+    inside one word. So the literal's rarest word, or all stored words around its longest run, name the few units whose texts are compared with it.
+    Literals without such a run, or with common ones only, are looked for in all texts in one pass.
+    """
+    is_test = F.col("is_test") if "is_test" in docs.columns else F.lit(False)
+    base = docs.where("unit_id IS NOT NULL").select("unit_id", is_test.alias("is_test"), F.coalesce(F.col(doc), F.lit("")).alias("_doc"))
+    if literals.isEmpty():
+        return base.limit(0).select(F.lit("").alias("lit"), "unit_id", "is_test")
+    n, _, has_odd = index.meta()
+    terms = index.terms()
+    inner = literals.select("lit", F.explode(F.array_distinct(F.regexp_extract_all("lit", F.lit(_INNER_WORD), F.lit(0)))).alias("term"))
+    known = terms.join(inner.select("term").distinct(), "term", "left_semi")
+    word = (inner.join(known, "term", "left").groupBy("lit")
+            .agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("cost"), "term")).alias("w")).select("lit", "w.*"))
+    word = written(literals.join(word, "lit", "left"))
+    runs = F.regexp_extract_all("lit", F.lit(_PIECE), F.lit(0))
+    longest = F.reduce(runs, F.lit(""), lambda a, b: F.when(F.length(b) > F.length(a), b).otherwise(a))
+    vague = word.where(F.col("cost").isNull() | (F.col("cost") > COMMON_WORD)).select("lit", longest.alias("piece")).where("piece <> ''")
+    around = literal_hits(terms.select(F.col("term").alias("unit_id"), F.col("term").alias("_word"), "df"), vague.select(F.col("piece").alias("lit")), "_word")
+    around = written(around.select(F.explode("hits").alias("piece"), F.col("unit_id").alias("term"), "df"))
+    cost = vague.join(around.groupBy("piece").agg(F.sum("df").alias("around")), "piece", "left").select(
+        "lit", "piece", F.coalesce("around", F.lit(0)).alias("around"))
+    chosen = written(word.join(cost, "lit", "left").select(
+        "lit", "term", "piece", (F.col("around") < F.coalesce("cost", F.lit(1 << 62))).alias("by_piece"), F.least("cost", "around").alias("cost")))
+    few = F.coalesce(F.col("cost") <= SCAN_SHARE * n, F.lit(False))
+    asked = chosen.where(few & ~F.coalesce("by_piece", F.lit(False))).select("lit", "term").unionByName(
+        chosen.where(few & F.col("by_piece")).drop("term").join(around, "piece").select("lit", "term"))
+    pairs = written(index.matched(written(asked), ["term"]).select("unit_id", "lit").distinct())
+    near = base.join(pairs.select("unit_id").distinct(), "unit_id", "left_semi")
+    near = near.select("unit_id", "is_test", F.lower("_doc").alias("_low"))
+    out = near.join(pairs, "unit_id").where(F.contains("_low", F.col("lit"))).select("lit", "unit_id", "is_test")
+    everywhere = chosen.where(~few).select("lit")
+    if not everywhere.isEmpty():
+        out = out.unionByName(_hit_rows(literal_hits(base, everywhere, "_doc")))
+    if has_odd:
+        odd = index.odd()
+        out = out.unionByName(_hit_rows(literal_hits(base.join(odd, "unit_id", "left_semi"), literals, "_doc"))).distinct()
+    return out
+
+
+def _hit_rows(hits: DataFrame) -> DataFrame:
+    return hits.select(rows_of(F.col("hits")).alias("lit"), "unit_id", "is_test").where("lit IS NOT NULL")

@@ -13,8 +13,10 @@ from spanseek.functions import text as tx
 from spanseek.operators import fusion
 from spanseek.operators.alignment import require_aligned, require_mode, require_weights
 from spanseek.operators.lexical import LexicalRun, lexical_run
-from spanseek.operators.topk import dense_top_k, top_k
+from spanseek.operators.maxscore import StoredRun, stored_run
+from spanseek.operators.topk import dense_top_k
 from spanseek.session import written
+from spanseek.sources.postings import PostingsIndex
 
 
 def searchable(units: DataFrame) -> DataFrame:
@@ -40,18 +42,19 @@ class Candidates:
 
 def retrieve(queries: DataFrame, units: DataFrame, *, depth: int = fv.POOL, lexical: bool = True, mode: str = "auto",
              lane: int = fv.LANE_DEPTH, query_vector: str = "vector", vector: str = "vector",
-             run: LexicalRun | None = None) -> Candidates:
+             run: LexicalRun | StoredRun | None = None, index: PostingsIndex | None = None) -> Candidates:
     """First ``depth`` candidates per query. Dense alone, or dense and BM25 fused for the queries whose gate fires.
 
     ``queries``: query_id, query, a vector, optionally ``tests``. ``units``: unit_id, doc, is_test and a vector. Gate and BM25
     statistics look at the whole corpus; scope only decides which units may be returned, and does so before any top-k.
-    The gate is a column, so a mixed batch is one plan and ungated queries produce no lexical rows.
+    The gate is a column, so a mixed batch is one plan and ungated queries produce no lexical rows. With a stored ``index`` of the units the keyword
+    side reads postings instead of texts and scores only what may be among the first ``lane``.
     """
     q = written(scoped(queries, mode))
     wide = max(depth, lane) if lexical else depth
     dense = dense_top_k(q, units, wide, query_vector=query_vector, vector=vector)
     if lexical:
-        run = run or lexical_run(q, units)
+        run = run or (lexical_run(q, units) if index is None else stored_run(q, units, index))
         q = q.join(run.gate.withColumn("gated", F.lit(True)), "query_id", "left") \
             .withColumn("gated", F.coalesce("gated", F.lit(False)))
     else:
@@ -60,13 +63,9 @@ def retrieve(queries: DataFrame, units: DataFrame, *, depth: int = fv.POOL, lexi
     dense = written(dense.join(flags, "query_id").where(F.col("gated") | (F.col("rank") <= depth)))
     rankings = [dense]
     if lexical:
-        scores = run.scores().join(flags, "query_id")
-        lex = scores.where((F.col("bm25") > 0) & (F.col("include_tests") | ~F.col("is_test")))
-        lex = top_k(lex, ["query_id"], [F.desc("bm25"), F.asc("unit_id")], lane)
-        # raw scores of dense-only candidates, from the same partitioned pass; the candidate list is query-sized
-        also = scores.join(dense.where("gated").select("query_id", "unit_id"), ["query_id", "unit_id"], "left_semi")
-        both = written(lex.select("query_id", "unit_id", "bm25", "rank").unionByName(
-            also.select("query_id", "unit_id", "bm25", F.lit(None).cast("int").alias("rank"))))
+        # candidates of the dense lane get their keyword score too; their list is query-sized
+        pairs = dense.where("gated").select("query_id", "unit_id")
+        both = written(run.best(flags, lane, pairs))
         rankings.append(both.where(F.col("rank").isNotNull()))
         bm25 = both.groupBy("query_id", "unit_id").agg(F.max("bm25").alias("bm25"))
     pool = fusion.fused_pool(rankings, depth)
@@ -90,14 +89,14 @@ def rescored(found: Candidates, vectors_a: DataFrame, vectors_b: DataFrame, *, q
 
 
 def fusion_search(queries: DataFrame, units: DataFrame, vectors_b: DataFrame, k: int = fv.TOP_K, *, beta: float = fv.BETA,
-                  gamma: float = fv.GAMMA, pool: int = fv.POOL, mode: str = "auto") -> DataFrame:
+                  gamma: float = fv.GAMMA, pool: int = fv.POOL, mode: str = "auto", index: PostingsIndex | None = None) -> DataFrame:
     """The settled search: model A retrieves, model B and BM25 re-score, a per-query min-max blend orders.
 
     Returns query_id, unit_id, rank, score, cos_a, cos_b, bm25 (null when the gate did not fire), gated, include_tests,
     n_candidates. A query without candidates has no rows.
     """
     require_weights(beta, gamma)
-    found = retrieve(queries, units, depth=max(pool, k), mode=mode)
+    found = retrieve(queries, units, depth=max(pool, k), mode=mode, index=index)
     rows = fusion.pool_size(rescored(found, units, vectors_b))
     top = fusion.blended_top(rows, k, beta=beta, gamma=gamma)
     shown = F.when(F.col("gated"), F.coalesce("bm25", F.lit(0.0))).alias("bm25")

@@ -81,8 +81,27 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+SURELY_SMALL = 1 << 20  # files of this size stay below BROADCAST_BYTES even when unpacked to sixty times as much
+_NOT_GROWING = {"Project", "Filter", "Aggregate", "Distinct", "LogicalRelation", "Relation", "LocalRelation", "SubqueryAlias"}
+
+
+def _file_bytes(df: DataFrame) -> int | None:
+    """Size of the files below ``df``, when nothing in its plan can make rows more than they are there; known without a job."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size, node = int(str(plan.stats().sizeInBytes())), plan
+    while True:
+        if node.nodeName().split(" ")[0] not in _NOT_GROWING:
+            return None
+        if node.children().isEmpty():
+            return size
+        node = node.children().head()
+
+
 def estimated_bytes(df: DataFrame) -> int:
-    """Bytes of payload in ``df``: a single aggregate over it, never a collect."""
+    """Bytes of payload in ``df``: a single aggregate over it, never a collect. Small written tables are judged by their files."""
+    on_disk = _file_bytes(df)
+    if on_disk is not None and on_disk <= SURELY_SMALL:
+        return on_disk
     size = F.lit(16)
     for field in df.schema.fields:
         col = F.coalesce(F.col(f"`{field.name}`"), F.lit(None).cast(field.dataType))

@@ -11,7 +11,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from spanseek.catalogue import all_queries  # noqa: E402
-from spanseek.catalogue.corpus import stored  # noqa: E402
+from spanseek.catalogue.corpus import stored_vectors  # noqa: E402
 from spanseek.catalogue.registry import Tables  # noqa: E402
 from spanseek.session import local_session  # noqa: E402
 
@@ -27,7 +27,7 @@ def main() -> None:
     queries["doc_length"](spark, folder).write.format("noop").mode("overwrite").save()
     took = {}
     began = time.perf_counter()
-    stored(Tables(spark, folder))  # units and inverted index; the queries below find them stored, as a search does
+    stored_vectors(Tables(spark, folder))  # units, inverted index and vectors; the queries below find them stored, as a search does
     took["index_build"] = round(time.perf_counter() - began, 3)
     for name in HEADLINE:
         began = time.perf_counter()

@@ -13,6 +13,7 @@ from spanseek.functions import text as tx
 from spanseek.plans.search import searchable
 from spanseek.session import scratch_folder, written
 from spanseek.sources.postings import PostingsIndex
+from spanseek.sources.store import StoredVectors
 
 LETTERS = list("abcdefghijklmnopqrstuvwxyz")
 PAIRS = ("th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic"
@@ -49,6 +50,17 @@ def stored(t: Tables) -> tuple[DataFrame, PostingsIndex]:
     return _STORED[key]
 
 
+_VECTORS: dict[tuple[str, str], StoredVectors] = {}
+
+
+def stored_vectors(t: Tables) -> StoredVectors:
+    """The vectors of both models, bucketed by unit."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _VECTORS:
+        _VECTORS[key] = StoredVectors.save(stored(t)[0], ("vector", "vector_b"), f"{scratch_folder(t.spark)}/vectors-{uuid.uuid4().hex}")
+    return _VECTORS[key]
+
+
 def questions(t: Tables) -> DataFrame:
     """Every benchmark passage, line by line in quotes, and every turn of a conversation.
 

@@ -17,6 +17,7 @@ from spanseek.operators.maxscore import StoredRun, stored_run
 from spanseek.operators.topk import dense_top_k
 from spanseek.session import written
 from spanseek.sources.postings import PostingsIndex
+from spanseek.sources.store import StoredVectors
 
 
 def searchable(units: DataFrame) -> DataFrame:
@@ -82,22 +83,30 @@ def search(queries: DataFrame, units: DataFrame, k: int = fv.TOP_K, **options) -
                         F.when(F.col("gated"), F.col("rrf")).otherwise(F.col("dense_score")).alias("score"))
 
 
-def rescored(found: Candidates, vectors_a: DataFrame, vectors_b: DataFrame, *, query_a: str = "vector",
+def rescored(found: Candidates, vectors_a: DataFrame | StoredVectors, vectors_b: DataFrame | None = None, *, query_a: str = "vector",
              query_b: str = "vector_b", a: str = "vector", b: str = "vector") -> DataFrame:
-    """The pool with the cosine of both models; candidates of the lexical lane get theirs from the stored vectors too."""
+    """The pool with the cosine of both models; candidates of the lexical lane get theirs from the stored vectors too.
+
+    With ``StoredVectors`` of both models, whose columns are ``a`` and ``b``, one join serves both.
+    """
+    if isinstance(vectors_a, StoredVectors):
+        return fusion.stored_cosines(found.pool, found.queries, vectors_a, {"cos_a": (query_a, a), "cos_b": (query_b, b)})
     return fusion.with_cosines(found.pool, found.queries, {"cos_a": (query_a, vectors_a, a), "cos_b": (query_b, vectors_b, b)})
 
 
-def fusion_search(queries: DataFrame, units: DataFrame, vectors_b: DataFrame, k: int = fv.TOP_K, *, beta: float = fv.BETA,
+def fusion_search(queries: DataFrame, units: DataFrame, vectors_b: DataFrame | StoredVectors, k: int = fv.TOP_K, *, beta: float = fv.BETA,
                   gamma: float = fv.GAMMA, pool: int = fv.POOL, mode: str = "auto", index: PostingsIndex | None = None) -> DataFrame:
     """The settled search: model A retrieves, model B and BM25 re-score, a per-query min-max blend orders.
 
     Returns query_id, unit_id, rank, score, cos_a, cos_b, bm25 (null when the gate did not fire), gated, include_tests,
-    n_candidates. A query without candidates has no rows.
+    n_candidates. A query without candidates has no rows. ``vectors_b`` has unit_id and vector, or is a ``StoredVectors`` with the columns vector and
+    vector_b.
     """
     require_weights(beta, gamma)
     found = retrieve(queries, units, depth=max(pool, k), mode=mode, index=index)
-    rows = fusion.pool_size(rescored(found, units, vectors_b))
+    stored = isinstance(vectors_b, StoredVectors)
+    cosines = rescored(found, vectors_b, b="vector_b") if stored else rescored(found, units, vectors_b)
+    rows = fusion.pool_size(cosines)
     top = fusion.blended_top(rows, k, beta=beta, gamma=gamma)
     shown = F.when(F.col("gated"), F.coalesce("bm25", F.lit(0.0))).alias("bm25")
     flags = found.queries.select("query_id", "include_tests")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spanseek.catalogue import corpus as c
@@ -12,7 +13,7 @@ from spanseek.operators.literals import literal_hits
 from spanseek.operators.topk import dense_top_k
 from spanseek.plans import experiments as ex
 from spanseek.plans.search import rescored, retrieve, search
-from spanseek.session import broadcast_if_small, written
+from spanseek.session import sized_join, written
 
 LINES = 8  # lines per window unit
 
@@ -27,9 +28,9 @@ def passages(t):
             .withColumn("vector_b", c.MODEL_B.embed(F.col("query"), "query")))
 
 
-def stride(t) -> int:
+def stride(t) -> Column:
     """More than any document has lines: numbers of lines of different documents never meet."""
-    return (t.documents.agg(F.max(F.length("text"))).first()[0] or 0) + 2
+    return F.coalesce(t.documents.agg(F.max(F.length("text"))).scalar(), F.lit(0)) + 2
 
 
 def windows(t):
@@ -48,7 +49,7 @@ def gold_lines(t):
     """Where a line of a passage stands in a document, as gold ranges of that passage."""
     wanted = t.benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.split("text", "\n")).alias("line")).distinct()
     found = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    return found.join(broadcast_if_small(wanted), "line").select(
+    return sized_join(found, wanted, "line", "doc_id").select(  # one line may stand in a third of the documents
         "query_id", (F.col("doc_id") * stride(t) + F.col("i")).alias("gold_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("path"),
         (F.col("i") + 1).alias("start"), (F.col("i") + 1).alias("end"))
 

@@ -85,13 +85,16 @@ class LexicalRun:
     def best(self, scope: DataFrame, depth: int, pairs: DataFrame | None = None, gated_only: bool = True) -> DataFrame:
         """(query_id, unit_id, bm25, rank): the first ``depth`` matches in scope (query_id, include_tests); ``pairs`` (query_id, unit_id) that match
         get their score too, with a null rank."""
-        scores = self.scores(gated_only).join(scope, "query_id")
-        inside = scores.where((F.col("bm25") > 0) & (F.col("include_tests") | ~F.col("is_test")))
-        top = top_k(inside, ["query_id"], [F.desc("bm25"), F.asc("unit_id")], depth).select("query_id", "unit_id", "bm25", "rank")
-        if pairs is None:
-            return top
-        asked = scores.join(pairs.select("query_id", "unit_id").distinct(), ["query_id", "unit_id"], "left_semi")
-        return top.unionByName(asked.select("query_id", "unit_id", "bm25", F.lit(None).cast("int").alias("rank")))
+        return best_of(self.scores(gated_only), scope, depth, pairs)
+
+
+def best_of(scores: DataFrame, scope: DataFrame, depth: int, pairs: DataFrame | None = None) -> DataFrame:
+    inside = scores.join(scope, "query_id").where((F.col("bm25") > 0) & (F.col("include_tests") | ~F.col("is_test")))
+    top = top_k(inside, ["query_id"], [F.desc("bm25"), F.asc("unit_id")], depth).select("query_id", "unit_id", "bm25", "rank")
+    if pairs is None:
+        return top
+    asked = scores.join(pairs.select("query_id", "unit_id").distinct(), ["query_id", "unit_id"], "left_semi")
+    return top.unionByName(asked.select("query_id", "unit_id", "bm25", F.lit(None).cast("int").alias("rank")))
 
 
 def query_keys(queries: DataFrame) -> DataFrame:

@@ -90,21 +90,25 @@ _WORD_SIGN = r"[A-Za-z0-9_\p{Nd}]"
 _INNER_WORD = rf"(?<=[^{_WORD_SIGN[1:-1]}])(?:[A-Za-z_][A-Za-z0-9_]*|\p{{Nd}}+)(?=[^{_WORD_SIGN[1:-1]}])"
 _PIECE = "[a-z_]{3,}|[0-9]{3,}"
 COMMON_WORD = 1_000  # beyond as many units a word inside a literal is not good enough, and words around a piece of it are asked for too
+READ_TOKENS = 20_000_000  # about 100 MB of text
 SCAN_SHARE = 0.2     # a literal whose best word is in more of the units than this is found by reading all texts
 
 
-def stored_literal_units(literals: DataFrame, docs: DataFrame, index: PostingsIndex, doc: str = "doc") -> DataFrame:
+def stored_literal_units(literals: DataFrame, docs: DataFrame, index: PostingsIndex, doc: str = "doc", read_tokens: int = READ_TOKENS) -> DataFrame:
     """(lit, unit_id, is_test): the units whose lower-cased text contains each of the distinct ``literals`` (column lit).
 
     A word that stands inside a literal between other signs must be a word of the text, and a run of letters or digits anywhere in it must stand
     inside one word. So the literal's rarest word, or all stored words around its longest run, name the few units whose texts are compared with it.
-    Literals without such a run, or with common ones only, are looked for in all texts in one pass.
+    Literals without such a run, or with common ones only, are looked for in all texts in one pass. The rows do not depend on ``read_tokens``: a corpus of
+    no more tokens is read in one job, as the jobs that find the words would take longer.
     """
     is_test = F.col("is_test") if "is_test" in docs.columns else F.lit(False)
     base = docs.where("unit_id IS NOT NULL").select("unit_id", is_test.alias("is_test"), F.coalesce(F.col(doc), F.lit("")).alias("_doc"))
     if literals.isEmpty():
         return base.limit(0).select(F.lit("").alias("lit"), "unit_id", "is_test")
-    n, _, has_odd = index.meta()
+    n, avgdl, has_odd = index.meta()
+    if n * avgdl <= read_tokens:
+        return _hit_rows(literal_hits(base, literals, "_doc"))
     terms = index.terms()
     inner = literals.select("lit", F.explode(F.array_distinct(F.regexp_extract_all("lit", F.lit(_INNER_WORD), F.lit(0)))).alias("term"))
     known = terms.join(inner.select("term").distinct(), "term", "left_semi")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,12 +56,16 @@ def retrieve(queries: DataFrame, units: DataFrame, *, depth: int = fv.POOL, lexi
     wide = max(depth, lane) if lexical else depth
     dense = dense_top_k(q, units, wide, query_vector=query_vector, vector=vector)
     if lexical:
-        run = run or (lexical_run(q, units) if index is None else stored_run(q, units, index))
+        # neither lane needs the other's result, and the keyword side is many small jobs
+        with ThreadPool(2) as pool:
+            listed = pool.apply_async(written, (dense,))
+            asked = pool.apply_async(lambda: run or (lexical_run(q, units) if index is None else stored_run(q, units, index)))
+            dense, run = listed.get(), asked.get()
         q = q.join(run.gate.withColumn("gated", F.lit(True)), "query_id", "left") \
             .withColumn("gated", F.coalesce("gated", F.lit(False)))
     else:
         q = q.withColumn("gated", F.lit(False))
-    flags = q.select("query_id", "include_tests", "gated")
+    flags = written(q.select("query_id", "include_tests", "gated"))
     dense = written(dense.join(flags, "query_id").where(F.col("gated") | (F.col("rank") <= depth)))
     rankings = [dense]
     if lexical:

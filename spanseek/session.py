@@ -137,3 +137,8 @@ def skew_join(left: DataFrame, right: DataFrame, on: str, salt_from: str, how: s
     salted_right = salted_right.withColumn("_salt", F.col("_salt").cast("bigint"))
     salted_left = salted_left.withColumn("_salt", F.col("_salt").cast("bigint"))
     return salted_left.join(salted_right, [on, "_salt"], how).drop("_salt")
+
+
+def sized_join(left: DataFrame, right: DataFrame, on: str, salt_from: str) -> DataFrame:
+    """Equi-join of many rows with a side that is broadcast while it is small; beyond that both move, with the hot keys of ``left`` spread."""
+    return left.join(F.broadcast(right), on) if estimated_bytes(right) <= BROADCAST_BYTES else skew_join(left, right, on, salt_from)

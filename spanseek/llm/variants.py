@@ -30,6 +30,7 @@ LEAST_LENGTH = 7
 LEAST_COUNT = 2
 FACTOR = 10          # a form occurs at least this many times as often
 CELLS = 1 << 16      # code points of the words that one scan compares with its list
+FEW = 64             # up to as many words are compared number by number, more in arrays
 TASK_ROWS = 40_000
 RUN = "[A-Za-zÀ-ÿ]"
 _NEAR = "word string, n_near long, best_n long, best_word string"
@@ -74,10 +75,65 @@ def _lists(words: DataFrame, least: int) -> DataFrame:
 
 
 class Scan:
-    """A block of words against a sorted list: ``feed`` takes the list word by word."""
+    """A block of words against a sorted list: ``feed`` takes the list word by word and returns the places of the words one edit away."""
 
     def __init__(self, words: list[tuple[str, int]], size: int):
-        self.words, self.size = words, size
+        self.words, self.size, self.before = words, size, ""
+
+    def shared(self, word: str) -> int:
+        """Length of the prefix that ``word`` has in common with the list word before."""
+        before, most = self.before, min(len(self.before), len(word))
+        self.before = word
+        if before[:most] == word[:most]:
+            return most
+        at = 0
+        while before[at] == word[at]:
+            at += 1
+        return at
+
+
+class SmallScan(Scan):
+    """For a few words: rows of three numbers, one list of rows per word. None stands for a row without a value below two."""
+
+    def __init__(self, words: list[tuple[str, int]], size: int):
+        super().__init__(words, size)
+        self.compared = [("\0" + word + "\0" * (size + 3 - len(word)), len(word), [(2, 0, 1)]) for word, _ in words]
+
+    def feed(self, word: str) -> list[int]:
+        shared, length, found = self.shared(word), len(word), []
+        for at, (signs, other_length, rows) in enumerate(self.compared):
+            if rows[-1] is None and shared >= len(rows) - 1:
+                continue
+            del rows[shared + 1:]
+            low, mid, high = rows[-1]
+            for depth in range(len(rows), length + 1):
+                sign = word[depth - 1]
+                if signs[depth - 1] != sign:
+                    low += 1
+                if mid < low:
+                    low = mid + 1 if mid + 1 < low else low
+                if signs[depth] != sign:
+                    mid += 1
+                mid = min(mid, high + 1, low + 1)
+                if signs[depth + 1] != sign:
+                    high += 1
+                high = min(high, mid + 1)
+                if low > 1 and mid > 1 and high > 1:
+                    rows.append(None)
+                    break
+                rows.append((low, mid, high))
+            else:
+                beside = other_length - length
+                if -2 < beside < 2 and (low, mid, high)[beside + 1] == 1:
+                    found.append(at)
+        return found
+
+
+class LargeScan(Scan):
+    """For many words: their rows lie beside each other in arrays, and a word leaves them at the depth where it cannot match any more."""
+
+    def __init__(self, words: list[tuple[str, int]], size: int):
+        super().__init__(words, size)
         self.length = np.array([len(w) for w, _ in words])
         signs = np.zeros((len(words), size + 4), np.uint32)  # no word has the sign 0, so the border never matches
         for row, (word, _) in enumerate(words):
@@ -85,25 +141,16 @@ class Scan:
         self.signs = np.ascontiguousarray(signs.T)
         every = np.arange(len(words))
         self.rows = [(every, np.full(len(words), 2, np.uint8), np.zeros(len(words), np.uint8), np.ones(len(words), np.uint8))]
-        self.before = ""
 
-    def feed(self, word: str) -> np.ndarray:
-        """Places of the words that are one edit away from ``word``."""
-        before, shared, most = self.before, 0, min(len(self.before), len(word))
-        if before[:most] == word[:most]:
-            shared = most
-        else:
-            while before[shared] == word[shared]:
-                shared += 1
-        self.before = word
-        rows = self.rows
+    def feed(self, word: str) -> list[int]:
+        shared, rows = self.shared(word), self.rows
         if len(rows[-1][0]) == 0 and shared >= len(rows) - 1:
-            return rows[-1][0]
+            return []
         del rows[shared + 1:]
         active, low, mid, high = rows[-1]
         for depth in range(len(rows), len(word) + 1):
             if len(active) == 0:
-                return active
+                return []
             sign = ord(word[depth - 1])
             now = self.signs[depth - 1:depth + 2].take(active, axis=1) != sign
             low = np.minimum(low + now[0], mid + 1)
@@ -114,10 +161,10 @@ class Scan:
                 active, low, mid, high = active[alive], low[alive], mid[alive], high[alive]
             rows.append((active, low, mid, high))
         if len(active) == 0:
-            return active
+            return []
         beside = self.length[active] - len(word)
         value = np.where(beside == 0, mid, np.where(beside == -1, low, np.where(beside == 1, high, 2)))
-        return active[value == 1]
+        return active[value == 1].tolist()
 
 
 def _scan_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,10 +181,10 @@ def _scan_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         listed = compared if first is None else chain([first[5:7]], (row[5:7] for row in group))
         turn = (lambda w: w[::-1]) if kind else (lambda w: w)
-        half, scan = size // 2, Scan(compared, size)
+        half, scan = size // 2, (SmallScan if len(compared) <= FEW else LargeScan)(compared, size)
         near: dict[int, list] = {}
         for word, n in listed:
-            for at in scan.feed(word).tolist():
+            for at in scan.feed(word):
                 other = compared[at][0]
                 if len(word) > size and len(other) > size:
                     continue  # a pair of the next length

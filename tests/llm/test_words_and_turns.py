@@ -153,6 +153,18 @@ def test_variants_equal_brute_force(spark, monkeypatch, cells):
     assert got == brute_variants(counts)
 
 
+def test_both_scans_find_what_all_pairs_find():
+    rng = random.Random(5)
+    for _ in range(150):
+        size = rng.randrange(1, 11)
+        stem = ("ab" * 20)[:size // 2]
+        words = sorted({stem + "".join(rng.choice("abc") for _ in range(size - size // 2 + rng.randrange(2))) for _ in range(20)} - {""})
+        scans = [kind([(w, 1) for w in words], size) for kind in (variants.SmallScan, variants.LargeScan)]
+        for word in words:
+            wanted = [i for i, w in enumerate(words) if one_edit(word, w)]
+            assert [scan.feed(word) for scan in scans] == [wanted, wanted]
+
+
 def test_roots_follow_long_chains(spark):
     chain = [f"w{i:02d}" for i in range(20)]
     forms = spark.createDataFrame(list(zip(chain, chain[1:])), "word string, form string")

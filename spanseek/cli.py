@@ -24,7 +24,7 @@ from spanseek.operators import report  # noqa: E402
 from spanseek.operators.units import decoded, outlines, split_units  # noqa: E402
 from spanseek.plans import experiments as ex  # noqa: E402
 from spanseek.plans.index_build import build_pair, vectors_for  # noqa: E402
-from spanseek.plans.present import cards, result_log  # noqa: E402
+from spanseek.plans.present import cards, result_log, run_header, timed  # noqa: E402
 from spanseek.plans.search import fusion_search, rescored, retrieve  # noqa: E402
 from spanseek.session import ship, written  # noqa: E402
 from spanseek.sources.code_tree import source_files  # noqa: E402
@@ -64,11 +64,15 @@ def split_report(spark: SparkSession, a) -> int:
 
 def _opened(spark: SparkSession, a) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     one, two = StoredIndex.load(spark, f"{a.index}/a"), StoredIndex.load(spark, f"{a.index}/b")
+    q = written(_embedded(_labelled(spark, a, one), one, two))
+    return q, one.units, vectors_for(one.units, two.units), ev.gold_rows(q)
+
+
+def _labelled(spark: SparkSession, a, index: StoredIndex) -> DataFrame:
     files = label_files(spark, a.labels)
-    for row in commit_mismatches(files, one.meta).collect():  # one row per label file
+    for row in commit_mismatches(files, index.meta).collect():  # one row per label file
         print(f"labels were made at {row.labelled}, not at the indexed commit", file=sys.stderr)
-    q = written(_embedded(labelled_queries(files, a.split), one, two))
-    return q, one.units, vectors_for(one.units, two.units), ev.gold_rows(q)
+    return labelled_queries(files, a.split)
 
 
 def _embedded(q: DataFrame, one: StoredIndex, two: StoredIndex) -> DataFrame:
@@ -91,13 +95,20 @@ def search(spark: SparkSession, a) -> None:
 
 
 def evaluate(spark: SparkSession, a) -> None:
-    q, units, vectors_b, gold = _opened(spark, a)
-    hits = written(fusion_search(q.select("query_id", "query", "vector", "vector_b"), units, vectors_b))
+    """The result log goes to ``--out``, and one row about the run (index, times, metrics) beside it."""
+    one, two = StoredIndex.load(spark, f"{a.index}/a"), StoredIndex.load(spark, f"{a.index}/b")
+    units, vectors_b = one.units, written(vectors_for(one.units, two.units))
+    done, took = timed(_labelled(spark, a, one), {
+        "encode": lambda q: _embedded(q, one, two),
+        "search": lambda q: fusion_search(q.select("query_id", "query", "vector", "vector_b"), units, vectors_b)}, a.batches)
+    q, hits = done["encode"], done["search"]
+    gold = ev.gold_rows(q)
     spans = units.select("unit_id", "path", "start_line", "end_line", "kind", "qualname", "text").join(hits, "unit_id")
-    results = ev.query_results(q.drop("vector", "vector_b"), spans, gold)
+    results = written(ev.query_results(q.drop("vector", "vector_b"), spans, gold))
     ev.rounded(ev.summary(results, ("category", "split"))).show(50)
     if a.out:
         result_log(results, spans, gold).write.mode("overwrite").json(a.out)
+        run_header(one.meta, results, took, a.labels).write.mode("overwrite").json(f"{a.out.rstrip('/')}.run")
 
 
 def compare(spark: SparkSession, a) -> None:
@@ -128,6 +139,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("--split", choices=["all", "dev", "holdout"], default="all")
     p.add_argument("--max-chars", type=int, default=fv.MAX_CHARS)
     p.add_argument("--min-chars", type=int, default=fv.INDEX_MIN_CHARS)
+    p.add_argument("--batches", type=int, default=1, help="for evaluate: parts of the questions that are timed one by one")
     p.add_argument("--question", action="append", default=[], help="for search; may be given several times")
     p.add_argument("--top", type=int, default=fv.TOP_K)
     p.add_argument("--tests", choices=list(fv.SCOPE_MODES), default="auto")

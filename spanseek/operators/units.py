@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanseek import fixed_values as fv
@@ -25,10 +25,28 @@ def decoded(files: DataFrame) -> DataFrame:
     return files.withColumn("text", F.decode("content", "UTF-8")).drop("content")
 
 
-def outlines(files: DataFrame, max_chars: int = fv.MAX_CHARS) -> DataFrame:
-    """``files`` (path, text, and root where there are several checkouts) with ``language``, ``rows`` and ``had_error``.
+LANGUAGES = sorted(set(fv.LANGUAGE_BY_SUFFIX.values()))
 
-    Files of unknown language are dropped."""
+
+def language_of(files: DataFrame, strict: bool) -> Column:
+    """The language of each file: what its ``language`` column says, where it has one that is set, else what its path tells.
+
+    A language that cannot be read is an error. A path that tells none is an error if ``strict``, and null otherwise.
+    """
+    told = px.language(F.coalesce("path", F.lit("")))
+    if strict:
+        told = F.coalesce(told, F.raise_error(F.concat(F.lit("no language can be told from "), F.coalesce("path", F.lit("a missing path")))).cast("string"))
+    if "language" not in files.columns:
+        return told
+    given = F.col("language")
+    wrong = F.raise_error(F.concat(F.lit(f"language must be one of {', '.join(LANGUAGES)}, got "), given)).cast("string")
+    return F.when(given.isNull(), told).when(given.isin(LANGUAGES), given).otherwise(wrong)
+
+
+def outlines(files: DataFrame, max_chars: int = fv.MAX_CHARS, strict: bool = False) -> DataFrame:
+    """``files`` (path, text, perhaps language, and root where there are several checkouts) with ``language``, ``rows`` and ``had_error``.
+
+    Files of unknown language are dropped, or are an error if ``strict``."""
     if "root" not in files.columns:
         files = files.withColumn("root", F.lit(""))
 
@@ -40,10 +58,16 @@ def outlines(files: DataFrame, max_chars: int = fv.MAX_CHARS) -> DataFrame:
             got = [outline(t, x, max_chars) for t, x in zip(texts, languages)]
             yield pd.DataFrame({"rows": [r for r, _ in got], "had_error": [e for _, e in got]})
 
-    known = files.withColumn("language", px.language(F.col("path"))).where(F.col("language").isNotNull())
+    known = files.withColumn("language", language_of(files, strict)).where(F.col("language").isNotNull())
     return known.withColumn("o", read("text", "language")).select("root", "path", "language", "text", "o.rows", "o.had_error")
 
 
+def chunk_texts(texts: DataFrame, max_chars: int = fv.MAX_CHARS, min_chars: int = 0) -> DataFrame:
+    """Units of ``texts`` (path, text, perhaps language): every row must have a language that is given or told by its path. A row
+    without a path gives no units."""
+    return split_units(outlines(texts, max_chars, strict=True), max_chars, min_chars)
+
+
 def split_units(read: DataFrame, max_chars: int = fv.MAX_CHARS, min_chars: int = 0) -> DataFrame:
     """The units of ``outlines``: the rows of schemas.UNIT, in any order.
 

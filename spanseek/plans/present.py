@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanseek import fixed_values as fv
 from spanseek.functions import paths as px
 from spanseek.functions import text as tx
-from spanseek.operators.evaluate import mark_hits
+from spanseek.operators.evaluate import mark_hits, metric_columns
+from spanseek.session import written
 
 
 def cards(hits: DataFrame, label: str, commit: str, name: str = "name") -> DataFrame:
@@ -36,3 +40,47 @@ def result_log(results: DataFrame, hits: DataFrame, gold: DataFrame, k: int = 5)
                      F.col("end_line").alias("end"), "kind", "qualname", tx.first_lines(F.col("text"), fv.LOG_LINES).alias("snippet"))
     top = marked.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("top"))
     return results.join(top, "query_id", "left")
+
+
+def timed(rows: DataFrame, stages: dict[str, Callable[[DataFrame], DataFrame]], batches: int = 1,
+          by: str = "query_id") -> tuple[dict[str, DataFrame], dict[str, list[float]]]:
+    """Run the stages one after the other, each on what the one before has written, over ``batches`` parts of the questions.
+
+    Returns the written rows of every stage, and for every stage the milliseconds a question of each part, in the order of the parts. A part is a
+    hash class of ``by``, so all parts are about equally large; empty parts are left out.
+    """
+    done: dict[str, DataFrame] = {}
+    took: dict[str, list[float]] = {name: [] for name in stages}
+    for b in range(batches):
+        part = rows if batches == 1 else rows.where(F.pmod(F.xxhash64(by), F.lit(batches)) == b)
+        n = part.count()
+        if not n and batches > 1:
+            continue
+        for name, stage in stages.items():
+            began = time.perf_counter()
+            part = written(stage(part))
+            took[name].append((time.perf_counter() - began) * 1000 / max(n, 1))
+            done[name] = done[name].unionByName(part) if name in done else part
+    return done, took
+
+
+def latency(took: list[float]) -> tuple[float | None, float | None, float | None]:
+    """Median, 95th percentile and largest of the measured times; the upper middle and the lower neighbour, as the log has always had them."""
+    if not took:
+        return None, None, None
+    ordered = sorted(took)
+    return ordered[len(ordered) // 2], ordered[int(0.95 * (len(ordered) - 1))], ordered[-1]
+
+
+def run_header(meta: DataFrame, results: DataFrame, took: dict[str, list[float]], source: str) -> DataFrame:
+    """What a result log is about, as one row: the index's metadata, where the questions are from, their number, the times of each stage (ms a question)
+    and the metrics of each split, whole and by category. ``results``: split, category, first_rank, gold_at_k."""
+    per_group = results.groupingSets([["split"], ["split", "category"]], "split", "category").agg(*metric_columns())
+    metrics = per_group.agg(F.sort_array(F.collect_list(F.struct("split", "category", *[c for c in per_group.columns if c not in ("split", "category")]))))
+    spark = results.sparkSession
+    rows = [(name, *latency(ms)) for name, ms in took.items()]
+    times = F.array(*[F.struct(F.lit(n).alias("stage"), F.lit(p50).cast("double").alias("p50"), F.lit(p95).cast("double").alias("p95"),
+                               F.lit(most).cast("double").alias("max")) for n, p50, p95, most in rows])
+    index = meta.limit(1).select(F.struct(*meta.columns).alias("index"))
+    return spark.range(1).select(index.scalar().alias("index"), F.lit(source).alias("queries_file"), results.agg(F.count(F.lit(1))).scalar().alias("n"),
+                                 times.alias("latency_ms"), metrics.scalar().alias("metrics"))

@@ -65,7 +65,7 @@ def timed(rows: DataFrame, stages: dict[str, Callable[[DataFrame], DataFrame]],
 
 
 def latency(took: list[float]) -> tuple[float | None, float | None, float | None]:
-    """Median, 95th percentile and largest of the measured times; the upper middle and the lower neighbour, as the log has always had them."""
+    """Median, 95th percentile and largest of the measured times: of an even number the upper middle, and the time at or below the 95 % place."""
     if not took:
         return None, None, None
     ordered = sorted(took)

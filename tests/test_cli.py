@@ -28,6 +28,9 @@ def test_index_report_evaluate_and_compare(spark, tmp_path, capsys):
     assert main(["evaluate", "--out", str(tmp_path / "log"), *common], spark) == 0
     log = {r.label_id: r for r in spark.read.json(str(tmp_path / "log")).collect()}
     assert log["d1"].first_rank == 1 and log["h1"].first_rank == 1 and log["d1"].top[0].hit
+    about = spark.read.json(str(tmp_path / "log.run")).first()
+    assert (about.n, about["index"].n_units) == (2, StoredIndex.load(spark, str(tmp_path / "ix" / "a")).meta.first().n_units)
+    assert {t.stage for t in about.latency_ms} == {"encode", "search"} and all(t.p50 > 0 for t in about.latency_ms) and log["d1"].query == gold["d1"][2]
     for command in ("ablate", "grid"):
         assert main([command, "--out", str(tmp_path / command), *common], spark) == 0
     assert spark.read.json(str(tmp_path / "ablate")).count() == 8 and spark.read.json(str(tmp_path / "grid")).count() == 54

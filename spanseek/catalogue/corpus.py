@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanseek.catalogue.registry import Tables
@@ -21,6 +22,22 @@ PAIRS = ("th he in er an re on at en nd ti es or te of ed is it al ar st to nt n
 MODEL_A, MODEL_B = GramEncoder(LETTERS), GramEncoder(PAIRS)
 
 
+@dataclass(frozen=True)
+class Half:
+    """The tables with one part of the documents, where several corpora are told apart."""
+
+    tables: Tables
+    kept: Column
+
+    @property
+    def benchmark(self) -> DataFrame:
+        return self.tables.benchmark
+
+    @property
+    def documents(self) -> DataFrame:
+        return self.tables.documents.where(self.kept)
+
+
 def path_of():
     folder = F.when(F.col("lang") == "es", "tests").when(F.col("lang") == "de", "spec").otherwise("lib")
     return F.concat(F.col("source"), F.lit("/"), folder, F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(".py"))

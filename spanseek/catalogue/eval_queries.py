@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -333,3 +335,61 @@ def rrf_lists(t):
     a = dense_top_k(q, u, 100)
     b = dense_top_k(q, u, 100, query_vector="vector_b", vector="vector_b")
     return _round(fusion.rrf([a, b]), "rrf")
+
+
+HALVES = {"even": "coalesce(source, '') NOT SIMILAR TO '.*[13579]'", "odd": "coalesce(source, '') SIMILAR TO '.*[13579]'"}
+
+
+def _half_ranks_sql(half: str) -> str:
+    """Ranks of one half of the sources under all settings: the whole chain over that half alone."""
+    parts = dict(c.pool_ctes(50))
+    parts = {n: "MATERIALIZED " + b if n in ("units", "questions", "gate", "bm25", "lit_hits", "tf") else b for n, b in parts.items()}
+
+    def with_b(body: str) -> str:
+        for a, b in (("qa::", "qb::"), ("va::", "vb::"), ("dense_all", "dense_b"), ("greatest(50, 100)", "greatest(10, 100)"), ("ELSE 50 END", "ELSE 10 END"), ("pool_rank <= 50", "pool_rank <= 10")):
+            body = body.replace(a, b)
+        return body
+
+    parts["dense_b"], parts["pool_b"] = with_b(parts["dense_all"]), with_b(parts["pool"])
+    sql = ctes(*parts.items(), *GRID, next(p for p in SYSTEMS if p[0] == "relevant"), ("tops", """
+     SELECT setting, query_id, unit_id, row_number() OVER (PARTITION BY query_id, setting ORDER BY score DESC, pool_rank) AS rank FROM blended
+     UNION ALL SELECT -1, query_id, unit_id, pool_rank FROM pool_b"""), select=f"""
+    SELECT '{half}' AS corpus, s.setting, r.query_id, CASE WHEN rank <= 10 THEN rank END AS first_rank
+    FROM relevant r CROSS JOIN (SELECT setting FROM settings UNION ALL SELECT -1) s LEFT JOIN tops USING (setting, query_id, unit_id)""")
+    return re.sub(r"\bdocuments\b", f"(SELECT * FROM documents WHERE {HALVES[half]})", sql)
+
+
+CROSS = [
+    ("ranks", "MATERIALIZED " + "\nUNION ALL ".join(f"SELECT * FROM ({_half_ranks_sql(h)})" for h in HALVES)),
+    ("metrics", """SELECT corpus, setting, count(*) AS n, """ + ", ".join(f"avg(CASE WHEN first_rank <= {k} THEN 1 ELSE 0 END) AS recall_at_{k}" for k in (1, 5, 10))
+     + """, avg(CASE WHEN first_rank <= 10 THEN 1.0::DOUBLE / first_rank ELSE 0 END) AS mrr_at_10 FROM ranks GROUP BY ALL"""),
+    GRID[0],
+    ("best", """SELECT corpus AS fit, setting, n AS pool, beta, gamma, mrr AS fit_mrr_at_10,
+      list_position([0.5, 0.7, 1.0], beta) AS bi, list_position([0.0, 0.25, 0.5], gamma) AS gi
+      FROM (SELECT corpus, setting, mrr_at_10 AS mrr FROM metrics) JOIN settings USING (setting)
+      QUALIFY row_number() OVER (PARTITION BY corpus, n ORDER BY round(mrr, 6) DESC, setting) = 1"""),
+]
+
+
+@query("cross_fit", ctes(*CROSS, select="""
+SELECT b.fit, m.corpus AS test, b.pool::INTEGER AS pool, b.beta, b.gamma, round(b.fit_mrr_at_10, 6) AS fit_mrr_at_10, m.n,
+ round(m.recall_at_1, 6) AS recall_at_1, round(m.recall_at_5, 6) AS recall_at_5, round(m.recall_at_10, 6) AS recall_at_10, round(m.mrr_at_10, 6) AS mrr_at_10,
+ round(a.mrr_at_10, 6) AS alone_mrr_at_10, round(a.recall_at_10, 6) AS alone_recall_at_10, round(s.mrr_at_10, 6) AS staged_mrr_at_10,
+ (SELECT count(*) FROM ranks x JOIN ranks y USING (corpus, query_id) WHERE x.corpus = m.corpus AND x.setting = b.setting AND y.setting = -1
+   AND coalesce(x.first_rank, 99) < coalesce(y.first_rank, 99)) AS better,
+ (SELECT count(*) FROM ranks x JOIN ranks y USING (corpus, query_id) WHERE x.corpus = m.corpus AND x.setting = b.setting AND y.setting = -1
+   AND coalesce(x.first_rank, 99) > coalesce(y.first_rank, 99)) AS worse,
+ round(m.mrr_at_10, 9) >= round(a.mrr_at_10, 9) AND round(m.recall_at_10, 9) >= round(a.recall_at_10, 9) AS accepted,
+ abs(b.bi - o.bi) <= 1 AND abs(b.gi - o.gi) <= 1 AS stable
+FROM best b JOIN best o ON o.pool = b.pool AND o.fit <> b.fit
+JOIN metrics m ON m.setting = b.setting AND m.corpus <> b.fit JOIN metrics a ON a.corpus = m.corpus AND a.setting = -1
+JOIN metrics s ON s.corpus = m.corpus AND s.setting = (SELECT setting FROM settings WHERE n = 10 AND beta = 1 AND gamma = 0)"""))
+def cross_fit(t):
+    """Weights fitted on the documents of the even sources and tested on those of the odd ones, and the other way round; a passage counts on a side where
+    some document contains it."""
+    sides = []
+    for name in HALVES:
+        odd = F.coalesce("source", F.lit("")).rlike("[13579]$")
+        half = c.Half(t, odd if name == "odd" else ~odd)
+        sides.append(ex.LabelledCorpus(name, c.questions(t), c.units(half), written(relevant(half))))
+    return _round(ex.cross_fit(*sides), *DOUBLES[:4], "fit_mrr_at_10", "alone_mrr_at_10", "alone_recall_at_10", "staged_mrr_at_10")

@@ -5,7 +5,9 @@ Candidates are retrieved once and every setting re-uses them; a setting is a val
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,20 +110,23 @@ def grid_metrics(ranks: DataFrame) -> DataFrame:
     return ranks.groupBy("setting").agg(*ev.metric_columns())
 
 
-def best_per_pool(metrics: DataFrame) -> DataFrame:
-    """The setting with the best MRR for every pool size; the first of equals in grid order."""
+def best_per_pool(metrics: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The setting with the best MRR for every pool size (and value of ``by``); the first of equals in grid order."""
     settings = F.array(*[F.struct(F.lit(i).alias("setting"), F.lit(n).alias("n"), F.lit(b).alias("beta"), F.lit(g).alias("gamma"))
                          for i, n, b, g in grid_settings()])
     named = metrics.withColumn("_g", F.element_at(settings, F.col("setting") + 1)).select(
         metrics["*"], F.col("_g.n").alias("pool"), "_g.beta", "_g.gamma")
-    return top_k(named, ["pool"], [F.desc(F.round("mrr_at_10", 6)), F.asc("setting")], 1, "_r").drop("_r")
+    return top_k(named, [*by, "pool"], [F.desc(F.round("mrr_at_10", 6)), F.asc("setting")], 1, "_r").drop("_r")
 
 
 def accepted(test: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Whether a setting fitted elsewhere is at least as good as the baseline on MRR@10 and recall@10 (one row each)."""
-    base = baseline.select("mrr_at_10", "recall_at_10")
-    return test.withColumn("accepted", (F.col("mrr_at_10") >= base.select("mrr_at_10").scalar())
-                           & (F.col("recall_at_10") >= base.select("recall_at_10").scalar()))
+    """``test`` with ``accepted``: is a setting fitted elsewhere at least as good as the baseline (one row) on MRR@10 and recall@10?
+
+    Means are compared to nine digits, so that the order of a sum does not decide."""
+    def reached(column):
+        return F.round(F.col(column), 9) >= F.round(baseline.select(column).scalar(), 9)
+
+    return test.withColumn("accepted", reached("mrr_at_10") & reached("recall_at_10"))
 
 
 def stable(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -135,6 +140,65 @@ def stable(left: DataFrame, right: DataFrame) -> DataFrame:
                                              & (F.abs(F.col("g1") - F.col("g2")) <= 1)).alias("stable"))
 
 
+@dataclass(frozen=True)
+class LabelledCorpus:
+    """One side of a cross-corpus fit."""
+
+    name: str
+    queries: DataFrame  # query_id, query, vector, vector_b
+    units: DataFrame  # unit_id, doc, is_test, vector, vector_b
+    relevant: DataFrame  # query_id, unit_id: the one relevant unit of a question; questions without one take no part
+
+
+ALONE = -1  # stands for "model B alone" among the settings of the grid
+
+
+def labelled_ranks(corpus: LabelledCorpus) -> DataFrame:
+    """Rank of the relevant unit under every setting of the grid and under model B alone: (corpus, setting, query_id, first_rank or null).
+
+    Retrieved once by each model, whatever the number of settings, over one keyword run."""
+    asked = written(corpus.queries.join(corpus.relevant, "query_id", "left_semi"))
+    run = lexical_run(asked, corpus.units)
+    rows = rescored(retrieve(asked, corpus.units, depth=max(fv.GRID_POOLS), run=run), corpus.units, corpus.units, b="vector_b")
+    alone = search(asked, corpus.units, fv.TOP_K, run=run, query_vector="vector_b", vector="vector_b").select(F.lit(ALONE).alias("setting"), "query_id", "unit_id", "rank")
+    top = fusion_grid(rows).select("setting", "query_id", "unit_id", "rank").unionByName(alone)
+    settings = F.array(*[F.lit(i) for i in (ALONE, *(g[0] for g in grid_settings()))])
+    return (corpus.relevant.select("query_id", "unit_id", F.explode(settings).alias("setting"))
+            .join(top, ["setting", "query_id", "unit_id"], "left")
+            .select(F.lit(corpus.name).alias("corpus"), "setting", "query_id", F.col("rank").alias("first_rank")))
+
+
+def cross_fit(left: LabelledCorpus, right: LabelledCorpus) -> DataFrame:
+    """Fit the weights on one corpus and test them on the other, both ways: one row for every pool size and direction.
+
+    fit, test, pool, the chosen beta and gamma with their MRR where they were fitted; the metrics where they are tested, next to model B alone (``alone_``)
+    and to the two-stage re-ranking of ten candidates (``staged_``); the questions that got better and worse than with model B alone; whether the setting
+    is accepted there; whether the two fits of a pool size are at most a grid step apart. A side without labelled questions gives no rows.
+    """
+    with ThreadPool(2) as pool:  # the sides share nothing
+        sides = pool.map(lambda side: written(labelled_ranks(side)), (left, right))
+    ranks = sides[0].unionByName(sides[1])
+    found = F.when(F.col("first_rank") <= fv.TOP_K, 1.0).otherwise(0.0)
+    metrics = written(ranks.withColumn("_found", found).groupBy("corpus", "setting").agg(*ev.metric_columns(gold="_found")))  # 28 rows a corpus
+    best = written(best_per_pool(metrics.where(F.col("setting") != ALONE), by=("corpus",)))
+    steady = stable(*(best.where(F.col("corpus") == c.name) for c in (left, right)))
+    two_stage_setting = next(i for i, n, b, g in grid_settings() if (n, b, g) == (10, 1.0, 0.0))
+    out = None
+    for fit, test in ((left, right), (right, left)):
+        chosen = best.where(F.col("corpus") == fit.name).select("setting", "pool", "beta", "gamma", F.col("mrr_at_10").alias("fit_mrr_at_10"))
+        tested = metrics.where(F.col("corpus") == test.name).drop("corpus", "gold_recall_at_10")
+        base, staged = tested.where(F.col("setting") == ALONE), tested.where(F.col("setting") == two_stage_setting)
+        there = ranks.where(F.col("corpus") == test.name)
+        flips = ev.better_worse(there.join(chosen, "setting"), there.where(F.col("setting") == ALONE), by=("pool",))
+        row = accepted(tested.join(chosen, "setting"), base).join(flips, "pool").join(steady, "pool").select(
+            F.lit(fit.name).alias("fit"), F.lit(test.name).alias("test"), "pool", "beta", "gamma", "fit_mrr_at_10", "n",
+            "recall_at_1", "recall_at_5", "recall_at_10", "mrr_at_10", base.select("mrr_at_10").scalar().alias("alone_mrr_at_10"),
+            base.select("recall_at_10").scalar().alias("alone_recall_at_10"), staged.select("mrr_at_10").scalar().alias("staged_mrr_at_10"),
+            "better", "worse", "accepted", "stable")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def concat_search(queries: DataFrame, corpus: DataFrame, k: int, *, weight_b: float = fv.BETA, query_a: str = "vector",
                   query_b: str = "vector_b", a: str = "vector", b: str = "vector_b") -> DataFrame:
     """Exact search with 0.7 * cosine B + 0.3 * cosine A over the whole corpus: one inner product of weighted, joined vectors."""

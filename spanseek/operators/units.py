@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanseek import fixed_values as fv
 from spanseek.functions import paths as px
@@ -68,6 +70,37 @@ def chunk_texts(texts: DataFrame, max_chars: int = fv.MAX_CHARS, min_chars: int
     return split_units(outlines(texts, max_chars, strict=True), max_chars, min_chars)
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def group_starts(begins: pd.Series, ends: pd.Series, limits: pd.Series) -> pd.Series:
+    """Where groups begin (from 1) when spans that follow each other are packed in order: a span goes with those before it while the whole, from the
+    first one's begin to its own end, is within the limit. Every group is found by one search in the ascending ends."""
+    def starts(begin, end, limit):
+        out, at = [], 0
+        while at < len(end):
+            out.append(at + 1)
+            at = max(at + 1, int(np.searchsorted(end, begin[at] + limit, side="right")))
+        return out
+
+    return pd.Series([starts(*x) for x in zip(begins, ends, limits)])
+
+
+def _with_outer(rows: DataFrame, opens: Column) -> DataFrame:
+    """``rows`` with ``_outer``, the innermost row around each that ``opens`` (null for rows that open themselves, and outside of all).
+
+    Opened rows are nested or apart, so the one around a row at depth k is the latest opened one at depth k - 1. Depth is a running sum of beginnings and
+    ends; no row looks at a list of those before it.
+    """
+    own = F.struct(F.col("id").alias("at"), F.lit(0).alias("after"), F.lit(True).alias("real"), opens.cast("int").alias("step"))
+    end = F.struct(F.col("last").alias("at"), F.lit(1).alias("after"), F.lit(False).alias("real"), F.lit(-1).alias("step"))
+    events = rows.withColumn("_e", F.explode(F.when(opens, F.array(own, end)).otherwise(F.array(own))))
+    so_far = Window.partitionBy("root", "path").orderBy("_e.at", "_e.after").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = events.withColumn("_depth", F.sum("_e.step").over(so_far)).where("_e.real").drop("_e")
+    # an opened row is counted in its own depth: it stands with what is directly inside
+    here = Window.partitionBy("root", "path", "_depth").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    around = F.last(F.when(opens, F.struct("id", "last", "kind", "name", "qualname", "signature")), ignorenulls=True).over(here)
+    return rows.withColumn("_outer", F.when((F.col("_depth") > 0) & ~opens, around)).drop("_depth")
+
+
 def split_units(read: DataFrame, max_chars: int = fv.MAX_CHARS, min_chars: int = 0) -> DataFrame:
     """The units of ``outlines``: the rows of schemas.UNIT, in any order.
 
@@ -98,12 +131,7 @@ def split_units(read: DataFrame, max_chars: int = fv.MAX_CHARS, min_chars: int =
     rows = rows.withColumn("_opened", opened).withColumn("_hides", F.max(F.when(~opened, F.col("last"))).over(before))
     rows = rows.where(F.coalesce(F.col("_hides") < F.col("id"), F.lit(True)))
 
-    # what encloses a row: the innermost opened definition, and whether its direct parent is a class
-    seen = Window.partitionBy("root", "path").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    around = F.filter(F.collect_list(F.when(F.col("_opened"), F.struct("id", "last", "kind", "name", "qualname", "signature"))).over(seen),
-                      lambda x: x["last"] >= F.col("id"))
-    rows = rows.withColumn("_around", around)
-    rows = rows.withColumn("_outer", F.try_element_at(F.filter("_around", lambda x: x["kind"].isin("function", "method", "class")), F.lit(-1)))
+    rows = _with_outer(rows, F.col("_opened") & definition)
 
     whole = rows.where(~F.col("_opened") & (definition | (F.col("kind") == "header"))).select(
         "root", "path", "language", F.when(F.col("kind") == "header", "class").otherwise(F.col("kind")).alias("kind"), "name", "qualname",
@@ -112,23 +140,21 @@ def split_units(read: DataFrame, max_chars: int = fv.MAX_CHARS, min_chars: int =
     # the rest is grouped in reading order; a definition between two statements ends a group
     rest = rows.withColumn("_run", F.sum(F.when(definition, 1).otherwise(0)).over(Window.partitionBy("root", "path").orderBy("id")))
     rest = rest.where(~F.col("_opened") & F.col("kind").isin("statement", "comment", "line") & ~dropped)
-    piece = F.struct("id", "start", "end", "from", "to", "digest", (F.col("kind") == "line").alias("line"),
-                     ((F.col("kind") == "comment") | F.col("blank")).alias("idle"))
+    piece = F.struct("id", "start", "end", "from", "to", "digest", ((F.col("kind") == "comment") | F.col("blank")).alias("idle"))
     packed = rest.groupBy("root", "path", "language", F.col("_outer.id").alias("_scope"), "_run", F.when(F.col("kind") == "line", F.col("parent")).alias("_cut")).agg(
         F.first("_outer").alias("_o"), F.first(F.when(F.col("kind") == "line", F.struct("name", "qualname"))).alias("_l"),
         F.array_sort(F.collect_list(piece)).alias("pieces"))
-    empty = F.array().cast("array<struct<start:int,end:int,from:int,to:int,digest:string,idle:boolean>>")
-
-    def fill(acc, x):
-        last = F.try_element_at(acc, F.lit(-1))
-        limit = F.when(x["line"], max_chars).otherwise(max_chars + 1)  # a run of lines counts its last line break
-        joined = F.struct(last["start"].alias("start"), x["end"].alias("end"), last["from"].alias("from"), x["to"].alias("to"),
-                          F.sha2(F.concat(last["digest"], x["digest"]), 256).substr(1, 16).alias("digest"), (last["idle"] & x["idle"]).alias("idle"))
-        alone = F.struct(x["start"], x["end"], x["from"], x["to"], x["digest"], x["idle"])
-        fits = last.isNotNull() & (x["to"] - last["from"] <= limit)
-        return F.when(fits, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(alone)))
-
-    groups = packed.withColumn("g", tx.rows_of(F.filter(F.aggregate("pieces", empty, fill), lambda g: ~g["idle"]))).where(F.col("g").isNotNull())
+    limit = F.when(F.col("_cut").isNotNull(), max_chars).otherwise(max_chars + 1)  # a run of lines counts its last line break
+    filled = packed.withColumn("_firsts", group_starts("pieces.from", "pieces.to", limit))
+
+    def joined(first, i):
+        own = F.slice("pieces", first, F.coalesce(F.try_element_at(F.col("_firsts"), i + 2), F.size("pieces") + 1) - first)
+        head, last = F.element_at(own, 1), F.element_at(own, -1)
+        digest = F.aggregate(F.slice(own, 2, F.size(own) - 1), head["digest"], lambda acc, x: F.sha2(F.concat(acc, x["digest"]), 256).substr(1, 16))
+        return F.struct(head["start"].alias("start"), last["end"].alias("end"), head["from"].alias("from"), last["to"].alias("to"),
+                        digest.alias("digest"), F.forall(own, lambda x: x["idle"]).alias("idle"))
+
+    groups = filled.withColumn("g", tx.rows_of(F.filter(F.transform("_firsts", joined), lambda g: ~g["idle"]))).where(F.col("g").isNotNull())
     order = Window.partitionBy("root", "path", "_scope").orderBy("g.start", "g.end")
     groups = groups.select(
         "root", "path", "language", F.coalesce("_o.kind", F.lit("module")).alias("kind"), F.coalesce("_o.name", F.lit("")).alias("name"),

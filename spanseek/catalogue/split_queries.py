@@ -11,16 +11,16 @@ LINES = "SELECT doc_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS line FRO
 
 
 def code_files(t, suffix: str, head: str, before: str, after: str):
-    """Per document: ``head``, then for each line i a definition ``line_i`` that returns the length of the line."""
+    """Per document: ``head``, then for each line i a definition ``line_i`` that returns the digest of the line."""
     def definition(line, i):
-        return F.concat(F.lit(before.split("#")[0]), (i + 1).cast("string"), F.lit(before.split("#")[1]), F.length(line).cast("string"), F.lit(after))
+        return F.concat(F.lit(before.split("#")[0]), (i + 1).cast("string"), F.lit(before.split("#")[1]), F.md5(line), F.lit(after))
 
     body = F.array_join(F.transform(F.split("text", "\n"), definition), "")
     return t.documents.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(suffix)).alias("path"), F.concat(F.lit(head), body).alias("text"))
 
 
 def python_files(t):
-    return code_files(t, ".py", "import os\n\n\n", "def line_#():\n    return ", "\n\n\n")
+    return code_files(t, ".py", "import os\n\n\n", "def line_#():\n    return '", "'\n\n\n")
 
 
 def _units(units):
@@ -30,7 +30,7 @@ def _units(units):
 @query("split_python", f"""
 SELECT concat('doc', doc_id, '.py') AS path, 'module' AS kind, '' AS qualname, 1 AS start_line, 1 AS end_line, 0 AS part, true AS is_group, 'import os' AS text FROM documents
 UNION ALL SELECT concat('doc', doc_id, '.py'), 'function', concat('line_', i), (4 * i)::INTEGER, (4 * i + 1)::INTEGER, 0, false,
- concat('def line_', i, '():', chr(10), '    return ', length(line)) FROM ({LINES})""")
+ concat('def line_', i, '():', chr(10), '    return ''', md5(line), '''') FROM ({LINES})""")
 def split_python(t):
     return _units(split_units(outlines(python_files(t))))
 
@@ -38,15 +38,15 @@ def split_python(t):
 @query("split_javascript", f"""
 SELECT concat('doc', doc_id, '.js') AS path, 'module' AS kind, '' AS qualname, 1 AS start_line, 1 AS end_line, 0 AS part, true AS is_group, 'import os from "os";' AS text FROM documents
 UNION ALL SELECT concat('doc', doc_id, '.js'), 'function', concat('line_', i), (4 * i - 1)::INTEGER, (4 * i + 1)::INTEGER, 0, false,
- concat('function line_', i, '() {{', chr(10), '  return ', length(line), ';', chr(10), '}}') FROM ({LINES})""")
+ concat('function line_', i, '() {{', chr(10), '  return ''', md5(line), ''';', chr(10), '}}') FROM ({LINES})""")
 def split_javascript(t):
-    return _units(split_units(outlines(code_files(t, ".js", 'import os from "os";\n\n', "function line_#() {\n  return ", ";\n}\n\n"))))
+    return _units(split_units(outlines(code_files(t, ".js", 'import os from "os";\n\n', "function line_#() {\n  return '", "';\n}\n\n"))))
 
 
 @query("merge_tiny", f"""
 SELECT concat('doc', doc_id, '.py') AS path, 'function' AS kind, concat('line_', i) AS qualname, CASE WHEN i = 1 THEN 1 ELSE 4 * i END::INTEGER AS start_line,
  (4 * i + 1)::INTEGER AS end_line, 0 AS part, false AS is_group,
- concat(CASE WHEN i = 1 THEN concat('import os', chr(10), chr(10), chr(10)) ELSE '' END, 'def line_', i, '():', chr(10), '    return ', length(line)) AS text FROM ({LINES})""")
+ concat(CASE WHEN i = 1 THEN concat('import os', chr(10), chr(10), chr(10)) ELSE '' END, 'def line_', i, '():', chr(10), '    return ''', md5(line), '''') AS text FROM ({LINES})""")
 def merge_tiny(t):
     return _units(split_units(outlines(python_files(t)), min_chars=60))
 
@@ -89,3 +89,32 @@ def equal_code(t):
     files = t.documents.select("doc_id", F.inline(code)).select(F.concat("kind", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), "text")
     units = split_units(outlines(files, 50_000_000), 50_000_000)
     return units.groupBy(F.substring_index("path", "/", 1).alias("kind")).agg(F.count_distinct("path").alias("files"), F.count_distinct("ast_hash").alias("hashes"))
+
+
+LIMIT = 200
+
+
+def long_files(t):
+    """Per document a function with one statement for each line of the text, and a list with one element for each. All statements are of one length, and
+    so are all elements."""
+    def each(before: str, after: str):
+        return F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit(before), F.md5(x), F.lit(after))), "\n")
+
+    code = F.concat(F.lit("def f():\n"), each("    v = '", "'"), F.lit("\n\n\nt = [\n"), each("    '", "',"), F.lit("\n]\n"))
+    return t.documents.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), code.alias("text"))
+
+
+@query("split_limits", """
+WITH d AS (SELECT concat('doc', doc_id, '.py') AS path, len(string_split(text, chr(10))) AS n,
+  list_transform(string_split(text, chr(10)), lambda x: concat('    v = ''', md5(x), '''')) AS body,
+  list_concat(list_concat(['t = ['], list_transform(string_split(text, chr(10)), lambda x: concat('    ''', md5(x), ''','))), [']']) AS items FROM documents)
+SELECT path, 'function' AS kind, 'f' AS qualname, 1 AS start_line, (n + 1)::INTEGER AS end_line, 0 AS part, false AS is_group,
+ concat('def f():', chr(10), array_to_string(body, chr(10))) AS text FROM d WHERE n <= 4
+UNION ALL SELECT path, 'function', 'f', (2 + 4 * g)::INTEGER, (1 + least(4 * g + 4, n))::INTEGER, g::INTEGER, true, array_to_string(body[4 * g + 1:4 * g + 4], chr(10))
+ FROM (SELECT *, unnest(range(0, (n + 3) // 4)) AS g FROM d WHERE n > 4)
+UNION ALL SELECT path, 'module', '', (n + 4)::INTEGER, (2 * n + 5)::INTEGER, 0, true, array_to_string(items, chr(10)) FROM d WHERE n <= 4
+UNION ALL SELECT path, 'module', '', (n + 4 + 5 * g)::INTEGER, (n + 3 + least(5 * g + 5, n + 2))::INTEGER, g::INTEGER, false, array_to_string(items[5 * g + 1:5 * g + 5], chr(10))
+ FROM (SELECT *, unnest(range(0, (n + 6) // 5)) AS g FROM d WHERE n > 4)""")
+def split_limits(t):
+    """A limit that opens functions (four statements fit in a group) and cuts an oversized statement by its lines (five fit)."""
+    return _units(split_units(outlines(long_files(t), LIMIT), LIMIT))

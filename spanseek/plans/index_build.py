@@ -73,12 +73,18 @@ def build(spark: SparkSession, root: str, encoder: Encoder, *, cache: VectorCach
     return StoredIndex(rows, meta)
 
 
-def build_pair(spark: SparkSession, root: str, encoder_a: Encoder, encoder_b: Encoder, caches: tuple = (None, None),
-               **limits) -> tuple[StoredIndex, StoredIndex]:
-    """Both models over one splitting. RuntimeError when the folder holds no code."""
+def split_checkout(spark: SparkSession, root: str, **limits) -> DataFrame:
+    """The units of one checkout, computed. RuntimeError when the folder holds no code."""
     units = written(units_of(spark, root, **limits))
     if units.isEmpty():
         raise RuntimeError("no Python, JavaScript or TypeScript code found")
+    return units
+
+
+def build_pair(spark: SparkSession, root: str, encoder_a: Encoder, encoder_b: Encoder, caches: tuple = (None, None),
+               units: DataFrame | None = None, **limits) -> tuple[StoredIndex, StoredIndex]:
+    """Both models over one splitting (``units``, where it was done before). RuntimeError when the folder holds no code."""
+    units = split_checkout(spark, root, **limits) if units is None else units
     return tuple(build(spark, root, e, cache=c, units=units, **limits) for e, c in zip((encoder_a, encoder_b), caches))
 
 

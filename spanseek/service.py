@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spanseek import fixed_values as fv
 from spanseek.encoders import Encoder
-from spanseek.plans.index_build import build_pair, vectors_for
+from spanseek.plans.index_build import build_pair, split_checkout, vectors_for
 from spanseek.plans.present import cards
 from spanseek.plans.search import fusion_search
 from spanseek.sources.repository import fetch, parse_link
@@ -83,8 +83,10 @@ class Service:
     def _index(self, checkout: str, label: str, commit: str) -> Opened:
         began = time.perf_counter()
         self.spark.sparkContext.setJobGroup("spanseek-index", f"index {label}", interruptOnCancel=True)
-        self._at(stage="embedding", message="splitting and embedding")
-        a, b = build_pair(self.spark, checkout, *self.encoders, caches=self.caches)
+        self._at(stage="chunking", message="splitting the files")
+        units = split_checkout(self.spark, checkout)
+        self._at(stage="embedding", message="embedding the units", units=units.count())
+        a, b = build_pair(self.spark, checkout, *self.encoders, caches=self.caches, units=units)
         self._at(stage="finishing", message="opening the index", units=a.meta.first()["n_units"])
         got = Opened(label.lower().replace("/", "__"), label, commit, a, b, time.perf_counter() - began)
         self.opened[got.key] = got

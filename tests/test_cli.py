@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import json
 import subprocess
+import threading
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from spanseek import service
 from spanseek.cli import main
 from spanseek.encoders import HashingEncoder, encoder_of_index
 from spanseek.service import Service
+from spanseek.session import written
 from spanseek.sources.store import StoredIndex
 
 
@@ -62,3 +67,27 @@ def test_service_opens_a_local_checkout(spark, tmp_path):
         raise AssertionError("an unknown repository must not answer")
     except KeyError:
         pass
+
+
+def test_cancel_while_files_are_split(spark, tmp_path, monkeypatch):
+    """A cancel during the splitting stops its Spark jobs, and nothing is opened."""
+    repo = tmp_path / "slow"
+    repo.mkdir()
+    (repo / "moon.py").write_text("def next_tide(hours):\n    return hours % 12\n")
+    s = Service(spark, HashingEncoder(64, "a"), HashingEncoder(96, "b"), str(tmp_path / "checkouts"))
+
+    def slow(session, checkout):
+        @F.udf("long")
+        def wait(i):
+            time.sleep(60)
+            return i
+
+        threading.Timer(4, s.cancel).start()
+        return written(session.range(1).select(wait("id").alias("id")))
+
+    monkeypatch.setattr(service, "fetch", lambda owner, name, folder: (repo, "beef"))
+    monkeypatch.setattr(service, "split_checkout", slow)
+    began = time.time()
+    with pytest.raises(service.Cancelled):
+        s.open("https://github.com/coast/tide")
+    assert time.time() - began < 45 and s.progress.stage == "cancelled" and not s.opened

@@ -72,3 +72,22 @@ def test_gram_vectors_equal_counts_by_replacement(spark):
     assert "replace" not in encoder.embed(F.col("t"), "query")._jc.toString()  # no pass over the text for each gram
     with pytest.raises(Exception):
         encoder.embed(F.col("t"), "neither")
+
+
+def test_only_gated_questions_get_long_lists(spark, monkeypatch):
+    from spanseek.plans import search as plan
+
+    units = spark.createDataFrame([(i, f"word{i} plain_name" if i == 7 else f"word{i}", False, [float(i), 1.0]) for i in range(300)],
+                                  "unit_id long, doc string, is_test boolean, vector array<float>").repartition(3)
+    q = spark.createDataFrame([(0, "where is plain_name set", [1.0, 0.0]), (1, "nothing named", [1.0, 0.0])], "query_id long, query string, vector array<float>")
+    lists, search = [], plan.dense_top_k
+
+    def seen(*args, **options):
+        lists.append(search(*args, **options))
+        return lists[-1]
+
+    monkeypatch.setattr(plan, "dense_top_k", seen)
+    pool = plan.retrieve(q, units, depth=10).pool
+    assert {r.query_id: r["count"] for r in lists[0].groupBy("query_id").count().collect()} == {0: 100, 1: 10}
+    got = {i: [r.unit_id for r in pool.where(F.col("query_id") == i).orderBy("pool_rank").collect()] for i in (0, 1)}
+    assert got[1] == list(range(299, 289, -1)) and 7 in got[0] and len(got[0]) == 10

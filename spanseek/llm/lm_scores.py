@@ -3,8 +3,9 @@
 Tokens are the runs of signs other than white space, A-Z lowered, and one end a document. Counts of all tokens of the training documents are a Spark
 table. The ``HEAD`` most frequent tokens stand in classes of ``CLASS`` words; all other words share the tail class. A gated recurrent unit reads a
 document from its start and predicts the class of the next token, then the word in its class; inside the tail class a word has its share of the tail's
-counts (with 0.1 added, and one place for unknown words), so the probabilities of all tokens sum to 1. The network is fitted on the driver by
-truncated backpropagation on at most ``WINDOWS`` windows of ``WINDOW`` training tokens. Scoring takes documents window by window side by side and carries
+counts (with 0.1 added, and one place for unknown words), so the probabilities of all tokens sum to 1. The network begins on the driver with
+truncated backpropagation on at most ``WINDOWS`` windows of ``WINDOW`` training tokens, which only spares the tasks the first steps. Then it learns from every
+token of every training document: each task goes on from there through all of its texts, and the weights are averaged by the tokens they have seen. Scoring takes documents window by window side by side and carries
 their states along, so a document of any length is scored whole in bounded memory.
 
 The counts of the ``LOOKUP`` most frequent words are broadcast; for the rest, each document's distinct rare words are joined with the count table.
@@ -15,10 +16,13 @@ apart by 64-bit hashes of their bytes.
 
 from __future__ import annotations
 
+import copy
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +37,9 @@ HIDDEN = 24
 TAIL_INPUTS = 32            # a tail word is read as one of so many signs, by its hash
 SAMPLE_DOCS, WINDOWS, WINDOW = 2_000, 1_200, 512
 BATCH, UNROLL, EPOCHS = 64, 32, 3
+WIDE, RATE = 512, 0.002     # streams side by side and step size of the pass over all texts
+LEAST_STEPS = 16            # a short stream is read by fewer side by side, in about so many steps
+SLOT = 1 << 14              # weights are added up in runs of so many
 SCORE_TOKENS = 3_000_000    # texts of about so many tokens advance together
 END = np.uint64(0x454E44)   # not the hash of a word, as far as hashes go
 
@@ -116,11 +123,40 @@ def _sigmoid(x):
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def _softmax(z):
+    z -= z.max(-1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(-1, keepdims=True)
+    return z
+
+
 def _log_softmax(z):
     z = z - z.max(-1, keepdims=True)
     return z - np.log(np.exp(z).sum(-1, keepdims=True))
 
 
+class _Steps:
+    """Steps along gradients with momentum, each weight by its own scale."""
+
+    PARAMS = ("read", "carry", "carry_bias", "to_class", "class_bias", "to_word", "word_bias")
+
+    def __init__(self, net: Network):
+        self.net, self.done = net, 0
+        self.m = {p: np.zeros_like(getattr(net, p)) for p in self.PARAMS}
+        self.v = {p: np.zeros_like(getattr(net, p)) for p in self.PARAMS}
+
+    def take(self, grads: dict[str, np.ndarray], rate: float):
+        net, m, v = self.net, self.m, self.v
+        self.done += 1
+        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+        scale = min(1.0, 1.0 / (norm + 1e-9))
+        for p, g in grads.items():
+            g = g * np.float32(scale)
+            m[p] = 0.9 * m[p] + 0.1 * g
+            v[p] = 0.99 * v[p] + 0.01 * g * g
+            setattr(net, p, getattr(net, p) - np.float32(rate) * (m[p] / (1 - 0.9 ** self.done)) / (np.sqrt(v[p] / (1 - 0.99 ** self.done)) + 1e-6))
+
+
 class Network:
     """The recurrent unit and its two softmaxes, in single precision."""
 
@@ -183,9 +219,7 @@ class Network:
 
     def train(self, windows: list[tuple[np.ndarray, np.ndarray]]):
         """``windows``: (inputs, targets) as ids; inputs begin with the end, which stands before every text."""
-        params = ["read", "carry", "carry_bias", "to_class", "class_bias", "to_word", "word_bias"]
-        m = {p: np.zeros_like(getattr(self, p)) for p in params}
-        v = {p: np.zeros_like(getattr(self, p)) for p in params}
+        steps = _Steps(self)
         stream_in = np.concatenate([w[0] for w in windows])
         stream_out = np.concatenate([w[1] for w in windows])
         fresh = np.concatenate([np.r_[True, np.zeros(len(w[0]) - 1, bool)] for w in windows])  # state begins anew
@@ -193,20 +227,35 @@ class Network:
         length = len(stream_in) // batch
         shape = lambda a: a[:batch * length].reshape(batch, length)
         stream_in, stream_out, fresh = shape(stream_in), shape(stream_out), shape(fresh)
-        done, total = 0, EPOCHS * max(1, -(-length // UNROLL))
+        total = EPOCHS * max(1, -(-length // UNROLL))
         for _ in range(EPOCHS):
             h = np.zeros((batch, HIDDEN), np.float32)
             for s in range(0, length, UNROLL):
                 grads, h = self._gradients(stream_in[:, s:s + UNROLL], stream_out[:, s:s + UNROLL], fresh[:, s:s + UNROLL], h)
-                done += 1
-                rate = 0.01 * (1 - 0.9 * done / total)
-                norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-                scale = min(1.0, 1.0 / (norm + 1e-9))
-                for p, g in grads.items():
-                    g = g * np.float32(scale)
-                    m[p] = 0.9 * m[p] + 0.1 * g
-                    v[p] = 0.99 * v[p] + 0.01 * g * g
-                    setattr(self, p, getattr(self, p) - np.float32(rate) * (m[p] / (1 - 0.9 ** done)) / (np.sqrt(v[p] / (1 - 0.99 ** done)) + 1e-6))
+                steps.take(grads, 0.01 * (1 - 0.9 * (steps.done + 1) / total))
+
+    def follow(self, steps: _Steps, read: np.ndarray, target: np.ndarray, fresh: np.ndarray):
+        """One pass over a stream of texts, every token of it once; ``fresh`` marks where a text begins."""
+        while len(read):
+            batch = max(1, min(WIDE, len(read) // (UNROLL * LEAST_STEPS)))
+            length = len(read) // batch
+            part = [a[:batch * length].reshape(batch, length) for a in (read, target, fresh)]
+            h = np.zeros((batch, HIDDEN), np.float32)
+            for s in range(0, length, UNROLL):
+                grads, h = self._gradients(*(a[:, s:s + UNROLL] for a in part), h)
+                steps.take(grads, RATE)
+            read, target, fresh = (a[batch * length:] for a in (read, target, fresh))
+
+    def weights(self) -> np.ndarray:
+        return np.concatenate([getattr(self, p).ravel() for p in _Steps.PARAMS]).astype(np.float64)
+
+    def with_weights(self, flat: np.ndarray) -> Network:
+        out, at = copy.copy(self), 0
+        for p in _Steps.PARAMS:
+            like = getattr(self, p)
+            setattr(out, p, flat[at:at + like.size].reshape(like.shape).astype(np.float32))
+            at += like.size
+        return out
 
     def _gradients(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray):
         k, steps = HIDDEN, inputs.shape[1]
@@ -224,14 +273,14 @@ class Network:
         flat_h, target = states.reshape(-1, k), targets.T.reshape(-1)
         count = np.float32(len(target))
         kind = target // CLASS
-        p = np.exp(_log_softmax(flat_h @ self.to_class + self.class_bias))
+        p = _softmax(flat_h @ self.to_class + self.class_bias)
         p[np.arange(len(target)), kind] -= 1
         p /= count
         g = {"to_class": flat_h.T @ p, "class_bias": p.sum(0), "to_word": np.zeros_like(self.to_word), "word_bias": np.zeros_like(self.word_bias)}
         dh = p @ self.to_class.T
         for c in np.unique(kind[kind < CLASSES]):
             rows = np.flatnonzero(kind == c)
-            q = np.exp(_log_softmax(flat_h[rows] @ self.to_word[c] + self.word_bias[c]))
+            q = _softmax(flat_h[rows] @ self.to_word[c] + self.word_bias[c])
             q[np.arange(len(rows)), target[rows] - c * CLASS] -= 1
             q /= count
             g["to_word"][c], g["word_bias"][c] = flat_h[rows].T @ q, q.sum(0)
@@ -328,7 +377,39 @@ def fit(training: DataFrame, vocab: Vocabulary) -> Network | None:
     rows = sample.orderBy("order", "read", "target").limit(WINDOWS).toArrow().to_pylist()
     if rows:
         net.train([(np.frombuffer(r["read"], np.int32).astype(np.int64), np.frombuffer(r["target"], np.int32).astype(np.int64)) for r in rows])
-    return net
+    return taught(training, vocab, net)
+
+
+def taught(training: DataFrame, vocab: Vocabulary, net: Network) -> Network:
+    """``net`` after a pass over every token of ``training`` (a column text), all tasks side by side from the same start."""
+    shared = training.sparkSession.sparkContext.broadcast((vocab, net))
+    start_id = start_of(vocab)
+
+    def run(batches):
+        vocab, own = shared.value[0], copy.copy(shared.value[1])
+        steps, seen = _Steps(own), 0
+        for block in blocks(batches, "text"):
+            h, begin = tokens(*flat(block.column("text")))
+            target = vocab.find(h)[0]
+            fresh = np.zeros(len(h), bool)
+            fresh[begin[:-1]] = True
+            own.follow(steps, shifted(input_ids(target, h), begin, start_id), target, fresh)
+            seen += len(h)
+        if seen:
+            found = own.weights() * seen
+            slots = range(0, len(found), SLOT)
+            n = len(slots)
+            yield pa.RecordBatch.from_pydict({"slot": pa.array(range(n), pa.int32()), "task": pa.array([TaskContext.get().partitionId()] * n, pa.int32()),
+                                              "seen": pa.array([seen] * n, pa.int64()), "sums": pa.array([found[a:a + SLOT] for a in slots], pa.list_(pa.float64()))})
+
+    def added(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("task")
+        total = sum(x.values.to_numpy() for x in rows["sums"].combine_chunks())
+        return pa.table({"slot": rows["slot"][:1], "mean": pa.array([total / pc.sum(rows["seen"]).as_py()], pa.list_(pa.float64()))})
+
+    means = training.select("text").mapInArrow(run, "slot int, task int, seen long, sums array<double>").groupBy("slot").applyInArrow(
+        added, "slot int, mean array<double>").toArrow().sort_by("slot")  # the weights of one network
+    return net.with_weights(np.concatenate([x.values.to_numpy() for x in means["mean"].combine_chunks()])) if means.num_rows else net
 
 
 def scores(docs: DataFrame, held_out) -> DataFrame:

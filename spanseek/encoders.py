@@ -17,6 +17,9 @@ from spanseek.functions import vectors as vx
 from spanseek.models import MODELS, Model, fingerprint
 
 
+KNOWN_WORDS = 20_000  # slots of words that a task remembers
+
+
 class Encoder(Protocol):
     model: Model
 
@@ -90,14 +93,15 @@ class HashingEncoder:
         def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             slots: dict[str, int] = {}
             for texts in batches:
-                out = []
-                for t in texts:
+                out = np.empty(len(texts), object)
+                for i, t in enumerate(texts):
                     found = word.findall(t.lower())
                     at = [slots[w] if w in slots else slots.setdefault(w, zlib.crc32((salt + w).encode()) % dim) for w in found]
-                    v = np.bincount(np.asarray(at, dtype="int64"), minlength=dim) + 1e-3
-                    out.append((v / np.linalg.norm(v)).astype("float32"))
-                if len(slots) > 1_000_000:
-                    slots.clear()
+                    if len(slots) > KNOWN_WORDS:  # what a task remembers does not grow with the vocabulary
+                        slots.clear()
+                    counts = np.bincount(np.asarray(at, dtype="int64"), minlength=dim)
+                    v = counts + 1e-3
+                    out[i] = (v / np.linalg.norm(v)).astype("float32")
                 yield pd.Series(out)
 
         return hashed(text)

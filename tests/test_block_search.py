@@ -91,3 +91,33 @@ def test_only_gated_questions_get_long_lists(spark, monkeypatch):
     assert {r.query_id: r["count"] for r in lists[0].groupBy("query_id").count().collect()} == {0: 100, 1: 10}
     got = {i: [r.unit_id for r in pool.where(F.col("query_id") == i).orderBy("pool_rank").collect()] for i in (0, 1)}
     assert got[1] == list(range(299, 289, -1)) and 7 in got[0] and len(got[0]) == 10
+
+
+def test_hashing_encoder_remembers_a_bounded_number_of_words(monkeypatch):
+    import sys
+    import tracemalloc
+    import zlib
+
+    import pandas as pd
+
+    from spanseek import encoders
+
+    monkeypatch.setattr(encoders.F, "pandas_udf", lambda kind: lambda fn: lambda text: fn)
+    fn = encoders.HashingEncoder(8).embed(None, "document")
+
+    def word(i):
+        return "".join(chr(97 + i // 26 ** k % 26) for k in range(5))
+
+    def batches():  # 100,000 words, none twice
+        for s in range(0, 100_000, 1_000):
+            yield pd.Series([" ".join(word(i) for i in range(s, s + 1_000)), ""])
+
+    tracemalloc.start()
+    last = None
+    for last in fn(batches()):
+        pass
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 5 << 20, peak
+    counts = np.bincount([zlib.crc32(word(i).encode()) % 8 for i in range(99_000, 100_000)], minlength=8) + 1e-3
+    assert last[0].tolist() == (counts / np.linalg.norm(counts)).astype("float32").tolist() and len(last) == 2 and sys.getsizeof(last[0])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spanseek.catalogue.registry import query
 from spanseek.operators.units import outlines, split_units
+from spanseek.session import written
 
 LINES = "SELECT doc_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)"
 
@@ -16,7 +17,7 @@ def code_files(t, suffix: str, head: str, before: str, after: str):
         return F.concat(F.lit(before.split("#")[0]), (i + 1).cast("string"), F.lit(before.split("#")[1]), F.md5(line), F.lit(after))
 
     body = F.array_join(F.transform(F.split("text", "\n"), definition), "")
-    return t.documents.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(suffix)).alias("path"), F.concat(F.lit(head), body).alias("text"))
+    return written(t.documents.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(suffix)).alias("path"), F.concat(F.lit(head), body).alias("text")))
 
 
 def python_files(t):
@@ -60,7 +61,7 @@ def class_files(t):
                     F.lit("\n    @staticmethod\n    def made(n, *, by=2):\n        return n * by\n\n    late = (\n        2,\n    )\n"))
     tail = F.lit("\ndef used(n):\n    return made(n)\n\nprint(used(3))\n")
     d = t.documents.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.concat(text, tail).alias("both"), tail.alias("one"))
-    return d.select(F.inline(F.array(F.struct(F.lit("a").alias("root"), "path", F.col("both").alias("text")), F.struct(F.lit("b").alias("root"), "path", F.col("one").alias("text")))))
+    return written(d.select(F.inline(F.array(F.struct(F.lit("a").alias("root"), "path", F.col("both").alias("text")), F.struct(F.lit("b").alias("root"), "path", F.col("one").alias("text"))))))
 
 
 @query("split_classes", """
@@ -87,7 +88,7 @@ def equal_code(t):
     code = F.array(F.struct(F.lit("comments").alias("kind"), F.concat(F.lit("def f(n):\n"), comments, F.lit("\n    return n\n")).alias("text")),
                    F.struct(F.lit("numbers").alias("kind"), F.concat(F.lit("def f(n):\n    return n + "), F.length("text").cast("string"), F.lit("\n")).alias("text")))
     files = t.documents.select("doc_id", F.inline(code)).select(F.concat("kind", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), "text")
-    units = split_units(outlines(files, 50_000_000), 50_000_000)
+    units = split_units(outlines(written(files), 50_000_000), 50_000_000)
     return units.groupBy(F.substring_index("path", "/", 1).alias("kind")).agg(F.count_distinct("path").alias("files"), F.count_distinct("ast_hash").alias("hashes"))
 
 
@@ -101,7 +102,7 @@ def long_files(t):
         return F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit(before), F.md5(x), F.lit(after))), "\n")
 
     code = F.concat(F.lit("def f():\n"), each("    v = '", "'"), F.lit("\n\n\nt = [\n"), each("    '", "',"), F.lit("\n]\n"))
-    return t.documents.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), code.alias("text"))
+    return written(t.documents.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), code.alias("text")))
 
 
 @query("split_limits", """

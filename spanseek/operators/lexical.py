@@ -29,8 +29,13 @@ def unit_tokens(docs: DataFrame, doc: str = "doc") -> DataFrame:
     return rows.where(F.col("term").isNotNull())
 
 
+PART_BYTES = 16 << 20  # of text whose terms one task counts
+
+
 def term_frequency(docs: DataFrame, doc: str = "doc") -> DataFrame:
-    return unit_tokens(docs, doc).groupBy("unit_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(unit_id, term, tf). Texts are dealt out by unit, in so many parts that what one task counts does not grow with the input."""
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-estimated_bytes(docs.select(doc)) // PART_BYTES))
+    return unit_tokens(docs.repartition(parts, "unit_id"), doc).groupBy("unit_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def unit_length(docs: DataFrame, doc: str = "doc") -> DataFrame:

@@ -102,11 +102,28 @@ def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     """64-bit hash of each word's bytes."""
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    powers = np.cumprod(np.r_[np.uint64(1), np.full(max(0, int(lengths.max()) - 1), 0x9E3779B97F4A7C15, np.uint64)])
-    values = (low[np.repeat(starts, lengths) + place].astype(np.uint64) + np.uint64(1)) * powers[place]
-    return mixed(np.add.reduceat(values, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64))
+    first, last = int(starts[0]), int(ends[-1])
+    up, down = _powers(last - first)
+    # running sums over all bytes; what stands before a word falls out by its power
+    sums = np.zeros(last - first + 1, np.uint64)
+    np.cumsum((low[first:last].astype(np.uint64) + np.uint64(1)) * up[:last - first], out=sums[1:])
+    values = (sums[ends - first] - sums[starts - first]) * down[starts - first]
+    return mixed(values + (ends - starts).astype(np.uint64))
+
+
+FACTOR = 0x9E3779B97F4A7C15  # odd, so it has an inverse
+_POWERS = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least the first ``n`` powers of the factor and of its inverse. Those of a block are kept."""
+    global _POWERS
+    if n <= len(_POWERS[0]):
+        return _POWERS
+    made = tuple(np.cumprod(np.r_[np.uint64(1), np.full(n - 1, f, np.uint64)]) for f in (FACTOR, pow(FACTOR, -1, 1 << 64)))
+    if n <= 2 * BLOCK_BYTES:
+        _POWERS = made
+    return made
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -17,7 +17,10 @@ apart by 64-bit hashes of their bytes.
 from __future__ import annotations
 
 import copy
+import math
+import threading
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +36,14 @@ CLASS = 64
 CLASSES = 64
 HEAD = CLASS * CLASSES
 LOOKUP = 1 << 17
+PLACE_BITS = 20
 HIDDEN = 24
 TAIL_INPUTS = 32            # a tail word is read as one of so many signs, by its hash
 SAMPLE_DOCS, WINDOWS, WINDOW = 2_000, 1_200, 512
 BATCH, UNROLL, EPOCHS = 64, 32, 3
 WIDE, RATE = 512, 0.002     # streams side by side and step size of the pass over all texts
 LEAST_STEPS = 16            # a short stream is read by fewer side by side, in about so many steps
+ROWS, ROUNDS = 512, 32      # rows whose scores are worked out at once, few enough for a core's cache; rows of a word that are added one by one
 SLOT = 1 << 14              # weights are added up in runs of so many
 SCORE_TOKENS = 3_000_000    # texts of about so many tokens advance together
 END = np.uint64(0x454E44)   # not the hash of a word, as far as hashes go
@@ -101,10 +106,25 @@ class Vocabulary:
         """Head place (HEAD: tail) and count (-1: not among the LOOKUP words) of each hash."""
         if len(self.words) == 0:
             return np.full(len(h), HEAD), np.full(len(h), -1)
-        slot = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        place = (h & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+        first, shared = self.places
+        slot = first[place]
         known = self.words[slot] == h
+        rest = np.flatnonzero(shared[place] & ~known)
+        if len(rest):
+            slot[rest] = np.minimum(np.searchsorted(self.words, h[rest]), len(self.words) - 1)
+            known[rest] = self.words[slot[rest]] == h[rest]
         return np.where(known, self.ids[slot], HEAD), np.where(known, self.counts[slot], -1)
 
+    @cached_property
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """By the low bits of a hash: one of the words that have them, and whether there are more."""
+        place = (self.words & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+        first, shared = np.zeros(1 << PLACE_BITS, np.int64), np.zeros(1 << PLACE_BITS, bool)
+        first[place] = np.arange(len(place))
+        shared[place[first[place] != np.arange(len(place))]] = True
+        return first, shared
+
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
@@ -119,20 +139,72 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(word[order], n[order], ids[order], total or 0, distinct or 0, int((total or 0) - head.sum()), int((distinct or 0) - len(head)), head)
 
 
-def _sigmoid(x):
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+class _Room(threading.local):
+    """Arrays that a thread uses again and again: fresh memory for every step costs more than the step."""
 
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
 
-def _softmax(z):
-    z -= z.max(-1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(-1, keepdims=True)
-    return z
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self.held or len(self.held[name]) < size:
+            self.held[name] = np.empty(size, np.float32)
+        return self.held[name][:size].reshape(shape)
+
+
+_room = _Room()
 
 
-def _log_softmax(z):
-    z = z - z.max(-1, keepdims=True)
-    return z - np.log(np.exp(z).sum(-1, keepdims=True))
+def _topped(weight: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Weights with the biases as one more row, less a bound of all scores: no part of a state is beyond 1. States have a 1 more to read them with."""
+    top = (bias + np.abs(weight).sum(-2)).max(-1, keepdims=True)
+    return np.concatenate([weight, (bias - top)[..., None, :]], axis=-2)
+
+
+def _powers(h: np.ndarray, weight: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row's scores ``h @ weight``: the powers of e of all, their sum, and the power at the place ``at``, a number in all rows' places.
+
+    Rows whose scores are all far below 0 are taken from their own largest score."""
+    z = np.matmul(h, weight, out=_room("powers", len(h), weight.shape[1]))
+    np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], np.float32)
+    if total.min() < 1e-20:
+        for row in np.flatnonzero(total < 1e-20):
+            own = h[row] @ weight
+            z[row] = np.exp(own - own.max())
+            total[row] = z[row].sum()
+    flat = z.reshape(-1)
+    return z, total, np.arange(0, len(flat), z.shape[1]) + at
+
+
+def _slopes(h: np.ndarray, weight: np.ndarray, at: np.ndarray, rows: int, back: np.ndarray) -> np.ndarray:
+    """How a softmax's mean loss over ``rows`` changes by the weights; by the states, into ``back``. What is common to a row multiplies the narrow sides."""
+    z, total, place = _powers(h, weight, at)
+    z.reshape(-1)[place] -= total
+    share = (1 / (total * np.float32(rows)))[:, None]
+    np.matmul(z, weight[:-1].T, out=back)
+    back *= share
+    return np.multiply(h, share, out=_room("shared", *h.shape)).T @ z
+
+
+def _sums_by(ids: np.ndarray, parts: np.ndarray, names: int) -> np.ndarray:
+    """Sums of the rows of every part that have the same id. The first rows of all ids are added together, then the second, and so on."""
+    order = np.argsort(ids.astype(np.int16), kind="stable")
+    count = np.bincount(ids, minlength=names)
+    name = np.argsort(-count, kind="stable")[:np.count_nonzero(count)]
+    first, n = (np.cumsum(count) - count)[name], count[name]
+    sums = np.zeros((len(parts), len(name), parts.shape[2]), np.float32)
+    for r in range(ROUNDS):
+        m = int(np.searchsorted(-n, -r))
+        if m:
+            sums[:, :m] += np.take(parts, order[first[:m] + r], axis=1, out=_room("round", len(parts), m, parts.shape[2]), mode="clip")
+    for i in range(int(np.searchsorted(-n, -ROUNDS))):
+        rest = order[first[i] + ROUNDS:first[i] + n[i]]
+        held = np.take(parts, rest, axis=1, out=_room("round", len(parts), len(rest), parts.shape[2]), mode="clip")
+        sums[:, i] += np.matmul(np.ones(len(rest), np.float32), held)
+    out = np.zeros((len(parts), names, parts.shape[2]), np.float32)
+    out[:, name] = sums
+    return out
 
 
 class _Steps:
@@ -142,19 +214,32 @@ class _Steps:
 
     def __init__(self, net: Network):
         self.net, self.done = net, 0
+        for p in self.PARAMS:  # changed in place from here on
+            setattr(net, p, getattr(net, p).copy())
         self.m = {p: np.zeros_like(getattr(net, p)) for p in self.PARAMS}
         self.v = {p: np.zeros_like(getattr(net, p)) for p in self.PARAMS}
 
     def take(self, grads: dict[str, np.ndarray], rate: float):
-        net, m, v = self.net, self.m, self.v
         self.done += 1
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-        scale = min(1.0, 1.0 / (norm + 1e-9))
+        norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
+        scale = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
+        first, second = np.float32(1 - 0.9 ** self.done), np.float32(1 - 0.99 ** self.done)
         for p, g in grads.items():
-            g = g * np.float32(scale)
-            m[p] = 0.9 * m[p] + 0.1 * g
-            v[p] = 0.99 * v[p] + 0.01 * g * g
-            setattr(net, p, getattr(net, p) - np.float32(rate) * (m[p] / (1 - 0.9 ** self.done)) / (np.sqrt(v[p] / (1 - 0.99 ** self.done)) + 1e-6))
+            m, v = self.m[p], self.v[p]
+            x = _room("step", *g.shape)
+            m *= 0.9
+            m += np.multiply(g, np.float32(0.1) * scale, out=x)
+            np.multiply(g, scale, out=x)
+            x *= x
+            x *= 0.01
+            v *= 0.99
+            v += x
+            np.divide(v, second, out=x)
+            np.sqrt(x, out=x)
+            x += 1e-6
+            np.divide(m, x, out=x)
+            x *= np.float32(rate) / first
+            getattr(self.net, p).__isub__(x)
 
 
 class Network:
@@ -163,9 +248,10 @@ class Network:
     def __init__(self, head_counts: np.ndarray, tail_total: int, seed: int = 3):
         rng = np.random.default_rng(seed)
         n = len(head_counts)
-        self.read = (0.1 * rng.standard_normal((HEAD + TAIL_INPUTS, 3 * HIDDEN))).astype(np.float32)
-        self.carry = (rng.standard_normal((HIDDEN, 3 * HIDDEN)) / np.sqrt(HIDDEN)).astype(np.float32)
-        self.carry_bias = np.zeros(3 * HIDDEN, np.float32)
+        apart = lambda a: np.ascontiguousarray(a.reshape(-1, 3, HIDDEN).transpose(1, 0, 2), np.float32)  # noqa: E731  two gates and the new state
+        self.read = apart(0.1 * rng.standard_normal((HEAD + TAIL_INPUTS, 3 * HIDDEN)))
+        self.carry = apart(rng.standard_normal((HIDDEN, 3 * HIDDEN)) / np.sqrt(HIDDEN))
+        self.carry_bias = np.zeros((3, 1, HIDDEN), np.float32)
         self.to_class = np.zeros((HIDDEN, CLASSES + 1), np.float32)
         self.to_word = np.zeros((CLASSES, HIDDEN, CLASS), np.float32)
         counts = np.zeros(HEAD)
@@ -176,47 +262,64 @@ class Network:
         self.class_bias[:-1][mass == 0] = -1e9  # places that no word has
         self.word_bias = np.where(counts > 0, np.log(np.maximum(counts, 1e-9)), -1e9).reshape(CLASSES, CLASS).astype(np.float32)
 
-    def advance(self, x: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """The next state alone, with fewer passes over the arrays than ``step``."""
-        k = HIDDEN
-        u = h @ self.carry
-        u += self.carry_bias
-        gates = u[:, :2 * k] + x[:, :2 * k]
+    def _gates(self, ids: np.ndarray, h: np.ndarray, carry: np.ndarray, gates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both gates after the words ``ids`` from the states ``h`` with a 1 more; what the new state takes from the old one, and from the words."""
+        u = np.matmul(h, carry, out=_room("carried", 3, len(h), HIDDEN))
+        x = np.take(self.read, ids, axis=1, out=_room("words", 3, len(h), HIDDEN), mode="clip")
+        np.add(u[:2], x[:2], out=gates)
         gates *= 0.5
         np.tanh(gates, out=gates)
         gates *= 0.5
         gates += 0.5
-        new = u[:, 2 * k:]
-        new *= gates[:, k:]
-        new += x[:, 2 * k:]
+        return u[2], x[2]
+
+    def biased(self) -> np.ndarray:
+        return np.concatenate([self.carry, self.carry_bias], axis=1)
+
+    def advance(self, ids: np.ndarray, h: np.ndarray, carry: np.ndarray, out: np.ndarray):
+        """The next states, into ``out``; ``carry``: of ``biased``."""
+        gates = _room("gates", 2, len(h), HIDDEN)
+        new, x = self._gates(ids, h, carry, gates)
+        new *= gates[1]
+        new += x
         np.tanh(new, out=new)
-        out = h - new
-        out *= gates[:, :k]
+        h, out = h[:, :HIDDEN], out[:, :HIDDEN]
+        np.subtract(h, new, out=out)
+        out *= gates[0]
         out += new
-        return out
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        u = h @ self.carry + self.carry_bias
-        k = HIDDEN
-        gates = _sigmoid(x[:, :2 * k] + u[:, :2 * k])
-        z, r = gates[:, :k], gates[:, k:]
-        new = np.tanh(x[:, 2 * k:] + r * u[:, 2 * k:])
-        return new + z * (h - new), z, r, new, u[:, 2 * k:]
-
-    def log_probs(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural logarithm of the probability of each target: a head place, or HEAD for the tail class as a whole."""
-        kind = target // CLASS
-        scores = _log_softmax(h @ self.to_class + self.class_bias)
-        out = scores[np.arange(len(target)), kind].astype(np.float64)
+    def log_probs(self, h: np.ndarray, target: np.ndarray, tops: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Natural logarithm of the probability of each target: a head place, or HEAD for the tail class as a whole. ``h``: states with a 1 more; ``tops``: of
+        ``topped``."""
+        kind = (target // CLASS).astype(np.int8)
+        out = np.empty(len(target))
+
+        def taken(h, weight, at):
+            z, total, place = _powers(h, weight, at)
+            p = z.reshape(-1)[place] / total
+            if p.min() < 1e-30:  # too little for a power of e
+                own = (h @ weight).astype(np.float64)
+                own -= own.max(1, keepdims=True)
+                return own[np.arange(len(h)), at] - np.log(np.exp(own).sum(1))
+            return np.log(p)
+
+        for a in range(0, len(target), ROWS):
+            x = slice(a, a + ROWS)
+            out[x] = taken(h[x], tops[0], kind[x])
         order = np.argsort(kind, kind="stable")
-        cut = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        cut = np.r_[0, np.cumsum(np.bincount(kind, minlength=CLASSES + 1))]
+        inside, place = np.take(h, order, axis=0, out=_room("sorted", *h.shape), mode="clip"), target[order] % CLASS
+        added = np.zeros(len(target))
         for c in range(CLASSES):
-            rows = order[cut[c]:cut[c + 1]]
-            if len(rows):
-                inside = _log_softmax(h[rows] @ self.to_word[c] + self.word_bias[c])
-                out[rows] += inside[np.arange(len(rows)), target[rows] - c * CLASS]
+            for a in range(cut[c], cut[c + 1], ROWS):
+                x = slice(a, min(a + ROWS, cut[c + 1]))
+                added[x] = taken(inside[x], tops[1][c], place[x])
+        out[order] += added
         return out
 
+    def topped(self) -> tuple[np.ndarray, np.ndarray]:
+        return _topped(self.to_class, self.class_bias), _topped(self.to_word, self.word_bias)
+
     def train(self, windows: list[tuple[np.ndarray, np.ndarray]]):
         """``windows``: (inputs, targets) as ids; inputs begin with the end, which stands before every text."""
         steps = _Steps(self)
@@ -258,55 +361,78 @@ class Network:
         return out
 
     def _gradients(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray):
-        k, steps = HIDDEN, inputs.shape[1]
-        kept = []
+        k, (n, steps) = HIDDEN, inputs.shape
+        rows = n * steps
+        ids, begins = np.ascontiguousarray(inputs.T), fresh.any(0)
+        wide_before, wide_states = _room("before", steps, n, k + 1), _room("states", steps, n, k + 1)  # states with a 1 more
+        before, states = wide_before[..., :k], wide_states[..., :k]
+        gates, new, held, carry = _room("all gates", steps, 2, n, k), _room("new", steps, n, k), _room("held", steps, n, k), self.biased()
         for t in range(steps):
-            h = np.where(fresh[:, t, None], np.float32(0), h)
-            before = h
-            h, z, r, new, un = self.step(self.read[inputs[:, t]], h)
-            kept.append((before, z, r, new, un))
-        states = np.empty((steps, len(h), k), np.float32)
-        for t in range(steps - 1):
-            kept_next = kept[t + 1][0]
-            states[t] = np.where(fresh[:, t + 1, None], kept[t][3] + kept[t][1] * (kept[t][0] - kept[t][3]), kept_next)
-        states[-1] = h
-        flat_h, target = states.reshape(-1, k), targets.T.reshape(-1)
-        count = np.float32(len(target))
-        kind = target // CLASS
-        p = _softmax(flat_h @ self.to_class + self.class_bias)
-        p[np.arange(len(target)), kind] -= 1
-        p /= count
-        g = {"to_class": flat_h.T @ p, "class_bias": p.sum(0), "to_word": np.zeros_like(self.to_word), "word_bias": np.zeros_like(self.word_bias)}
-        dh = p @ self.to_class.T
-        for c in np.unique(kind[kind < CLASSES]):
-            rows = np.flatnonzero(kind == c)
-            q = _softmax(flat_h[rows] @ self.to_word[c] + self.word_bias[c])
-            q[np.arange(len(rows)), target[rows] - c * CLASS] -= 1
-            q /= count
-            g["to_word"][c], g["word_bias"][c] = flat_h[rows].T @ q, q.sum(0)
-            dh[rows] += q @ self.to_word[c].T
-        dh = dh.reshape(steps, -1, k)
-        carry_grad, bias_grad = np.zeros_like(self.carry), np.zeros_like(self.carry_bias)
-        dx_all = np.empty((steps, len(h), 3 * k), np.float32)
-        later = np.zeros_like(h)
+            before[t] = h
+            if begins[t]:
+                before[t][fresh[:, t]] = 0
+            wide_before[t, :, k] = 1
+            u, x = self._gates(ids[t], wide_before[t], carry, gates[t])
+            held[t] = u
+            np.multiply(u, gates[t, 1], out=new[t])
+            new[t] += x
+            np.tanh(new[t], out=new[t])
+            h = states[t]
+            np.subtract(before[t], new[t], out=h)
+            h *= gates[t, 0]
+            h += new[t]
+        wide_states[..., k] = 1
+        g, dh = self._softmax_gradients(wide_states.reshape(rows, k + 1), targets.T.reshape(-1))
+        dh = dh.reshape(steps, n, k)
+        dx, du = _room("dx", 3, steps, n, k), _room("du", n, k)  # by both gates and the new state; by what the new state takes of the old one
+        back, later, one = self.carry.transpose(0, 2, 1), np.zeros((n, k), np.float32), _room("one", n, k)
+        carry = np.zeros_like(carry)
         for t in range(steps - 1, -1, -1):
-            before, z, r, new, un = kept[t]
-            d = dh[t] + later
-            d_new = d * (1 - z) * (1 - new * new)
-            dz = d * (before - new) * z * (1 - z)
-            dr = d_new * un * r * (1 - r)
-            du = np.concatenate([dz, dr, d_new * r], axis=1)
-            dx_all[t] = np.concatenate([dz, dr, d_new], axis=1)
-            carry_grad += before.T @ du
-            bias_grad += du.sum(0)
-            later = np.where(fresh[:, t, None], np.float32(0), d * z + du @ self.carry.T)
-        ids = inputs.T.reshape(-1)
-        names, of = np.unique(ids, return_inverse=True)
-        order = np.argsort(of, kind="stable")
-        read = np.zeros_like(self.read)
-        read[names] = np.add.reduceat(dx_all.reshape(-1, 3 * k)[order], np.searchsorted(of[order], np.arange(len(names))), axis=0)
-        g |= {"read": read, "carry": carry_grad, "carry_bias": bias_grad}
-        return g, h
+            (z, r), d, (dz, dr, d_new) = gates[t], dh[t], dx[:, t]
+            d += later
+            np.multiply(new[t], new[t], out=d_new)
+            np.subtract(1, d_new, out=d_new)
+            d_new *= d
+            np.subtract(1, z, out=one)
+            d_new *= one
+            np.subtract(before[t], new[t], out=dz)
+            dz *= one
+            d *= z
+            dz *= d
+            np.subtract(1, r, out=dr)
+            dr *= held[t]
+            dr *= np.multiply(d_new, r, out=du)
+            np.matmul(dz, back[0], out=later)
+            later += d
+            later += np.matmul(dr, back[1], out=one)
+            later += np.matmul(du, back[2], out=one)
+            for i, part in enumerate((dz, dr, du)):
+                carry[i] += wide_before[t].T @ part
+            if begins[t]:
+                later[fresh[:, t]] = 0
+        g |= {"read": _sums_by(ids.reshape(-1), dx.reshape(3, rows, k), self.read.shape[1]), "carry": carry[:, :k], "carry_bias": carry[:, k:]}
+        return g, h.copy()
+
+    def _softmax_gradients(self, h: np.ndarray, target: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Of the mean loss: by the weights of both softmaxes, and by the states. ``h``: states with a 1 more."""
+        kind = (target // CLASS).astype(np.int8)
+        to_class, to_word = self.topped()
+        by_class, by_word = np.zeros_like(to_class), np.zeros_like(to_word)
+        dh = _room("dh", len(h), HIDDEN)
+        for a in range(0, len(h), ROWS):
+            x = slice(a, a + ROWS)
+            by_class += _slopes(h[x], to_class, kind[x], len(h), dh[x])
+        order = np.argsort(kind, kind="stable")
+        cut = np.r_[0, np.cumsum(np.bincount(kind, minlength=CLASSES + 1))].tolist()
+        order = order[:cut[CLASSES]]  # the tail class has no words
+        inside, place = np.take(h, order, axis=0, out=_room("sorted", len(order), h.shape[1]), mode="clip"), target[order] % CLASS
+        back = _room("back", len(order), HIDDEN)
+        for c in range(CLASSES):
+            for a in range(cut[c], cut[c + 1], ROWS):
+                x = slice(a, min(a + ROWS, cut[c + 1]))
+                by_word[c] += _slopes(inside[x], to_word[c], place[x], len(h), back[x])
+        dh[order] += back
+        return {"to_class": by_class[:-1], "class_bias": by_class[-1], "to_word": by_word[:, :-1], "word_bias": by_word[:, -1]}, dh
 
 
 def input_ids(ids: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -329,24 +455,26 @@ def score_texts(net: Network, read: np.ndarray, target: np.ndarray, begin: np.nd
     length = np.diff(begin)
     order = np.argsort(-length, kind="stable")
     total = np.zeros(len(length))
-    state = np.zeros((len(length), HIDDEN), np.float32)
+    state = np.zeros((len(length), HIDDEN + 1), np.float32)
+    state[:, HIDDEN] = 1
+    carry, tops = net.biased(), net.topped()
     length, begin = length[order], begin[:-1][order]
     longest = int(length[0]) if len(length) else 0
     active = np.searchsorted(-length, -np.arange(longest), side="left")  # texts with more than t tokens
-    for w in range(0, longest, 256):
-        states, places, held = [], [], 0
-        for t in range(w, min(w + 256, longest)):
-            n = int(active[t])
-            now = net.advance(net.read[read[begin[:n] + t]], state[:n])
-            state[:n] = now
-            states.append(now)
-            places.append(n)
-            held += n
-            if held > 1 << 16 or t == min(w + 256, longest) - 1:
-                rows = np.concatenate([np.arange(n) for n in places])
-                steps = np.repeat(np.arange(t - len(places) + 1, t + 1), places)
-                total += np.bincount(rows, net.log_probs(np.concatenate(states), target[begin[rows] + steps]), minlength=len(total))
-                states, places, held = [], [], 0
+    t = 0
+    while t < longest:
+        places = active[t:t + 256]
+        places = places[:max(1, int(np.searchsorted(np.cumsum(places), 1 << 16)))]
+        at = np.r_[0, np.cumsum(places)]
+        states, reached = _room("states", int(at[-1]), HIDDEN + 1), np.empty(at[-1], np.int64)
+        states[:, HIDDEN] = 1
+        for i, (n, a, b) in enumerate(zip(places.tolist(), at.tolist(), at[1:].tolist())):
+            np.add(begin[:n], t + i, out=reached[a:b])
+            net.advance(read[reached[a:b]], state[:n], carry, states[a:b])
+            state = states[a:b]
+        rows = np.arange(at[-1]) - np.repeat(at[:-1], places)
+        total += np.bincount(rows, net.log_probs(states, target[reached], tops), minlength=len(total))
+        state, t = state.copy(), t + len(places)
     out = np.empty(len(total))
     out[order] = total
     return out

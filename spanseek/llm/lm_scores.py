@@ -43,6 +43,7 @@ SAMPLE_DOCS, WINDOWS, WINDOW = 2_000, 1_200, 512
 BATCH, UNROLL, EPOCHS = 64, 32, 3
 WIDE, RATE = 512, 0.002     # streams side by side and step size of the pass over all texts
 LEAST_STEPS = 16            # a short stream is read by fewer side by side, in about so many steps
+FULL = WIDE * UNROLL * LEAST_STEPS  # tokens that fill all streams
 ROWS, ROUNDS = 512, 32      # rows whose scores are worked out at once, few enough for a core's cache; rows of a word that are added one by one
 SLOT = 1 << 14              # weights are added up in runs of so many
 SCORE_TOKENS = 3_000_000    # texts of about so many tokens advance together
@@ -515,14 +516,18 @@ def taught(training: DataFrame, vocab: Vocabulary, net: Network) -> Network:
 
     def run(batches):
         vocab, own = shared.value[0], copy.copy(shared.value[1])
-        steps, seen = _Steps(own), 0
+        steps, seen, held = _Steps(own), 0, [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
         for block in blocks(batches, "text"):
             h, begin = tokens(*flat(block.column("text")))
             target = vocab.find(h)[0]
             fresh = np.zeros(len(h), bool)
             fresh[begin[:-1]] = True
-            own.follow(steps, shifted(input_ids(target, h), begin, start_id), target, fresh)
+            held = [np.concatenate(x) for x in zip(held, (shifted(input_ids(target, h), begin, start_id), target, fresh))]
+            full = len(held[0]) // FULL * FULL  # what is left over goes before the next block's texts
+            own.follow(steps, *(x[:full] for x in held))
+            held = [x[full:] for x in held]
             seen += len(h)
+        own.follow(steps, *held)
         if seen:
             found = own.weights() * seen
             slots = range(0, len(found), SLOT)

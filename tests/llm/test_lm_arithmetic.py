@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spanseek.llm import common, lm_scores
@@ -76,3 +77,34 @@ def test_words_with_the_same_low_bits_are_found(monkeypatch):
     vocab = lm_scores.Vocabulary(words, np.arange(40), np.arange(40), 40, 40, 0, 0, np.arange(40))
     ids, counts = vocab.find(np.r_[words, np.uint64(3), words[::-1] + np.uint64(1)])
     assert ids[:40].tolist() == counts[:40].tolist() == list(range(40)) and set(ids[40:]) == {lm_scores.HEAD} and set(counts[40:]) == {-1}
+
+
+def test_tokens_left_over_by_a_block_are_read_with_the_next(monkeypatch):
+    """Ten blocks of 37 tokens fill eleven runs of 32 tokens, two steps each; only the 18 tokens at the end take smaller steps."""
+    class Training:
+        class sparkSession:
+            class sparkContext:
+                broadcast = staticmethod(lambda value: type("Shared", (), {"value": value}))
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            self.run = run
+            raise NotImplementedError
+
+    for name, value in {"WIDE": 4, "UNROLL": 4, "LEAST_STEPS": 2, "FULL": 32}.items():
+        monkeypatch.setattr(lm_scores, name, value, raising=False)
+    monkeypatch.setattr(lm_scores, "blocks", lambda batches, _: batches)
+    monkeypatch.setattr(lm_scores, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("T", (), {"partitionId": lambda _: 0})())}))
+    rows, real = [], lm_scores.Network._gradients
+    monkeypatch.setattr(lm_scores.Network, "_gradients", lambda net, read, *rest: rows.append(read.shape) or real(net, read, *rest))
+    words = np.sort(np.random.default_rng(2).integers(0, 2**60, 40).astype(np.uint64))
+    vocab = lm_scores.Vocabulary(words, np.ones(40, np.int64), np.arange(40), 40, 40, 0, 0, np.ones(40, np.int64))
+    training = Training()
+    with pytest.raises(NotImplementedError):
+        lm_scores.taught(training, vocab, _network(np.random.default_rng(3), 0.5))
+    batches = [pa.RecordBatch.from_pydict({"text": [" ".join(f"w{i}" for i in range(18)), "x " * 17]}) for _ in range(10)]
+    found = list(training.run(iter(batches)))
+    assert sum(n * m for n, m in rows) == 370 and found[0].column("seen")[0].as_py() == 370
+    assert rows[:22] == [(4, 4)] * 22 and len(rows) <= 28

@@ -48,6 +48,20 @@ def test_one_block_keeps_no_more_than_its_lists(spark):
     assert all(unit[rows == q].tolist() == list(range(n - 1, n - 11, -1)) for q in range(40))
 
 
+def test_units_below_all_floors_are_not_compared_pair_by_pair():
+    def offer(first, x):
+        lists.offer(_rows(unit_id=np.arange(first, first + len(x)), _v=[[v, 0.0] for v in x], _test=[False] * len(x)))
+
+    lists = topk._Lists([_rows(query_id=np.arange(40), _v=[[1.0, 0.5]] * 40, _all=[True] * 40, _not=[None] * 40, _k=[2] * 40)])
+    offer(0, [0.5, 0.75, 0.25])
+    marks, lists.marks = lists.marks, None
+    offer(3, [0.1] * 100)
+    lists.marks = marks
+    offer(103, [0.1, float("nan"), 0.9])  # what is no number hides nothing
+    rows, unit, _ = lists.best.result()
+    assert all(unit[rows == q].tolist() == [105, 1] for q in range(40))
+
+
 def _rows(**columns):
     import pyarrow as pa
 

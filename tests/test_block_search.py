@@ -62,6 +62,25 @@ def test_units_below_all_floors_are_not_compared_pair_by_pair():
     assert all(unit[rows == q].tolist() == [105, 1] for q in range(40))
 
 
+def test_memory_of_a_block_is_that_of_its_vectors_and_lists():
+    """Vectors of floats are kept once, and sorting the lists takes no second copy of all that waits."""
+    import tracemalloc
+
+    rng, n, k = np.random.default_rng(8), 20_000, 10
+    vectors = rng.normal(size=(n, 64)).astype("float32")
+    asked = _rows(query_id=np.arange(n), _v=list(vectors), _all=[True] * n, _not=[None] * n, _k=[k] * n)
+    units = [_rows(unit_id=np.arange(a, a + 1_000), _v=list(rng.normal(size=(1_000, 64)).astype("float32")), _test=[False] * 1_000) for a in (0, 1_000, 2_000)]
+    tracemalloc.start()
+    lists = topk._Lists([asked])
+    for u in units:
+        lists.offer(u)
+    rows, _, _ = lists.best.result()
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    tiles = topk.TILE_QUERIES * topk.TILE_UNITS * 5
+    assert len(rows) == n * k and peak - tiles < 150 * n * k
+
+
 def _rows(**columns):
     import pyarrow as pa
 

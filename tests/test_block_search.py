@@ -154,3 +154,35 @@ def test_hashing_encoder_remembers_a_bounded_number_of_words(monkeypatch):
     assert peak < 5 << 20, peak
     counts = np.bincount([zlib.crc32(word(i).encode()) % 8 for i in range(99_000, 100_000)], minlength=8) + 1e-3
     assert last[0].tolist() == (counts / np.linalg.norm(counts)).astype("float32").tolist() and len(last) == 2 and sys.getsizeof(last[0])
+
+
+def test_lists_are_ordered_by_row_score_and_unit():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 300):
+        rows, unit = rng.integers(0, n, 5_000).astype("int32"), rng.permutation(5_000)
+        close = 0.97 + rng.integers(0, 4, 5_000) * 1e-12  # told apart by their last digits only
+        for score in (np.round(rng.normal(size=5_000), 1) + 0.0, close, np.where(unit % 2, 0.0, -0.0), rng.normal(size=5_000) * 1e22):
+            assert np.array_equal(topk._list_order(rows, score, unit, n), np.lexsort((unit, -score, rows)))
+
+
+def test_blocks_of_queries_read_the_corpus_and_no_copy_of_it_moves(spark, monkeypatch):
+    monkeypatch.setattr(topk, "LEAST_KEPT", 4)
+    units = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(60)], "unit_id long, vector array<float>").repartition(5)
+    q = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(30)], "query_id long, vector array<float>")
+    top = dense_top_k(q, units, 3, moved_rows=0)
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Repartition" in line and "Repartition 1, false" not in line]
+    assert len(moved) == 1 and "Union" not in plan and "Join" in plan  # the queries, by block
+    assert {(r.query_id, r.unit_id, r["rank"]) for r in top.collect()} == {(q, 59 - i, i + 1) for q in range(30) for i in range(3)}
+
+
+def test_a_search_by_vectors_stores_no_texts(spark):
+    from spanseek.catalogue import all_queries
+    from spanseek.catalogue import corpus as c
+    from spanseek.catalogue.registry import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert c.units(t, c.VECTORS).columns == list(c.VECTORS) and set(c.units(t).columns) == set(c.SEARCHED)  # one text, not two
+    for name in ("rrf_lists", "concat_ensemble", "dense_topk_scoped"):
+        plan = all_queries()[0][name](spark, t.folder)._jdf.queryExecution().optimizedPlan().toString()
+        assert "doc#" not in plan and "text#" not in plan

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from spanseek.catalogue import corpus as c
@@ -41,3 +43,60 @@ def test_both_directions_and_a_side_without_labels(spark):
         assert (r.mrr_at_10, r.alone_mrr_at_10, r.staged_mrr_at_10, r.better, r.worse, r.accepted, r.stable) == (1.0, 1.0, 1.0, 0, 0, True, True)
         assert (r.beta, r.gamma, r.n) == (0.5, 0.0, 3 if r.test == "b" else 4)
     assert ex.cross_fit(left, corpus(spark, "b", ["rivers run north here"], labelled=False)).count() == 0
+
+
+def test_benchmark_systems_keep_whole_orders_and_re_order_heads(spark):
+    """Against the same systems spelled out over full lists: gated and ungated questions, ties, and texts without vectors."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    words = ["tide", "kettle", "bell", "stone", "open_valve", "river"]
+    texts = [" ".join(rng.choice(words, 6)) for _ in range(70)] + [None, "open_valve"]
+    vectors = np.round(rng.random((72, 4)), 2).astype("float32")
+    units = spark.createDataFrame([(i, t, vectors[i].tolist(), vectors[71 - i][::-1].tolist()) for i, t in enumerate(texts)],
+                                  "unit_id long, doc string, vector array<float>, vector_b array<float>")
+    asked = np.round(rng.random((4, 8)), 2).astype("float32")
+    q = spark.createDataFrame([(i, "where is open_valve set" if i < 2 else "a kettle", asked[i, :4].tolist(), asked[i, 4:].tolist()) for i in range(4)],
+                              "query_id long, query string, vector array<float>, vector_b array<float>")
+    found = ex.benchmark_systems(q, units, depth=60)
+    got = {}
+    for r in found.collect():
+        got.setdefault((r.system, r.query_id), {})[r["rank"]] = r.unit_id
+    got = {k: [v[i] for i in range(1, len(v) + 1)] for k, v in got.items()}
+    assert len(got) == 36 and all(len(v) == 60 for v in got.values())
+    bm25 = {(r.query_id, r.unit_id): r.bm25 for r in ex.lexical_run(q, units.withColumn("is_test", F.lit(False))).scores().collect()}
+
+    def scaled(x):
+        return [(v - min(x)) / (max(x) - min(x)) if max(x) - min(x) > 1e-9 else 0.0 for v in x]
+
+    for i in range(4):
+        cos = [np.round(np.array([sum(float(x) * float(y) for x, y in zip(v, asked[i, s])) for v in m]), 12) for m, s in (
+            (vectors, slice(0, 4)), (vectors[::-1, ::-1], slice(4, 8)))]
+        dense = [sorted(range(72), key=lambda u: (-c[u], u))[:60] for c in cos]
+        lex = sorted((u for (query, u) in bm25 if query == i), key=lambda u: (-bm25[i, u], u))
+        assert bool(lex) == (i < 2)
+
+        def laned(order):
+            if not lex:
+                return order
+            rrf = {u: sum(1 / (60 + x.index(u) + 1) for x in (order, lex) if u in x) for u in {*order, *lex}}
+            return sorted(rrf, key=lambda u: (-rrf[u], u))[:60]
+
+        def head(order, n, score):
+            return sorted(order[:n], key=lambda u: (-score[u], order.index(u))) + order[n:]
+
+        lane = laned(dense[0])
+        assert [got["a", i], got["b", i], got["a+bm25", i], got["b+bm25", i]] == [*dense, lane, laned(dense[1])]
+        assert got["two-stage", i] == head(dense[0], 10, cos[1]) and got["two-stage+bm25", i] == head(lane, 10, cos[1])
+        for n in (10, 50):
+            b, a, x = (scaled([f(u) for u in lane[:n]]) for f in (cos[1].__getitem__, cos[0].__getitem__, lambda u: bm25.get((i, u), 0.0)))
+            g = 0.25 if lex else 0.0
+            blend = {u: round((1 - g) * (0.7 * b[j] + (1 - 0.7) * a[j]) + g * x[j], 9) for j, u in enumerate(lane[:n])}
+            assert got[f"fusion N={n}", i] == head(lane, n, blend)
+    relevant = spark.createDataFrame([(0, 71), (2, 5)], "query_id long, unit_id long")
+    ranks = ex.benchmark_ranks(found, relevant)
+    assert {(r.system, r.query_id): r.first_rank for r in ranks.collect()} == {
+        (s, i): got[s, i].index(u) + 1 if u in got[s, i] else None for s, i in got for i, u in ((0, 71), (2, 5))}
+    plan = ranks._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"rank#\d+ > 10\)", plan) and re.search(r"rank#\d+ > 50\)", plan)  # what keeps its place is not sorted again for each system
+    assert "rightHint=(strategy=broadcast)" in plan  # the lists of all systems meet their relevant documents before they move

@@ -100,3 +100,22 @@ def test_benchmark_systems_keep_whole_orders_and_re_order_heads(spark):
     plan = ranks._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"rank#\d+ > 10\)", plan) and re.search(r"rank#\d+ > 50\)", plan)  # what keeps its place is not sorted again for each system
     assert "rightHint=(strategy=broadcast)" in plan  # the lists of all systems meet their relevant documents before they move
+
+
+def test_the_grid_multiplies_rows_after_they_have_moved(spark):
+    rows = spark.createDataFrame([(q, u, u + 1, 1.0 / (u + 1), (u * 7 % 50) / 50, float(u % 3), q == 1, "unused") for q in range(3) for u in range(50)],
+                                 "query_id long, unit_id long, pool_rank int, cos_a double, cos_b double, bm25 double, gated boolean, note string")
+    top = ex.fusion_grid(rows)
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate explode") < plan.index("Exchange")  # plans are printed from the last step to the first
+    got = {}
+    for r in top.collect():
+        got.setdefault((r.setting, r.query_id), {})[r["rank"]] = r.unit_id
+    assert len(got) == 81 and all(sorted(v) == list(range(1, 11)) for v in got.values())
+    i, n, b, g = next(s for s in ex.grid_settings() if s[1:] == (20, 0.7, 0.5))
+    low = [(u * 7 % 50) / 50 for u in range(20)]
+    scaled = [[(x - min(v)) / (max(v) - min(v)) for x in v] for v in (low, [1 / (u + 1) for u in range(20)], [float(u % 3) for u in range(20)])]
+    for q in range(3):
+        w = g if q == 1 else 0.0
+        blend = [round((1 - w) * (b * x + (1 - b) * y) + w * z, 9) for x, y, z in zip(*scaled)]
+        assert [got[i, q][k] for k in range(1, 11)] == sorted(range(20), key=lambda u: (-blend[u], u))[:10]
